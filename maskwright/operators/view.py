@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,3 +122,15 @@ def verify_round_trip(df: DataFrame, spans: str = "spans", text: str = "text") -
         mapped.where("unmapped = 0").drop("unmapped"),
         mapped.where("unmapped > 0").withColumn("reason", F.lit("inspection_failed")),
     )
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc(texts: pa.Array) -> pa.Array:
+    return pa.array(
+        [None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string()
+    )
+
+
+def nfkc_where_needed(text: Column) -> Column:
+    """Compatibility form; texts that are their own view are left alone."""
+    return F.coalesce(_nfkc(F.when(~is_identity(text), text)), text)
