@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright.functions import fixed
-from maskwright.functions.arrays import find_all, let
+from maskwright.functions.arrays import find_all, let, locate, raw
 from maskwright.operators.detectors import Detector, detect_with, pattern_detector
 from maskwright.operators.resolve import SPANS_TYPE
 
@@ -142,11 +142,12 @@ def detect_dictionary_table(
     """
     fold = (lambda c: c) if case_sensitive else (lambda c: f"lower({c})")
     word = r"[\p{L}\p{N}_]+"
+    first = f"regexp_extract(term, {raw(word)}, 0)"
     clean = terms.selectExpr("trim(term) as term").where("term <> ''").distinct()
     keyed = clean.selectExpr(
         "term", "length(term) as n",
-        f"{fold('regexp_extract(term, r' + repr(word) + ', 0)')} as word",
-        f"instr(term, regexp_extract(term, r'{word}', 0)) - 1 as lead",
+        f"{fold(first)} as word",
+        f"instr(term, {first}) - 1 as lead",
     )
     if keyed.where("word = ''").limit(1).count():
         raise ValueError("a term needs at least one letter or digit")
@@ -155,8 +156,6 @@ def detect_dictionary_table(
         return detect_with(msgs, [dictionary_detector([], entity_type, name)])
     longest, lead = widest
     keys = [c for c in msgs.columns if c not in ("text", "role")]
-    from maskwright.functions.arrays import locate
-
     words = msgs.selectExpr(
         *keys, "explode(" + let("hits", find_all("text", word), let(
             "words", locate("text", word, "hits"),

@@ -308,8 +308,8 @@ def _run(df: DataFrame, detectors: Sequence[Detector], pick: Callable[[Detector]
 
 
 def detect_view(df: DataFrame, detectors: Sequence[Detector] = BUILTIN) -> DataFrame:
-    """Runs detectors over ``view``, each on the view it reads; adds ``found``."""
-    return _run(df, detectors, lambda d: "view.folded" if d.folded else "view.text")
+    """Runs detectors over the view, each on the view it reads; adds ``found``."""
+    return _run(df, detectors, lambda d: "view_folded" if d.folded else "view_text")
 
 
 def span_columns(df: DataFrame, detectors: Sequence[Detector], text: str = "text") -> DataFrame:

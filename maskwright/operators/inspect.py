@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskwright.operators.detectors import BUILTIN, Detector, detect_all
 from maskwright.operators.screening import screen_table
-from maskwright.operators.view import map_spans
+from maskwright.operators.view import VIEW_COLUMNS, map_spans
 
 
 def inspect(
@@ -21,7 +21,7 @@ def inspect(
     span does not map back, or NULL; refused messages carry no spans.
     """
     screened = screen_table(msgs, block_mixed)
-    mapped = map_spans(detect_all(screened, detectors)).drop("view")
+    mapped = map_spans(detect_all(screened, detectors)).drop(*VIEW_COLUMNS)
     refusal = F.coalesce(
         F.col("screening.blocking"),
         F.when(F.col("unmapped") > 0, F.lit("inspection_failed")),

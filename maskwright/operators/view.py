@@ -54,26 +54,28 @@ def _rebuilt_views(texts: pa.Array) -> pa.Array:
     )
 
 
+VIEW_COLUMNS = ("view_text", "view_folded", "view_starts", "view_ends")
+
+
 def detection_view(msgs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``view``: ``rebuilt`` (NULL where the view is the text), ``text``, ``folded``.
+    """Adds ``view_text``, ``view_folded`` and the origin arrays ``view_starts``/``view_ends``.
 
-    Only texts holding a character whose view differs are sent to Python.
+    The arrays are NULL where the view is the text. Only texts holding a character
+    whose view differs are sent to Python. The columns are flat on purpose: fields
+    of a struct would be put back into every expression that reads them.
     """
     rebuilt = msgs.withColumn(
         "__rebuilt", _rebuilt_views(F.when(~is_identity(F.col(text)), F.col(text)))
     )
-    shown = rebuilt.withColumn("__shown", F.coalesce(F.col("__rebuilt.text"), F.col(text)))
-    return shown.withColumn(
-        "view",
-        F.struct(
-            F.col("__shown").alias("text"),
-            fold_confusables(F.col("__shown")).alias("folded"),
-            F.when(
-                F.col("__rebuilt").isNotNull(),
-                F.struct(F.col("__rebuilt.starts").alias("starts"), F.col("__rebuilt.ends").alias("ends")),
-            ).alias("origins"),
-        ),
-    ).drop("__rebuilt", "__shown")
+    return (
+        rebuilt.withColumns({
+            "view_text": F.coalesce(F.col("__rebuilt.text"), F.col(text)),
+            "view_starts": F.col("__rebuilt.starts"),
+            "view_ends": F.col("__rebuilt.ends"),
+        })
+        .withColumn("view_folded", fold_confusables(F.col("view_text")))
+        .drop("__rebuilt")
+    )
 
 
 def _mapped(spans: str, text: str) -> str:
@@ -83,14 +85,14 @@ def _mapped(spans: str, text: str) -> str:
     is the round-trip test: viewing the mapped slice again gives the view of its
     clusters, which differs from the match exactly when a cluster was cut.
     """
-    inside = "s.start >= 0 and s.start < s.end and s.end <= size(view.origins.starts)"
-    starts = "view.origins.starts"
+    inside = "s.start >= 0 and s.start < s.end and s.end <= size(view_starts)"
+    starts = "view_starts"
     whole = (
         f"(s.start = 0 or get({starts}, s.start - 1) <> get({starts}, s.start)) and "
         f"(s.end = size({starts}) or get({starts}, s.end) <> get({starts}, s.end - 1))"
     )
     begin = f"get({starts}, s.start)"
-    end = "array_max(slice(view.origins.ends, s.start + 1, s.end - s.start))"
+    end = "array_max(slice(view_ends, s.start + 1, s.end - s.start))"
     return (
         f"transform(transform(filter({spans}, s -> {inside} and {whole}), s -> named_struct("
         f"'begin', {begin}, 'end', {end}, 's', s)), m -> named_struct('start', m.begin, 'end', m.end, "
@@ -106,7 +108,7 @@ def map_spans(df: DataFrame, spans: str = "spans", text: str = "text") -> DataFr
     result and counted: the caller refuses such records. What is left cannot
     overlap if the view spans did not, because clusters do not overlap.
     """
-    mapped = f"case when view.origins is null or size({spans}) = 0 then {spans} else {_mapped(spans, text)} end"
+    mapped = f"case when view_starts is null or size({spans}) = 0 then {spans} else {_mapped(spans, text)} end"
     others = [f"`{c}`" for c in df.columns if c != spans]
     return (
         df.selectExpr(*others, f"{spans} as __view_spans", f"{mapped} as {spans}")
