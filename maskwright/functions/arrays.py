@@ -24,6 +24,17 @@ def let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+def fence(value: str) -> str:
+    """``value``, kept by the optimizer as a column of its own.
+
+    A filter on a column is pushed down by putting the column's definition in its
+    place, again at every step below. For columns made in many steps the filter
+    grows beyond what can be planned, and the work is done twice. Filters that
+    should reach the scan belong before such a column.
+    """
+    return f"case when spark_partition_id() >= 0 then {value} end"
+
+
 def exclusive_scan(values: str, zero: str, merge: Callable[[str, str], str]) -> str:
     """``out[i]`` is the merge of ``zero`` and ``values[0..i-1]``, over ints.
 

@@ -161,7 +161,7 @@ def detect_dictionary_table(
             "words", locate("text", word, "hits"),
             f"transform(words, w -> named_struct('word', {fold('w.text')}, 'at', w.start, 'near', "
             f"substr(text, greatest(w.start - {lead} - 1, 0) + 1, {longest + lead + 2}), "
-            f"'offset', w.start - greatest(w.start - {lead} - 1, 0))))")) + ") as w"
+            f"'offset', w.start - greatest(w.start - {lead} - 1, 0)))")) + ") as w"
     ).select(*keys, "w.*")
     found = words.join(keyed, "word").withColumn("from", F.expr("offset - lead")).where("from >= 0").selectExpr(
         *keys, "at - lead as start", "n", "term", "substr(near, from + 1, n) as text",

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions import checks, fixed
-from maskwright.functions.arrays import MATCHES, find_all, let, locate, raw
+from maskwright.functions.arrays import MATCHES, fence, find_all, let, locate, raw
 from maskwright.operators.resolve import SPANS_TYPE, resolve_spans
 from maskwright.operators.view import detection_view
 
@@ -303,8 +303,8 @@ def _run(df: DataFrame, detectors: Sequence[Detector], pick: Callable[[Detector]
     empty = f"cast(array() as {SPANS_TYPE})"
     merged = ", ".join(f"coalesce({f}, {empty})" for f in found)
     kept = [f"`{c}`" for c in df.columns if not c.startswith("__d")]
-    return df.selectExpr(*kept, f"case when coalesce({', '.join(found)}) is null then {empty} "
-                                f"else concat({merged}) end as found")
+    spans = f"case when coalesce({', '.join(found)}) is null then {empty} else concat({merged}) end"
+    return df.selectExpr(*kept, f"{fence(spans)} as found")
 
 
 def detect_view(df: DataFrame, detectors: Sequence[Detector] = BUILTIN) -> DataFrame:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import fixed
-from maskwright.functions.arrays import raw, spans_of
-from maskwright.functions.text import canonicalize, canonicalize_array
+from maskwright.functions.arrays import spans_of
+from maskwright.functions.text import canonicalize
 from maskwright.operators.tokens import spliced
 from maskwright.operators.vault import AAD_DOMAIN, vault_get
+from maskwright.operators.view import nfkc_where_needed
 
 REPLY_KEYS = ("request_id", "field")
 
@@ -22,15 +23,16 @@ class OutputTooLarge(ValueError):
 
 def scan_tokens(replies: DataFrame, keys: Sequence[str] = REPLY_KEYS) -> DataFrame:
     """Every well-formed token of a reply with its offsets; the text stays behind."""
-    scope = [c for c in ("tenant_id", "conversation_id") if c in replies.columns]
     with_token = replies.where(F.contains(F.col("text"), F.lit(f":{fixed.TOKEN_VERSION}:")))
-    return with_token.select(*keys, *scope, F.inline(F.expr(spans_of("text", fixed.TOKEN)))).withColumnRenamed(
+    return with_token.select(*keys, F.inline(F.expr(spans_of("text", fixed.TOKEN)))).withColumnRenamed(
         "text", "token")
 
 
 def minted_here(tokens: DataFrame, prov: DataFrame) -> DataFrame:
-    """Adds ``minted``, ``canonical`` and ``original`` from the provenance of the same request."""
-    own = prov.select("request_id", "token", "canonical", "original", F.lit(True).alias("minted"))
+    """Adds ``minted``, the scope, ``canonical`` and ``original`` from the provenance of
+    the same request."""
+    own = prov.select("request_id", "token", "tenant_id", "conversation_id", "token_version", "canonical",
+                      "original", F.lit(True).alias("minted"))
     return tokens.join(own, ["request_id", "token"], "left").fillna(False, "minted")
 
 
@@ -42,9 +44,7 @@ def classify_tokens(
     Each distinct token of a request is looked up once, however often a reply
     repeats it; the lookups shuffle tokens, never texts.
     """
-    scope = ["request_id", "tenant_id", "conversation_id", "token"]
-    distinct = minted_here(tokens.select(*scope).distinct(), prov)
-    own = distinct.where("minted").withColumn("token_version", F.lit(fixed.TOKEN_VERSION))
+    own = minted_here(tokens.select("request_id", "token").distinct(), prov).where("minted")
     looked = vault_get(own, vault, keys, as_of, domain)
     outcome = (
         F.when(F.col("status") == "cross_tenant", "cross_tenant")
@@ -103,14 +103,7 @@ def has_lookalike(text: Column) -> Column:
     Judged on the compatibility form, so full-width disguises are seen too.
     """
     rest = F.regexp_replace(text, fixed.TOKEN, "")
-    return compatibility_form(rest).rlike(fixed.PLACEHOLDER_LOOKALIKE)
-
-
-def compatibility_form(text: Column) -> Column:
-    """NFKC; only texts that it can change are sent to Python."""
-    from maskwright.operators.view import nfkc_where_needed
-
-    return nfkc_where_needed(text)
+    return nfkc_where_needed(rest).rlike(fixed.PLACEHOLDER_LOOKALIKE)
 
 
 def placeholder_lookalikes(df: DataFrame, text: str = "text") -> DataFrame:
