@@ -31,7 +31,7 @@ def retry_after(wait: Column) -> Column:
 
 
 def _seconds(ts: Column) -> Column:
-    return F.unix_micros(ts) / F.lit(1_000_000.0)
+    return F.unix_micros(ts.cast("timestamp")) / F.lit(1_000_000.0)
 
 
 def token_bucket(

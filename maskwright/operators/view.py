@@ -108,7 +108,15 @@ def map_spans(df: DataFrame, spans: str = "spans", text: str = "text") -> DataFr
     result and counted: the caller refuses such records. What is left cannot
     overlap if the view spans did not, because clusters do not overlap.
     """
-    mapped = f"case when view_starts is null or size({spans}) = 0 then {spans} else {_mapped(spans, text)} end"
+    # look-alikes keep their places, so only the text of their spans is taken from the original
+    refilled = (
+        f"transform({spans}, s -> named_struct('start', s.start, 'end', s.end, 'entity_type', s.entity_type, "
+        f"'text', substr({text}, s.start + 1, s.end - s.start), 'score', s.score, 'detector', s.detector))"
+    )
+    mapped = (
+        f"case when size({spans}) = 0 then {spans} when view_starts is not null then {_mapped(spans, text)} "
+        f"when view_folded = {text} then {spans} else {refilled} end"
+    )
     others = [f"`{c}`" for c in df.columns if c != spans]
     return (
         df.selectExpr(*others, f"{spans} as __view_spans", f"{mapped} as {spans}")

@@ -20,6 +20,7 @@ ALIGNED = T.StructType([
     T.StructField("request_id", T.StringType()), T.StructField("block", T.StringType()),
     T.StructField("part", T.LongType()), T.StructField("kind", T.StringType()),
     T.StructField("text", T.StringType()), T.StructField("refusal", T.StringType())])
+_OUT = Row(*ALIGNED.names)
 _STATE = T.StructType([
     T.StructField("last_seq", T.LongType()), T.StructField("bytes", T.LongType()),
     T.StructField("blocks", T.LongType()), T.StructField("parts", T.LongType()),
@@ -108,14 +109,14 @@ class Align(StatefulProcessor):
             self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
         self.handle.registerTimer(now + self.idle_ms if done else min(now + self.idle_ms, since + self.total_ms))
         for o in out:
-            yield Row(*o)
+            yield _OUT(*o)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state = self.state.get() if self.state.exists() else None
         self.blocks.clear()
         self.state.clear()
         if state is not None and state[4] is None:
-            yield Row(key[0], None, state[3], "refused", None, "truncated")
+            yield _OUT(key[0], None, state[3], "refused", None, "truncated")
 
     def close(self) -> None:
         pass
