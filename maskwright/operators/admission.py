@@ -27,7 +27,7 @@ def authenticate_log(log: DataFrame, keys: DataFrame) -> DataFrame:
 
 def retry_after(wait: Column) -> Column:
     """Whole seconds, rounded up, at least 1."""
-    return F.greatest(F.lit(1), F.ceil(wait)).cast("int")
+    return F.when(wait.isNotNull(), F.greatest(F.lit(1), F.ceil(wait))).cast("int")
 
 
 def _seconds(ts: Column) -> Column:

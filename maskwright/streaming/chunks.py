@@ -24,7 +24,7 @@ _OUT = Row(*ALIGNED.names)
 _STATE = T.StructType([
     T.StructField("last_seq", T.LongType()), T.StructField("bytes", T.LongType()),
     T.StructField("blocks", T.LongType()), T.StructField("parts", T.LongType()),
-    T.StructField("done", T.StringType()), T.StructField("since", T.LongType())])
+    T.StructField("done", T.StringType()), T.StructField("since", T.LongType()), T.StructField("seen", T.LongType())])
 _BLOCK_KEY = T.StructType([T.StructField("block", T.StringType())])
 _BLOCK = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("held", T.StringType()), T.StructField("closed", T.BooleanType())])
@@ -55,68 +55,75 @@ class Align(StatefulProcessor):
         self.blocks = handle.getMapState("blocks", _BLOCK_KEY, _BLOCK)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        request = key[0]
-        now = timerValues.getCurrentProcessingTimeInMs()
-        last, size, n_blocks, parts, done, since = self.state.get() if self.state.exists() else (-1, 0, 0, 0, None, now)
+        # state is read and written once per key and batch: every call is a round trip
+        request, now = key[0], timerValues.getCurrentProcessingTimeInMs()
+        last, size, n_blocks, parts, done, since, _ = self.state.get() or (-1, 0, 0, 0, None, now, now)
+        blocks: dict[str, list] = {}
         out: list[tuple] = []
+        problem = None
         for row in sorted(rows, key=lambda r: r.seq):
             if done == "refused":
                 break
-            problem = None
             if done == "ended" or row.seq <= last:
                 problem = "sequence_violation"
             else:
                 last = row.seq
                 size += len((row.delta or "").encode("utf-8"))
-                if size > self.max_bytes:
-                    problem = "provider_output_too_large"
+                problem = "provider_output_too_large" if size > self.max_bytes else None
             if problem is None and row.kind == "end":
                 done = "ended"
-                entries = [(k[0], tuple(v)) for k, v in self.blocks.iterator()]
-                if any(not closed for _, (_, _, closed) in entries):
+                for block, value in self.blocks.iterator():
+                    blocks.setdefault(block[0], list(value))
+                if any(not closed for _, _, closed in blocks.values()):
                     problem = "block_not_closed"
                 else:
-                    for block, (kind, held, _) in sorted(entries):
+                    for block, (kind, held, _) in sorted(blocks.items()):
                         if kind == "tool":
                             out.append((request, block, parts, "tool", held, None))
                             parts += 1
             elif problem is None:
-                block_key = (row.block,)
-                if self.blocks.containsKey(block_key):
-                    kind, held, closed = self.blocks.getValue(block_key)
-                else:
-                    kind, held, closed = row.kind, "", False
+                if row.block not in blocks and n_blocks and self.blocks.containsKey((row.block,)):
+                    blocks[row.block] = list(self.blocks.getValue((row.block,)))
+                if row.block not in blocks:
+                    blocks[row.block] = [row.kind, "", False]
                     n_blocks += 1
-                if closed or kind != row.kind:
+                entry = blocks[row.block]
+                if entry[2] or entry[0] != row.kind:
                     problem = "block_violation"
                 elif n_blocks > self.max_blocks:
                     problem = "provider_item_limit"
                 else:
-                    text = held + (row.delta or "")
+                    text = entry[1] + (row.delta or "")
                     cut = len(text) if row.final else open_token_at(text)
-                    if kind == "text" and cut:
+                    if row.kind == "text" and cut:
                         out.append((request, row.block, parts, "text", text[:cut], None))
                         parts += 1
                         text = text[cut:]
-                    self.blocks.updateValue(block_key, (kind, text, bool(row.final)))
+                    entry[1], entry[2] = text, bool(row.final)
             if problem is not None:
                 done = "refused"
-                out = [o for o in out if o[3] != "tool"]
-                out.append((request, None, parts, "refused", None, problem))
-                self.blocks.clear()
-        self.state.update((last, size, n_blocks, parts, done, since))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer if isinstance(timer, int) else timer[0])
+                out = [o for o in out if o[3] != "tool"] + [(request, None, parts, "refused", None, problem)]
+        if done:
+            self.blocks.clear()
+        else:
+            for block, entry in blocks.items():
+                self.blocks.updateValue((block,), tuple(entry))
+        self.state.update((last, size, n_blocks, parts, done, since, now))
         self.handle.registerTimer(now + self.idle_ms if done else min(now + self.idle_ms, since + self.total_ms))
         for o in out:
             yield _OUT(*o)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        state = self.state.get() if self.state.exists() else None
-        self.blocks.clear()
-        self.state.clear()
-        if state is not None and state[4] is None:
-            yield _OUT(key[0], None, state[3], "refused", None, "truncated")
+        state = self.state.get()
+        now = timerValues.getCurrentProcessingTimeInMs()
+        if state is not None:
+            _, _, _, parts, done, since, seen = state
+            silent = now >= seen + self.idle_ms
+            if silent or (done is None and now >= since + self.total_ms):
+                self.blocks.clear()
+                self.state.clear()
+                if done is None:
+                    yield _OUT(key[0], None, parts, "refused", None, "truncated")
 
     def close(self) -> None:
         pass

@@ -165,6 +165,15 @@ REPLIES = f"""
     first_request as (select conv_id, min(request_id) as owner from minted group by conv_id)"""
 
 
+TAIL = """,
+    tail as (select o.request_id, o.conv_id, length(o.text) as len, f.token as foreign_token, f.owner from output o left join (
+        select m.conv_id, first_request.owner, max(m.token) as token from minted m join first_request on m.request_id = first_request.owner
+        group by m.conv_id, first_request.owner) f using (conv_id))"""
+# requests of a conversation share its fate, so a reply comes back whole or not at all
+RESTORED = f"""{REPLIES}{TAIL},
+    back as (select request_id, conv_id, case when conv_id % 10 in (1, 2, 3, 4, 5, 6) then text else original end as back from output)"""
+
+
 def scored() -> str:
     n = len(c.PLANTS)
     shift = f"case when k % 6 = 0 then 1 else 0 end"
@@ -337,8 +346,8 @@ def all_twins() -> dict[str, str]:
             from events where user_id % 3 = 1 and event_id % 2 = 1""",
         "in_flight": """
             with e as (select event_id, epoch_us(ts) / 1000000.0 as t, epoch_us(ts) / 1000000.0 + value as u from events),
-            p as (select event_id, t as at, 1 as d from e union all select event_id, u, -1 from e),
-            r as (select event_id, d, sum(d) over (order by at, d, event_id rows unbounded preceding) as active from p)
+            p as (select event_id, t as moment, 1 as d from e union all select event_id, u, -1 from e),
+            r as (select event_id, d, sum(d) over (order by moment, d, event_id rows unbounded preceding) as active from p)
             select event_id, cast(active as bigint) as active, active > 2 as over from r where d = 1""",
         "audit": f"""{decided('off')}, counts as (select request_id, {audit_counts} as entity_counts, sum(n) as n from (
                 select request_id, entity_type, count(*) as n from spans group by all) group by 1)
@@ -414,12 +423,17 @@ def all_twins() -> dict[str, str]:
             from final f join reqs r using (request_id) join (select conv_id, turn, text from conversations) v using (conv_id, turn)
             left join found using (request_id)
             left join (select request_id, sum(length(entity_type) + 38 - length(text)) as delta from spans group by 1) d using (request_id)""",
+        "restored_text": f"""{RESTORED} select x.request_id, back || ' {FORGED} ' || coalesce(case when own.outcome = 'restored' then own_text
+                else foreign_token end, '') as text from (select b.*, t.foreign_token from back b join tail t using (request_id)) x
+            left join (select distinct o.request_id, o.token, o.outcome, m.text as own_text from own o join minted m using (request_id, token)) own
+                on own.request_id = x.request_id and own.token = x.foreign_token""",
+        "stream_restored": f"""{RESTORED} select x.request_id, back || ' {FORGED} ' || coalesce(case when own.outcome = 'restored' then own_text
+                else foreign_token end, '') as text from (select b.*, t.foreign_token from back b join tail t using (request_id)) x
+            left join (select distinct o.request_id, o.token, o.outcome, m.text as own_text from own o join minted m using (request_id, token)) own
+                on own.request_id = x.request_id and own.token = x.foreign_token""",
         "restore_outcomes": f"""{REPLIES},
             own_tokens as (select o.request_id, p.token, p.rn, p.start + coalesce((select sum(length(x.token) - length(x.text)) from pieces x
-                where x.request_id = p.request_id and x.rn < p.rn), 0) as s from output o join pieces p using (request_id)),
-            tail as (select o.request_id, o.conv_id, length(o.text) as len, f.token as foreign_token, f.owner from output o left join (
-                select m.conv_id, first_request.owner, max(m.token) as token from minted m join first_request on m.request_id = first_request.owner
-                group by m.conv_id, first_request.owner) f using (conv_id))
+                where x.request_id = p.request_id and x.rn < p.rn), 0) as s from output o join pieces p using (request_id)){TAIL}
             select request_id, cast(s as int) as start, cast(s + length(token) as int) as "end", token, outcome from own_tokens join own using (request_id, token)
             union all select request_id, cast(len + 1 as int), cast(len + 1 + {len(FORGED)} as int), '{FORGED}', 'not_minted' from tail
             union all select t.request_id, cast(len + 2 + {len(FORGED)} as int), cast(len + 2 + {len(FORGED)} + length(foreign_token) as int), foreign_token,
