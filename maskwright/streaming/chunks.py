@@ -45,8 +45,8 @@ class Align(StatefulProcessor):
     falls silent or takes too long ends as truncated.
     """
 
-    def __init__(self, max_bytes: int, max_blocks: int, idle_s: int, total_s: int):
-        self.max_bytes, self.max_blocks = max_bytes, max_blocks
+    def __init__(self, max_bytes: int, max_blocks: int, idle_s: int, total_s: int, timers: bool):
+        self.max_bytes, self.max_blocks, self.timers = max_bytes, max_blocks, timers
         self.idle_ms, self.total_ms = idle_s * 1000, total_s * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -109,7 +109,8 @@ class Align(StatefulProcessor):
             for block, entry in blocks.items():
                 self.blocks.updateValue((block,), tuple(entry))
         self.state.update((last, size, n_blocks, parts, done, since, now))
-        self.handle.registerTimer(now + self.idle_ms if done else min(now + self.idle_ms, since + self.total_ms))
+        if self.timers:
+            self.handle.registerTimer(now + self.idle_ms if done else min(now + self.idle_ms, since + self.total_ms))
         for o in out:
             yield _OUT(*o)
 
@@ -131,11 +132,16 @@ class Align(StatefulProcessor):
 
 def align_stream(
     chunks: DataFrame, max_bytes: int = fixed.MAX_RESTORED_BYTES, max_blocks: int = fixed.MAX_JSON_ENTRIES,
-    idle_s: int = fixed.IDLE_SECONDS, total_s: int = fixed.TOTAL_SECONDS,
+    idle_s: int = fixed.IDLE_SECONDS, total_s: int = fixed.TOTAL_SECONDS, timers: bool = True,
 ) -> DataFrame:
-    """Streaming chunks as rows whose text can be restored one by one."""
+    """Streaming chunks as rows whose text can be restored one by one.
+
+    Without ``timers`` silent replies are not ended. A query over what is there
+    now has to go without: processing-time timers keep it running for ever.
+    """
     return chunks.groupBy("request_id").transformWithState(
-        Align(max_bytes, max_blocks, idle_s, total_s), ALIGNED, "append", "ProcessingTime")
+        Align(max_bytes, max_blocks, idle_s, total_s, timers), ALIGNED, "append",
+        "ProcessingTime" if timers else "None")
 
 
 def sequence_check(chunks: DataFrame, slice_rows: int = 100_000) -> DataFrame:

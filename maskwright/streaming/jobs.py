@@ -75,7 +75,9 @@ def restore_stream(
         _write(result["outcomes"], f"{out}/outcomes", batch_id)
         rows.unpersist()
 
-    return _start(align_stream(chunks, **limits), handle, checkpoint, trigger or {"availableNow": True})
+    trigger = trigger or {"availableNow": True}
+    limits.setdefault("timers", "availableNow" not in trigger)
+    return _start(align_stream(chunks, **limits), handle, checkpoint, trigger)
 
 
 def sweep_stream(ticks: DataFrame, vault_path: str, checkpoint: str, clock: Clock = utc_now, trigger: dict | None = None) -> StreamingQuery:
