@@ -143,7 +143,7 @@ def test_token_bucket_equals_a_plain_loop(spark):
     rng = random.Random(5)
     rows, now = [], 1_700_000_000.0
     for i in range(3000):
-        now += rng.choice([0.0, 0.1, 0.5, 30.0, 200.0]) if i % 50 else rng.choice([0.1, 5000.0])
+        now += rng.choice([0.0, 0.1, 0.5, 3.0]) if i % 150 else rng.choice([0.1, 5000.0])
         rows.append((i, rng.choice(["hot", "hot", "cold"]), now))
     log = spark.createDataFrame(rows, "event_id long, key_id string, t double").selectExpr(
         "event_id", "key_id", "timestamp_micros(cast(t * 1000000 as bigint)) as ts")
