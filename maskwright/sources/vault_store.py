@@ -15,7 +15,11 @@ VAULT_SCHEMA = (
 
 
 def _generation(spark: SparkSession, path: str) -> int:
-    """The newest complete generation, -1 if there is none yet."""
+    """The newest complete generation, -1 if there is none yet.
+
+    The first one is written by batches only, which leave no success marker; a
+    rewrite is complete with its marker.
+    """
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -25,7 +29,8 @@ def _generation(spark: SparkSession, path: str) -> int:
         int(s.getPath().getName().split("=")[1])
         for s in fs.listStatus(root)
         if s.getPath().getName().startswith("generation=")
-        and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
+        and (s.getPath().getName() == "generation=0"
+             or fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
     ]
     return max(done, default=-1)
 
