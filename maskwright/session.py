@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,28 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the Python workers of this session, once."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    target = os.path.join(tempfile.mkdtemp(prefix="maskwright-"), "maskwright.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(target)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    _shipped.add(app)
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder below ``spark.checkpoint.dir``.
 
