@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,14 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import arrow_rows, fold_of, materialize, table
+from maskwright.llm.common import arrow_rows, fold_of, table
 
 #: Slots are 2 ** SLOT_BITS; n-grams of words and of shapes up to these lengths.
 SLOT_BITS, WORD_N, SHAPE_N = 18, 2, 3
-#: Most labelled rows that are learned from, the shards they are dealt to, and passes over them.
-SAMPLE, SHARDS, PASSES = 24_000, 6, 2
+#: Most labelled rows that are learned from, rows of a shard, and updates that a shard makes at least.
+SAMPLE, SHARD_ROWS, UPDATES = 24_000, 4_000, 8_000
 #: FTRL-proximal: learning rate, smoothing, and the two penalties.
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.1
 #: Scores from here on are label 1.
 CUT = 0.3
 #: Chunks that a worker remembers before it starts its table anew.
@@ -54,31 +55,51 @@ def shape_of(part: str) -> int:
 
 
 class _Chunks(dict):
-    """Word hashes and shapes of the parts of a chunk between white space."""
+    """The parts of a chunk between white space, as places in the tables of word hashes and shapes."""
+
+    def __init__(self):
+        super().__init__()
+        self.words = np.zeros(REMEMBERED, np.uint64)
+        self.shapes = np.zeros(REMEMBERED, np.uint64)
+        self.parts: dict[str, int] = {}
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        found = _PARTS.findall(chunk)
+        places = []
+        for part in found:
+            place = self.parts.get(part)
+            if place is None:
+                place = self.parts[part] = len(self.parts)
+                if place >= len(self.words):
+                    self.words, self.shapes = (np.r_[x, np.zeros(len(x), np.uint64)] for x in (self.words, self.shapes))
+                self.words[place] = xxhash.xxh64_intdigest(part.lower())
+                self.shapes[place] = shape_of(part)
+            places.append(place)
+        value = self[chunk] = tuple(places)
+        return value
 
-    def __missing__(self, chunk: str) -> tuple[tuple[int, int], ...]:
-        if len(self) >= REMEMBERED:
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Word hashes and shapes of a text."""
+        if len(self) >= REMEMBERED or len(self.parts) >= REMEMBERED:
             self.clear()
-        value = tuple([(xxhash.xxh64_intdigest(p.lower()), shape_of(p)) for p in _PARTS.findall(chunk)])
-        self[chunk] = value
-        return value
+            self.parts.clear()
+        places = np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), np.int64)
+        return self.words[places], self.shapes[places]
 
 
 _chunks = _Chunks()
 
 
 def chunk_table() -> _Chunks:
+    """The table of this worker process."""
     return _chunks
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values of a text, a vector of length one."""
-    known = chunk_table()
-    parts = [p for c in (text or "").split() for p in known[c]]
-    if not parts:
+    words, shapes = chunk_table().of(text or "")
+    if not len(words):
         return np.zeros(0, np.int64), np.zeros(0)
-    pairs = np.array(parts, dtype=np.uint64)
-    words, shapes = pairs[:, 0], pairs[:, 1]
     again = np.r_[False, words[1:] == words[:-1]].astype(np.uint64)
     shapes = shapes + again * np.uint64(1024)
     slots = []
@@ -90,9 +111,8 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             gram = (gram[: len(sequence) - n + 1] ^ sequence[n - 1 :]) * _MIX
             gram ^= gram >> np.uint64(29)
             slots.append(gram * _MIX >> np.uint64(64 - SLOT_BITS))
-    counts = np.bincount(np.concatenate(slots).astype(np.int64), minlength=0)
-    used = np.flatnonzero(counts)
-    value = np.sqrt(counts[used])
+    used, counts = np.unique(np.concatenate(slots).astype(np.int64), return_counts=True)
+    value = np.sqrt(counts)
     return used, value / np.sqrt(np.dot(value, value))
 
 
@@ -121,7 +141,7 @@ class Leader:
         self.n[at] += g * g
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, shards: int = SHARDS) -> np.ndarray:
+def train(labelled: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights, the bias last, from rows of doc_id, text and label (0 or 1)."""
     labelled = labelled.filter("doc_id is not null and label is not null")
     ids = labelled.select("doc_id", F.xxhash64("doc_id").alias("h"))
@@ -130,13 +150,14 @@ def train(labelled: DataFrame, sample: int = SAMPLE, shards: int = SHARDS) -> np
         # ids below a bound of their hash: as good as a random sample, and at most a little over ``sample``
         bound = int(-(2**63) + 2**64 * (sample / n))
         labelled = labelled.filter(F.xxhash64("doc_id") < F.lit(bound))
+    shards = -(-max(min(n, sample), 1) // SHARD_ROWS)
     dealt = labelled.select(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).alias("shard"), "doc_id", "text", F.col("label").cast("int").alias("label"))
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(text=rows["text"].fillna("")).sort_values(["doc_id", "label", "text"])
         leader = Leader(1 << SLOT_BITS)
         vectors = [features(t) for t in rows["text"]]
-        for turn in range(PASSES):
+        for turn in range(-(-UPDATES // len(vectors))):
             for k in np.random.default_rng(turn).permutation(len(vectors)):
                 leader.learn(*vectors[k], rows["label"].iloc[k])
         w = leader.weights(np.arange((1 << SLOT_BITS) + 1))
@@ -194,6 +215,3 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         return pd.Series(sigmoid(np.array([w[-1] + w[s] @ x for s, x in found], dtype=float)))
 
     return docs.filter(score_of("text") >= CUT)
-
-
-_ = materialize
