@@ -27,12 +27,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,144 +48,167 @@ LONGEST = 200
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]{1,%d}" % LONGEST)
+_LETTERS = regex.compile(r"\p{L}+")
 _START, _STOP = "\x02", "\x03"
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
-
-
-def _hash(gram: str) -> int:
-    return xxhash.xxh64_intdigest(gram)
-
-
-class KneserNey:
-    """The model of one language."""
-
-    def __init__(self, words: dict[str, int], order: int = ORDER):
-        """words: count of every different word."""
-        self.order = order
-        top: Counter = Counter()
-        for word, n in words.items():
-            line = _START * (order - 1) + word + _STOP
-            for k in range(len(line) - order + 1):
-                top[line[k : k + order]] += n
-        counts = {order: top}
-        for n in range(order - 1, 0, -1):
-            # below the highest order: how many different characters come before the n-gram
-            lower: Counter = Counter()
-            for gram in counts[n + 1]:
-                lower[gram[1:]] += 1
-            counts[n] = lower
-        letters = max(len(counts[1]), 1)
-        self.floor = 1.0 / (letters + 1)
-        self.grams, self.contexts = {}, {}
-        for n, table_ in counts.items():
-            once, twice = sum(c == 1 for c in table_.values()), sum(c == 2 for c in table_.values())
-            discount = once / (once + 2 * twice) if once and twice else 0.5
-            total: Counter = Counter()
-            kinds: Counter = Counter()
-            for gram, c in table_.items():
-                total[gram[:-1]] += c
-                kinds[gram[:-1]] += 1
-            self.grams[n] = _sorted({g: max(c - discount, 0) / total[g[:-1]] for g, c in table_.items()})
-            self.contexts[n] = _sorted({g: discount * kinds[g] / total[g] for g in total})
-
-    def log_probability(self, word: str) -> float:
-        """Natural logarithm of the probability of a word and its end."""
-        line = _START * (self.order - 1) + word + _STOP
-        size = len(word) + 1
-        p = np.full(size, self.floor)
-        for n in range(1, self.order + 1):
-            grams = np.array([_hash(line[k - n : k]) for k in range(self.order, self.order + size)], dtype=np.uint64)
-            before = np.array([_hash(line[k - n : k - 1]) for k in range(self.order, self.order + size)], dtype=np.uint64)
-            share, left = _look(self.grams[n], grams, 0.0), _look(self.contexts[n], before, 1.0)
-            p = share + left * p
-        return float(np.log(p).sum())
+    """Runs of letters in lower case."""
+    if not text:
+        return []
+    words = _WORD.findall(text.lower())
+    if text.isascii():
+        return words
+    # numerals that are no decimal digits are no letters either
+    return [p for w in words for p in ((w,) if w.isalpha() else _LETTERS.findall(w))]
+
+
+def lines_of(words: list[str], order: int) -> np.ndarray:
+    """Code points of all words, each with its borders."""
+    before = _START * (order - 1)
+    joined = "".join([f"{before}{w}{_STOP}" for w in words])
+    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+
+def hashes(codes: np.ndarray, at: np.ndarray, back: int, stop: int) -> np.ndarray:
+    """Hashes of the stretches codes[at - back : at + stop]."""
+    found = np.full(len(at), 1, dtype=np.uint64)
+    for k in range(-back, stop):
+        found = (found ^ codes[at + k]) * _MIX
+        found ^= found >> np.uint64(31)
+    return found
 
 
-def _sorted(values: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.array([_hash(g) for g in values], dtype=np.uint64)
+def gram_shares(top: dict[str, int], order: int) -> dict[int, tuple[dict[str, float], dict[str, float]]]:
+    """Kneser-Ney from counts of the longest n-grams: by order, the discounted share of each n-gram
+    and the weight that each context leaves to the shorter one."""
+    counts = {order: Counter(top)}
+    for n in range(order - 1, 0, -1):
+        # below the highest order: how many different characters come before the n-gram
+        counts[n] = Counter(gram[1:] for gram in counts[n + 1])
+    out = {}
+    for n, found in counts.items():
+        once, twice = sum(c == 1 for c in found.values()), sum(c == 2 for c in found.values())
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+        total: Counter = Counter()
+        for gram, c in found.items():
+            total[gram[:-1]] += c
+        kinds = Counter(gram[:-1] for gram in found)
+        out[n] = ({g: max(c - discount, 0) / total[g[:-1]] for g, c in found.items()}, {g: discount * kinds[g] / total[g] for g in total})
+    return out
+
+
+def _table(by_lang: list[dict[str, float]], default: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the strings of all languages, and their values, a column for each language."""
+    strings = sorted(set().union(*by_lang))
+    width = len(strings[0]) if strings else 0
+    codes = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    keys = hashes(codes, np.arange(len(strings)) * width, 0, width)
+    values = np.array([[d.get(g, default) for d in by_lang] for g in strings])
     order = np.argsort(keys)
-    return keys[order], np.fromiter(values.values(), float)[order]
+    return keys[order], values[order]
 
 
-def _look(table_: tuple[np.ndarray, np.ndarray], keys: np.ndarray, default: float) -> np.ndarray:
-    known, values = table_
-    if not len(known):
-        return np.full(len(keys), default)
+def _look(known: np.ndarray, values: np.ndarray, keys: np.ndarray, default: float) -> np.ndarray:
     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return np.where(known[at] == keys, values[at], default)
+    return np.where((known[at] == keys)[:, None], values[at], default)
 
 
 class Identifier:
     """The models of all languages, and the bounds of their rejection."""
 
-    def __init__(self, words: dict[str, dict[str, int]], order: int = ORDER):
-        self.langs = sorted(words)
-        self.models = [KneserNey(words[lang], order) for lang in self.langs]
+    def __init__(self, grams: dict[str, dict[str, int]], order: int = ORDER):
+        """grams: by language, the counts of the n-grams of ``order`` characters."""
+        self.order, self.langs = order, sorted(grams)
+        models = [gram_shares(grams[lang], order) for lang in self.langs]
+        self.grams = {n: _table([m[n][0] for m in models], 0.0) for n in range(1, order + 1)} if models else {}
+        self.contexts = {n: _table([m[n][1] for m in models], 1.0) for n in range(1, order + 1)} if models else {}
+        self.floor = np.array([1.0 / (len(m[1][0]) + 1) for m in models])
         #: per language, by the power of two of the length: highest cross-entropy that is not rejected
         self.bounds: dict[str, dict[int, float]] = {}
         self.known: dict[str, int] = {}
-        self.table = np.zeros((0, len(self.langs)))
+        self.rows = np.zeros((0, len(self.langs)))
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}, "table": np.zeros((0, len(self.langs)))}
-
-    def _place(self, word: str) -> int:
-        place = self.known.get(word)
-        if place is None:
-            place = self.known[word] = len(self.known)
-            if place >= len(self.table):
-                self.table = np.r_[self.table, np.zeros((max(1024, len(self.table)), len(self.langs)))]
-            self.table[place] = [m.log_probability(word) for m in self.models]
-        return place
-
-    def entropies(self, text: str | None) -> tuple[np.ndarray, int]:
-        """Cross-entropy per character in each language, and the characters of the words with their ends."""
-        words = words_of(text)
-        if not words or not self.langs:
-            return np.zeros(0), 0
-        if len(self.known) > REMEMBERED:
+        return self.__dict__ | {"known": {}, "rows": np.zeros((0, len(self.langs)))}
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """Natural logarithm of the probability of each word and its end, a column for each language."""
+        codes = lines_of(words, self.order)
+        at = np.flatnonzero(codes != ord(_START))
+        p = np.broadcast_to(self.floor, (len(at), len(self.langs)))
+        for n in range(1, self.order + 1):
+            share = _look(*self.grams[n], hashes(codes, at, n - 1, 1), 0.0)
+            p = share + _look(*self.contexts[n], hashes(codes, at, n - 1, 0), 1.0) * p
+        first = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+        return np.add.reduceat(np.log(p), first, axis=0)
+
+    def remember(self, words: set[str]) -> None:
+        """Adds the words to the table of this worker."""
+        if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
-        places = [self._place(w) for w in words]
-        size = sum(map(len, words)) + len(words)
-        return -self.table[places].sum(axis=0) / size, size
-
-    def predict(self, text: str | None) -> tuple[str, float, bool, float]:
-        """Language, score, whether it is rejected, and the cross-entropy in that language."""
-        entropy, size = self.entropies(text)
-        if not size:
-            return UNKNOWN, 0.0, True, None
-        best = int(np.argmin(entropy))
-        share = np.exp((entropy[best] - entropy) * min(size, SURE))
-        rejected = bool(entropy[best] > self._bound(self.langs[best], size))
-        return self.langs[best], float(1 / share.sum()) * (0.5 if rejected else 1.0), rejected, float(entropy[best])
+        new = [w for w in words if w not in self.known]
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            start = len(self.known)
+            if start + len(part) > len(self.rows):
+                self.rows = np.r_[self.rows, np.zeros((len(self.rows) + len(part), len(self.langs)))]
+            self.rows[start : start + len(part)] = self.log_probabilities(part)
+            self.known |= zip(part, range(start, start + len(part)))
+
+    def entropies(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, int]]:
+        """For each text, the cross-entropy per character in each language, and the characters with the ends of words."""
+        for start in range(0, len(texts), 100):
+            lists = [words_of(t) for t in texts[start : start + 100]]
+            if self.langs:
+                self.remember(set().union(*lists))
+            for words in lists:
+                if not words or not self.langs:
+                    yield np.zeros(0), 0
+                    continue
+                size = sum(map(len, words)) + len(words)
+                yield -self.rows[[self.known[w] for w in words]].sum(axis=0) / size, size
+
+    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float, bool, float | None]]:
+        """For each text, language, score, whether it is rejected, and the cross-entropy in that language."""
+        for entropy, size in self.entropies(texts):
+            if not size:
+                yield UNKNOWN, 0.0, True, None
+                continue
+            best = int(np.argmin(entropy))
+            share = np.exp((entropy[best] - entropy) * min(size, SURE))
+            rejected = bool(entropy[best] > self._bound(self.langs[best], size))
+            yield self.langs[best], float(1 / share.sum()) * (0.5 if rejected else 1.0), rejected, float(entropy[best])
 
     def _bound(self, lang: str, size: int) -> float:
         """Of the lengths that were calibrated, the nearest that is no longer than the text, or else the shortest."""
         bounds = self.bounds.get(lang)
         if not bounds:
             return np.inf
-        length = size.bit_length()
-        shorter = [k for k in bounds if k <= length]
+        shorter = [k for k in bounds if k <= size.bit_length()]
         return bounds[max(shorter) if shorter else min(bounds)]
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """lang, word, n of rows of lang and text; counted within batches before the shuffle."""
-    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
+    """lang, gram, n over rows of lang and text; counted within batches before the shuffle."""
+    schema = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[str, Counter] = {}
+            words: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts.setdefault(lang, Counter()).update(words_of(text))
-            for lang, found in counts.items():
-                if found:
-                    yield arrow_rows(schema, {"lang": [lang] * len(found), "word": list(found), "n": list(found.values())})
+                words.setdefault(lang, Counter()).update(words_of(text))
+            for lang, found in words.items():
+                grams: Counter = Counter()
+                for word, n in found.items():
+                    line = _START * (order - 1) + word + _STOP
+                    for k in range(len(line) - order + 1):
+                        grams[line[k : k + order]] += n
+                if grams:
+                    yield arrow_rows(schema, {"lang": [lang] * len(grams), "gram": list(grams), "n": list(grams.values())})
 
-    return rows.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return rows.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def sampled(rows: DataFrame, most: int = SAMPLE) -> DataFrame:
@@ -204,19 +226,20 @@ def sampled(rows: DataFrame, most: int = SAMPLE) -> DataFrame:
 def learn(rows: DataFrame, order: int = ORDER, most: int = SAMPLE) -> Identifier:
     """The identifier learned from rows of doc_id, lang and text."""
     rows = materialize(sampled(rows, most).select("lang", "text"), "languages")
-    words: dict[str, dict[str, int]] = {}
-    for part in word_counts(rows).toLocalIterator(prefetchPartitions=True):
-        words.setdefault(part["lang"], {})[part["word"]] = part["n"]
-    found = Identifier(words, order)
+    grams: dict[str, dict[str, int]] = {}
+    for part in gram_counts(rows, order).collect():
+        grams.setdefault(part["lang"], {})[part["gram"]] = part["n"]
+    found = Identifier(grams, order)
     own = rows.sparkSession.sparkContext.broadcast(found)
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = own.value
         for frame in frames:
-            got = []
-            for lang, text in zip(frame["lang"], frame["text"]):
-                entropy, size = own.value.entropies(text)
-                if size:
-                    got.append((lang, size.bit_length(), float(entropy[own.value.langs.index(lang)])))
+            got = [
+                (lang, size.bit_length(), float(entropy[model.langs.index(lang)]))
+                for lang, (entropy, size) in zip(frame["lang"], model.entropies(frame["text"].tolist()))
+                if size
+            ]
             yield pd.DataFrame(got, columns=["lang", "length", "entropy"])
 
     spread = rows.mapInPandas(measure, "lang string, length int, entropy double").groupBy("lang", "length")
@@ -232,7 +255,7 @@ def identify(docs: DataFrame, found: Identifier) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [model.value.predict(t) for t in batch.column(1).to_pylist()]
+            rows = list(model.value.predict(batch.column(1).to_pylist()))
             columns = dict(zip(schema.names[1:], map(list, zip(*rows)))) if rows else {n: [] for n in schema.names[1:]}
             yield arrow_rows(schema, {"doc_id": batch.column(0)} | columns)
 
@@ -252,9 +275,6 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     @F.pandas_udf("boolean")
     def has_language(texts: pd.Series) -> pd.Series:
-        return pd.Series([not model.value.predict(t)[2] for t in texts], dtype=bool)
+        return pd.Series([not r[2] for r in model.value.predict(texts.tolist())], dtype=bool)
 
     return docs.filter(has_language("text"))
-
-
-_ = chain

@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import bpe, decontaminate, quality, simhash
+from maskwright.llm import bpe, decontaminate, language, quality, search, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_maxscore": search.op1_maxscore,
         "op2_quality": quality.op2_quality,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_bpe": bpe.op4_bpe,
+        "op8_language": language.op8_language,
         "op10_simhash": simhash.op10_simhash,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op1_maxscore": search.OP1_SQL}
