@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import bpe, ctw, decontaminate, language, quality, search, simhash
+from maskwright.llm import bpe, ctw, decontaminate, language, quality, search, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": quality.op2_quality,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_bpe": bpe.op4_bpe,
+        "op5_warc": warc.op5_warc,
         "op7_ctw": ctw.op7_ctw,
         "op8_language": language.op8_language,
         "op10_simhash": simhash.op10_simhash,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_maxscore": search.OP1_SQL}
+    return {"op1_maxscore": search.OP1_SQL, "op5_warc": warc.OP5_SQL}
