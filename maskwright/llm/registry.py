@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import bpe, ctw, decontaminate, language, quality, search, simhash, warc
+from maskwright.llm import bpe, chat, ctw, decontaminate, language, packing, quality, search, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,8 +16,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_bpe": bpe.op4_bpe,
         "op5_warc": warc.op5_warc,
+        "op6_packing": packing.op6_packing,
         "op7_ctw": ctw.op7_ctw,
         "op8_language": language.op8_language,
+        "op9_chat": chat.op9_chat,
         "op10_simhash": simhash.op10_simhash,
     }
 
