@@ -226,6 +226,7 @@ METRIC_STATUS = ("2xx", "4xx", "5xx", "none")
 METRIC_DECISIONS = ACTIONS + ("none",)
 METRIC_DESTINATIONS = ("external", "local", "mock", "none")
 REFUSAL_REASONS = ("not_minted", "vault_miss", "cross_tenant", "key_unavailable")
+REFUSED_RULE = "request-refused"
 AUDIT_VERSION = 3
 LOCAL = "local"
 IMPLICIT_DENY = "__implicit_deny__"

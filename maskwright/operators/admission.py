@@ -108,18 +108,20 @@ def in_flight(
 
     A sweep over starts and ends in two levels: running sums inside time slices
     in parallel, and over the sums of the slices. An end counts before a start of
-    the same moment.
+    the same moment, but the end of a request that takes no time comes after its
+    own start and before the next one.
     """
-    timed = log.withColumns({"__t": _seconds(F.col("ts"))}).withColumn("__e", F.col("__t") + F.col("duration_s"))
+    timed = log.withColumns({"__t": _seconds(F.col("ts"))}).withColumn("__e", F.col("__t") + F.greatest("duration_s", F.lit(0.0)))
+    lasting = F.when(F.col("__e") > F.col("__t"), 0).otherwise(1)
     points = timed.select(order, F.explode(F.array(
-        F.struct(F.col("__t").alias("at"), F.lit(1).alias("d")),
-        F.struct(F.col("__e").alias("at"), F.lit(-1).alias("d")))).alias("p")).select(order, "p.*")
+        F.struct(F.col("__t").alias("at"), F.lit(1).alias("phase"), F.lit(1).alias("d")),
+        F.struct(F.col("__e").alias("at"), lasting.alias("phase"), F.lit(-1).alias("d")))).alias("p")).select(order, "p.*")
     sliced = points.withColumn("__slice", F.floor(F.col("at") / slice_seconds))
     sums = sliced.groupBy("__slice").agg(F.sum("d").alias("s"))
     # one row per slice of time, however many requests there are
     base = sums.select("__slice", F.coalesce(
         F.sum("s").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy("__slice").orderBy("at", "d", order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("__slice").orderBy("at", "phase", order, F.desc("d")).rowsBetween(Window.unboundedPreceding, 0)
     running = sliced.withColumn("__run", F.sum("d").over(inside)).where("d = 1").join(F.broadcast(base), "__slice")
     active = running.select(order, (F.col("__run") + F.col("__base")).alias("active"))
     return log.join(active, order).withColumn("over", F.col("active") > cap)

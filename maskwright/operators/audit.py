@@ -17,6 +17,9 @@ AUDIT_SCHEMA = (
     "raw_content_logged boolean, latency_ms double, error string"
 )
 
+#: The error of a request that a rule blocked; any other is a refusal before a rule decided.
+BLOCKED = "blocked_by_policy"
+
 
 def build_audit(
     requests: DataFrame, inspected: DataFrame, decisions: DataFrame, restores: DataFrame | None = None,
@@ -25,8 +28,10 @@ def build_audit(
     """One event per request, counts and codes only.
 
     ``requests``: ids and whatever of model_requested, provider, timestamp,
-    latency_ms and error is known. Counts of types and signals come from one
-    aggregation, with the small map entries combined before the shuffle.
+    latency_ms, error and active_version (of the policy) is known. Counts of types and signals come from one
+    aggregation, with the small map entries combined before the shuffle. A request
+    that was refused before a rule decided counts as blocked by the refusal, and no
+    provider has seen it or a blocked one.
     """
     pairs = inspected.select("request_id", F.inline(F.concat(
         F.transform("spans", lambda s: F.struct(F.lit("e").alias("what"), s["entity_type"].alias("code"), F.lit(1).cast("bigint").alias("n"))),
@@ -42,6 +47,13 @@ def build_audit(
     joined = requests.join(decided, "request_id", "left").join(maps, "request_id", "left")
     if restores is not None:
         joined = joined.join(restores, "request_id", "left")
+    if "error" in joined.columns:
+        refused_early = F.col("error").isNotNull() & (F.col("error") != BLOCKED)
+        joined = joined.withColumns({
+            "decision": F.when(refused_early, "block").otherwise(F.col("decision")),
+            "destination": F.when(~refused_early, F.col("destination")),
+            "rule_name": F.when(refused_early, fixed.REFUSED_RULE).otherwise(F.col("rule_name")),
+        })
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
     total = F.aggregate(F.map_values("entity_counts"), F.lit(0).cast("bigint"), lambda a, v: a + v)
     have = set(joined.columns)
@@ -57,11 +69,12 @@ def build_audit(
         "schema_version": F.lit(fixed.AUDIT_VERSION),
         "timestamp": field("timestamp", (F.unix_micros(F.lit(as_of).cast("timestamp")) / 1e6) if as_of else F.lit(None)),
         "model_requested": field("model_requested", F.lit("unknown")),
-        "provider": field("provider", F.coalesce("destination", F.lit("none"))),
+        "provider": F.when(F.col("decision") == "block", "none").otherwise(
+            field("provider", F.coalesce("destination", F.lit("none")))),
         "destination": F.coalesce("destination", F.lit("none")),
         "decision": F.coalesce("decision", F.lit("none")),
         "rule_name": F.coalesce("rule_name", F.lit("none")),
-        "policy_version": F.coalesce("policy_version", F.lit("none")),
+        "policy_version": F.coalesce("policy_version", field("active_version", F.lit("none")), F.lit("none")),
         "entities_transformed": F.when(F.col("decision").isin("transform", "route_local"), total).otherwise(0),
         "tokens_restored": restored, "tokens_refused": refused,
         "restoration_performed": restored > 0,

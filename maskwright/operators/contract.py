@@ -107,10 +107,10 @@ def cap_input_chars(msgs: DataFrame, cap: int = fixed.MAX_INPUT_CHARS) -> tuple[
 
 _LEAF = T.StructType([
     T.StructField("path", T.ArrayType(T.StringType())), T.StructField("json_path", T.ArrayType(T.StringType())),
-    T.StructField("text", T.StringType()), T.StructField("structural", T.BooleanType())])
+    T.StructField("text", T.StringType()), T.StructField("structural", T.BooleanType()), T.StructField("reason", T.StringType())])
 _LEAVES_ARROW = pa.list_(pa.struct([
     ("path", pa.list_(pa.string())), ("json_path", pa.list_(pa.string())), ("text", pa.string()),
-    ("structural", pa.bool_())]))
+    ("structural", pa.bool_()), ("reason", pa.string())]))
 
 
 def _step(part) -> str:
@@ -141,7 +141,8 @@ def flatten_json_leaves(
     ``content`` names the paths whose strings may be changed (``messages.*.content``;
     ``*`` is an array position), ``encoded`` the strings that hold JSON themselves,
     whose strings all are content, ``numeric`` the numbers to be inspected. Keys,
-    numbers and all other strings are structural.
+    numbers and all other strings are structural. A record that is not JSON, or has
+    such an encoded string, is one row with ``reason`` and no text.
     """
     content, encoded, numeric = frozenset(content), frozenset(encoded), frozenset(numeric)
 
@@ -166,12 +167,18 @@ def flatten_json_leaves(
                 out.append((path, inner, str(node) if isinstance(node, int) else format(Decimal(str(node)), "f"), True))
         return [
             {"path": [_step(p) for p in path], "json_path": None if inner is None else [_step(p) for p in inner],
-             "text": value, "structural": fixed_part}
+             "text": value, "structural": fixed_part, "reason": None}
             for path, inner, value, fixed_part in out
         ]
 
+    def safe(text: str):
+        try:
+            return leaves(text)
+        except (ValueError, RecursionError):
+            return [{"path": None, "json_path": None, "text": None, "structural": True, "reason": "invalid_json"}]
+
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else leaves(t) for t in texts.to_pylist()], _LEAVES_ARROW)
+        return pa.array([None if t is None else safe(t) for t in texts.to_pylist()], _LEAVES_ARROW)
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     others = [c for c in df.columns if c != json_col]
@@ -234,19 +241,22 @@ def replace_json_leaves(
 def refuse_structural_hits(
     locations: DataFrame, spans: DataFrame, key: str = "record_id"
 ) -> tuple[DataFrame, DataFrame]:
-    """Locations of clean records, and records with a span where nothing may change."""
+    """Locations of clean records, and records with a span where nothing may change or without JSON."""
     fixed_parts = locations.where("structural").select(key, "leaf")
-    refused = (
-        spans.join(fixed_parts, [key, "leaf"], "left_semi").select(key).distinct()
-        .withColumn("reason", F.lit("sensitive_structure"))
-    )
+    hit = spans.join(fixed_parts, [key, "leaf"], "left_semi").select(key).distinct()
+    refused = hit.withColumn("reason", F.lit("sensitive_structure")).unionByName(
+        locations.where("reason is not null").select(key, "reason").distinct())
     return locations.join(refused.select(key), key, "left_anti"), refused
 
 
+def _no_constant(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
 @F.arrow_udf(T.StringType())
 def _tree_violation(texts: pa.Array) -> pa.Array:
     def check(text):
-        stack = [(json.loads(text), 0)]
+        stack = [(json.loads(text, parse_constant=_no_constant), 0)]
         while stack:
             node, depth = stack.pop()
             if depth > fixed.MAX_JSON_DEPTH or len(_children(node)) > fixed.MAX_JSON_ENTRIES:
@@ -275,11 +285,13 @@ def json_bounds(df: DataFrame, json_col: str = "body") -> DataFrame:
     included), or nested or filled beyond the limits; NULL if none.
 
     A record that is short, and has no more brackets than the depth limit and no
-    more separators than the entry limit, needs no look at its tree.
+    more separators than the entry limit, needs no look at its tree. NaN may be a
+    word of a string, so a record with it is judged by its tree.
     """
     col = F.col(json_col)
-    parses = F.expr(f"try_parse_json({json_col})").isNotNull() & ~col.rlike(r"(?:NaN|Infinity)(?=[\s,\]}]|\z)")
+    parses = F.expr(f"try_parse_json({json_col})").isNotNull()
     small = (
+        ~col.rlike("NaN|Infinity") &
         (F.regexp_count(col, F.lit(r"[\[{]")) <= fixed.MAX_JSON_DEPTH)
         & (F.regexp_count(col, F.lit(",")) < fixed.MAX_JSON_ENTRIES)
         & ~col.contains("\\u")

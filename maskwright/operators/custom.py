@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
+import ahocorasick
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,20 +15,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright.functions import fixed
-from maskwright.functions.arrays import find_all, let, locate, raw
 from maskwright.operators.detectors import Detector, detect_with, pattern_detector
 from maskwright.operators.resolve import SPANS_TYPE
 
-# beyond this many terms one alternation costs more than a join on words
-MAX_ALTERNATION = 2_000
+# characters of terms in one automaton; longer lists are matched in several, one after the other
+BLOCK_CHARS = 4_000_000
 
 
-class UnsafePattern(ValueError):
-    """A pattern that must not run."""
+_SPAN_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
+_SPAN_ROWS = T.ArrayType(T.StructType([
+    T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
+    T.StructField("text", T.StringType())]))
 
 
-def _quote(term: str) -> str:
-    return "".join(ch if ch.isalnum() or not ch.isascii() else "\\" + ch for ch in term)
+class UnsafePattern(ValueError):
+    """A pattern that must not run."""
 
 
 def _clean(terms: Sequence[str]) -> list[str]:
@@ -33,36 +37,123 @@ def _clean(terms: Sequence[str]) -> list[str]:
     return sorted(kept, key=lambda t: (-len(t), t))
 
 
+@lru_cache(maxsize=1)
+def _fold_table() -> dict[int, int]:
+    """One character for all that a scan without case takes for the same.
+
+    Characters are the same when their simple lower cases have the same upper case;
+    the mapping keeps the length of a text.
+    """
+    groups: dict[str, list[int]] = {}
+    for code in range(0x110000):
+        char = chr(code)
+        if char.lower() != char or char.upper() != char:
+            simple = char.lower() if len(char.lower()) == 1 else char.lower()[0]
+            groups.setdefault(simple.upper(), []).append(code)
+    return {c: min(g) for g in groups.values() if len(g) > 1 for c in g if c != min(g)}
+
+
+def _automaton(terms: Sequence[str], case_sensitive: bool) -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for term in terms:
+        key = term if case_sensitive else term.translate(_fold_table())
+        found.add_word(key, len(key))
+    found.make_automaton()
+    return found
+
+
+_automata: dict[str, object] = {}
+
+
+def _matches_of(source, case_sensitive: bool):
+    """All places of terms that are not inside words, as an Arrow function."""
+    name = uuid.uuid4().hex
+
+    def run(texts: pa.Array) -> pa.Array:
+        if name not in _automata:
+            _automata.clear()
+            _automata[name] = _automaton(source.value, case_sensitive)
+        found = _automata[name]
+        out = []
+        for text in texts.to_pylist():
+            if text is None:
+                out.append(None)
+                continue
+            folded = text if case_sensitive else text.translate(_fold_table())
+            spans = [(last - n + 1, last + 1) for last, n in found.iter(folded)]
+            out.append([
+                {"start": a, "end": b, "text": text[a:b]} for a, b in sorted(spans)
+                if not (a and _in_word(text[a - 1])) and not (b < len(text) and _in_word(text[b]))
+            ])
+        return pa.array(out, _SPAN_ARROW)
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, _SPAN_ROWS)
+
+
+def _in_word(char: str) -> bool:
+    return char.isalnum() or char == "_"
+
+
+def _blocks(terms: Sequence[str]) -> list[list[str]]:
+    out: list[list[str]] = []
+    room = 0
+    for term in terms:
+        if not out or len(term) > room:
+            out.append([])
+            room = BLOCK_CHARS
+        out[-1].append(term)
+        room -= len(term)
+    return out
+
+
 def dictionary_detector(
     terms: Sequence[str], entity_type: str = "CUSTOMER_TERM", name: str = "customer_dictionary",
     case_sensitive: bool = False,
 ) -> Detector:
-    """Exact terms, longest first, not inside words; for up to a few thousand terms."""
-    ordered = _clean(terms)
-    if len(ordered) > MAX_ALTERNATION:
-        raise ValueError("use detect_dictionary_table for a list of this size")
-    if not ordered:
+    """Exact terms, leftmost and longest first, not inside words; for lists of any size.
+
+    One automaton per block of terms finds all places where a text lies; a scan from
+    the left then takes the longest term at each place.
+    """
+    blocks = _blocks(_clean(terms))
+    if not blocks:
         return Detector(name, (entity_type,), (lambda text, _: {"spans": f"cast(null as {SPANS_TYPE})"},), False, "custom")
-    flag = "" if case_sensitive else "(?iu)"
-    firsts = "".join(sorted({c for t in ordered for c in (t[0].lower(), t[0].upper()) if len(c) == 1}))
-    gate = "(?=[" + "".join(_quote(c) for c in firsts) + "])" if case_sensitive else ""
-    pattern = (
-        f"{flag}{gate}{fixed.NOT_AFTER_WORD}(?:{'|'.join(_quote(t) for t in ordered)}){fixed.NOT_BEFORE_WORD}"
-    )
-    return pattern_detector(name, entity_type, pattern, fixed.CERTAIN, folded=False, kind="custom")
+    column = "__terms_" + re.sub(r"\W", "_", name)
+
+    def prepare(df: DataFrame, text: str) -> DataFrame:
+        context = df.sparkSession.sparkContext
+        parts = [_matches_of(context.broadcast(block), case_sensitive)(F.col(text)) for block in blocks]
+        return df.withColumn(column, F.concat(*parts) if len(parts) > 1 else parts[0])
+
+    def stage(_text: str, _cols: dict[str, str]) -> dict[str, str]:
+        ordered = (
+            f"array_sort(array_distinct({column}), (x, y) -> case when x.start < y.start then -1 when x.start > y.start then 1 "
+            "when x.end > y.end then -1 when x.end < y.end then 1 else 0 end)"
+        )
+        taken = (
+            f"aggregate({ordered}, named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,text:string>>)), "
+            "(s, m) -> if(m.start >= s.at, named_struct('at', m.end, 'out', concat(s.out, array(m))), s), s -> s.out)"
+        )
+        return {"spans": (
+            f"transform({taken}, m -> named_struct('start', m.start, 'end', m.end, 'entity_type', "
+            f"'{entity_type}', 'text', m.text, 'score', cast({fixed.CERTAIN} as double), 'detector', '{name}'))")}
+
+    return Detector(name, (entity_type,), (stage,), False, "custom", prepare)
 
 
-def check_pattern(pattern: str) -> tuple[int, int]:
-    """Refuses unsafe patterns; returns the least and greatest match width."""
+def check_pattern(pattern: str) -> bool:
+    """Refuses unsafe patterns; returns whether it surely never matches nothing."""
     if len(pattern) > fixed.MAX_PATTERN_LENGTH:
         raise UnsafePattern(f"a pattern has at most {fixed.MAX_PATTERN_LENGTH} characters")
     if re.search(fixed.NESTED_QUANTIFIER, pattern):
         raise UnsafePattern("a repeated group must not hold an unbounded repetition")
     try:
-        re.compile(pattern)
+        compiled = re.compile(pattern)
     except re.error as error:
         raise UnsafePattern("not a regular expression") from error
-    return re._parser.parse(pattern).getwidth()
+    # without constructs that match between characters, what can match nothing does so in an empty text
+    return compiled.match("") is None and not re.search(r"\(\?[=!<]|[\^$]|\\[bBAZ]", pattern)
 
 
 def _runs_on_jvm(pattern: str) -> bool:
@@ -71,15 +162,9 @@ def _runs_on_jvm(pattern: str) -> bool:
     It has to match at least one character, and to use no construct that the two
     dialects spell or read differently.
     """
-    least, _ = check_pattern(pattern)
+    never_empty = check_pattern(pattern)
     differs = r"\\[wWbBsSdDZ]|\(\?[Paiulmsx(]|\\[0-9N]|\$|\[\^?\]|&&|\[[^\]]*\["
-    return least > 0 and not re.search(differs, pattern) and "'" not in pattern
-
-
-_SPAN_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
-_SPAN_ROWS = T.ArrayType(T.StructType([
-    T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
-    T.StructField("text", T.StringType())]))
+    return never_empty and not re.search(differs, pattern) and "'" not in pattern
 
 
 def _python_matches(pattern: str, flags: int):
@@ -123,62 +208,12 @@ def regex_detector(
 
 def detect_dictionary(msgs: DataFrame, terms: Sequence[str], **options) -> DataFrame:
     """Span table of a term list of any size."""
-    if len(_clean(terms)) > MAX_ALTERNATION:
-        frame = msgs.sparkSession.createDataFrame([(t,) for t in _clean(terms)], "term string")
-        return detect_dictionary_table(msgs, frame, **options)
     return detect_with(msgs, [dictionary_detector(terms, **options)])
 
 
-def detect_dictionary_table(
-    msgs: DataFrame, terms: DataFrame, entity_type: str = "CUSTOMER_TERM",
-    name: str = "customer_dictionary", case_sensitive: bool = False,
-) -> DataFrame:
-    """Span table of a large term table ``(term)``.
-
-    A term is found by its first word: texts are split into words once, words
-    join terms on their hash key, and only the few candidates are compared in
-    full. Matches then are taken leftmost and longest first, as in a scan. The
-    join is left to the planner, since a term table may be of any size.
-    """
-    fold = (lambda c: c) if case_sensitive else (lambda c: f"lower({c})")
-    word = r"[\p{L}\p{N}_]+"
-    first = f"regexp_extract(term, {raw(word)}, 0)"
-    clean = terms.selectExpr("trim(term) as term").where("term <> ''").distinct()
-    keyed = clean.selectExpr(
-        "term", "length(term) as n",
-        f"{fold(first)} as word",
-        f"instr(term, {first}) - 1 as lead",
-    )
-    if keyed.where("word = ''").limit(1).count():
-        raise ValueError("a term needs at least one letter or digit")
-    widest = keyed.agg(F.max("n"), F.max("lead")).first()
-    if widest[0] is None:
-        return detect_with(msgs, [dictionary_detector([], entity_type, name)])
-    longest, lead = widest
-    keys = [c for c in msgs.columns if c not in ("text", "role")]
-    words = msgs.selectExpr(
-        *keys, "explode(" + let("hits", find_all("text", word), let(
-            "words", locate("text", word, "hits"),
-            f"transform(words, w -> named_struct('word', {fold('w.text')}, 'at', w.start, 'near', "
-            f"substr(text, greatest(w.start - {lead} - 1, 0) + 1, {longest + lead + 2}), "
-            f"'offset', w.start - greatest(w.start - {lead} - 1, 0)))")) + ") as w"
-    ).select(*keys, "w.*")
-    found = words.join(keyed, "word").withColumn("from", F.expr("offset - lead")).where("from >= 0").selectExpr(
-        *keys, "at - lead as start", "n", "term", "substr(near, from + 1, n) as text",
-        "if(from > 0, substr(near, from, 1), '') as before", "substr(near, from + n + 1, 1) as after",
-    ).where(f"{fold('text')} = {fold('term')} and length(text) = n and not before rlike r'{word}' and not after rlike r'{word}'")
-    order = F.sort_array(F.collect_set(F.struct("start", (-F.col("n")).alias("m"), "text")))
-    taken = (
-        "aggregate(hits, named_struct('at', -1, 'out', cast(array() as array<struct<start:int,m:int,text:string>>)), "
-        "(s, h) -> if(h.start >= s.at, named_struct('at', h.start - h.m, 'out', concat(s.out, array(h))), s)).out"
-    )
-    return (
-        found.withColumn("n", F.col("n").cast("int")).withColumn("start", F.col("start").cast("int"))
-        .groupBy(*keys).agg(order.alias("hits"))
-        .select(*keys, F.inline(F.expr(taken)))
-        .selectExpr(*keys, "start", "start - m as end", f"'{entity_type}' as entity_type", "text",
-                    f"cast({fixed.CERTAIN} as double) as score", f"'{name}' as detector")
-    )
+def detect_dictionary_table(msgs: DataFrame, terms: DataFrame, **options) -> DataFrame:
+    """Span table of a term table ``(term)``, which is configuration and read on the driver."""
+    return detect_dictionary(msgs, [r["term"] for r in terms.select("term").distinct().toLocalIterator()], **options)
 
 
 def detect_custom_regex(msgs: DataFrame, pattern: str, entity_type: str, **options) -> DataFrame:

@@ -433,14 +433,15 @@ def infer_country(spans: DataFrame, docs: DataFrame, key: str = "request_id") ->
     Document marks are computed once per document; a text travels to its spans
     only as marks and as the short windows before them.
     """
-    starts = spans.groupBy(key).agg(F.collect_set("start").alias("__starts"))
+    keys = [key, *(c for c in ("idx",) if c in spans.columns and c in docs.columns)]
+    starts = spans.groupBy(*keys).agg(F.collect_set("start").alias("__starts"))
     marked = (
-        docs.select(key, "text").join(starts, key)
-        .selectExpr(key, f"{country_marks('text')} as marks", "explode(transform(__starts, s -> named_struct("
-                         f"'start', s, 'near', {name_window('text', 's')}))) as w")
-        .selectExpr(key, "w.start as start", f"{infer_country_sql('w.near', 'marks')} as country")
+        docs.select(*keys, "text").join(starts, keys)
+        .selectExpr(*keys, f"{country_marks('text')} as marks", "explode(transform(__starts, s -> named_struct("
+                           f"'start', s, 'near', {name_window('text', 's')}))) as w")
+        .selectExpr(*keys, "w.start as start", f"{infer_country_sql('w.near', 'marks')} as country")
     )
-    return spans.join(marked, [key, "start"], "left")
+    return spans.join(marked, [*keys, "start"], "left")
 
 
 def detect_all(msgs: DataFrame, enabled: Sequence[Detector] = BUILTIN) -> DataFrame:

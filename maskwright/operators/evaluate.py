@@ -98,14 +98,11 @@ def threshold_gate(
     return joined.where("precision < min_precision or recall < min_recall")
 
 
-def failure_list(outcomes: DataFrame, n: int = 40) -> DataFrame:
-    """The first failures by example: where and why, without the text."""
+def failure_list(outcomes: DataFrame) -> DataFrame:
+    """All failures: where and why, without the text."""
     reason = F.when(F.col("outcome") == "fn", "missed").otherwise("spurious")
-    return (
-        outcomes.where("outcome <> 'tp'")
-        .select(F.col("id").alias("example_id"), "kind", "lang", reason.alias("reason"), "entity_type", "start", "end")
-        .orderBy("example_id", F.col("reason"), "start", "end", "entity_type").limit(n)
-    )
+    return outcomes.where("outcome <> 'tp'").select(
+        F.col("id").alias("example_id"), "kind", "lang", reason.alias("reason"), "entity_type", "start", "end")
 
 
 def overall(counts: DataFrame) -> DataFrame:
@@ -114,12 +111,6 @@ def overall(counts: DataFrame) -> DataFrame:
         F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
 
 
-def _nearest_rank(values: str, fraction: float) -> str:
-    """The value at rank ``int(n * fraction)`` of a sorted array, at least the first."""
-    n = f"cast(size({values}) * {fraction} as int)"
-    return f"get({values}, least(size({values}), greatest(1, {n})) - 1)"
-
-
 def stage_latency(timings: DataFrame, budget_ms: float = 150.0) -> DataFrame:
     """Per stage p50, p95, p99, max, mean, and whether p95 is within the budget.
 

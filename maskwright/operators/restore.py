@@ -121,7 +121,7 @@ def restore_atomic(leaves: DataFrame, outcomes: DataFrame, key: str = "record_id
     token_keys = [key, "leaf"]
     restored = restore_text(leaves, outcomes, token_keys)
     left = F.col("text").rlike(fixed.TOKEN) | has_lookalike(F.col("text"))
-    bad_leaf = leaves.where(has_lookalike(F.col("text"))).select(key)
+    bad_leaf = leaves.where(has_lookalike(F.col("text")) | F.col("reason").isNotNull()).select(key)
     bad_token = outcomes.where("outcome <> 'restored'").select(key)
     in_structure = leaves.where("structural").join(outcomes.select(*token_keys).distinct(), token_keys, "left_semi").select(key)
     remaining = restored.where(left).select(key)

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from maskwright.functions import fixed
 from maskwright.operators import audit as audit_ops
 from maskwright.operators import evaluate as ev
-from maskwright.operators.contract import cap_input_chars
+from maskwright.operators.contract import cap_input_chars, flatten_json_leaves, replace_json_leaves
 from maskwright.operators.detectors import BUILTIN, Detector
 from maskwright.operators.inspect import inspect, quarantine
 from maskwright.operators.policy import base_vs_effective, decide, request_facts
 from maskwright.operators.restore import (
-    REPLY_KEYS, classify_tokens, output_budget, restore_counts, restore_text, scan_tokens,
+    REPLY_KEYS, classify_tokens, output_budget, restore_atomic, restore_counts, restore_text, scan_tokens,
 )
 from maskwright.operators.tokens import mint_tokens, replace_spans, token_collisions, with_tokens
 from maskwright.operators.vault import vault_put
@@ -33,6 +33,7 @@ def pseudonymize(
     works on ids, spans and tokens. Requests refused or blocked have no text; those
     allowed keep theirs; a transform replaces all spans of the request.
     """
+    every = msgs
     if max_chars is not None:
         msgs, too_long = cap_input_chars(msgs, max_chars)
     inspected = materialize(inspect(msgs, detectors, block_mixed), "inspected")
@@ -51,8 +52,10 @@ def pseudonymize(
     if token_collisions(prov).head(1):
         raise ValueError("two values share a token; nothing may be written")
     vault = materialize(vault_put(prov, vault_keys, as_of, ttl_seconds, key_version), "vault")
-    ids = inspected.groupBy("request_id").agg(
-        *[F.first(c).alias(c) for c in ("tenant_id", "conversation_id", "api_key_id", "application")])
+    # one event for every request that came in, however it ended
+    ids = every.groupBy("request_id").agg(
+        *[F.first(c).alias(c) for c in ("tenant_id", "conversation_id", "api_key_id", "application")]
+    ).withColumn("active_version", rules.select(F.max("version")).scalar())
     events = ids.join(refused.withColumnRenamed("reason", "error"), "request_id", "left")
     blocked = decisions.where("action = 'block'").select("request_id", F.lit("blocked_by_policy").alias("__blocked"))
     events = events.join(blocked, "request_id", "left").withColumn("error", F.coalesce("error", "__blocked")).drop("__blocked")
@@ -71,6 +74,31 @@ def restore(
     return {"text": kept, "outcomes": outcomes, "counts": restore_counts(outcomes), "refused": refused}
 
 
+def restore_arguments(
+    calls: DataFrame, prov: DataFrame, vault: DataFrame, vault_keys: DataFrame, as_of, keys: Sequence[str] = REPLY_KEYS,
+) -> dict[str, DataFrame]:
+    """Tool calls whose ``text`` is JSON: strings restored inside it, or the whole call refused.
+
+    ``text`` has ``refusal`` beside it, NULL for restored calls, whose text stays valid JSON.
+    """
+    keys = list(keys)
+    records = calls.withColumn("record_id", F.to_json(F.struct(*keys)))
+    wrapped = records.select("record_id", "request_id", F.to_json(F.struct(F.col("text").alias("arguments"))).alias("body"))
+    leaves = materialize(flatten_json_leaves(wrapped, encoded=("arguments",)), "arguments")
+    # the wrapper's own key is no part of the call
+    leaves = leaves.where("json_path is not null or reason is not null")
+    found = scan_tokens(leaves, ("request_id", "record_id", "leaf"))
+    outcomes = materialize(classify_tokens(found, prov, vault, vault_keys, as_of), "outcomes")
+    done, refused = restore_atomic(leaves, outcomes)
+    refused = materialize(refused, "refused")
+    kept = wrapped.join(refused.select("record_id"), "record_id", "left_anti")
+    touched = done.drop("request_id").join(outcomes.select("record_id", "leaf").distinct(), ["record_id", "leaf"], "left_semi")
+    whole = replace_json_leaves(kept, touched).select("record_id", F.get_json_object("body", "$.arguments").alias("__text"))
+    text = records.join(whole, "record_id", "left").join(refused.select("record_id", F.col("reason").alias("refusal")), "record_id", "left")
+    text = text.withColumn("text", F.when(F.col("refusal").isNull(), F.col("__text"))).drop("__text", "record_id")
+    return {"text": text, "outcomes": outcomes}
+
+
 def predict(examples: DataFrame, detectors: Sequence[Detector] = BUILTIN) -> DataFrame:
     """Predicted spans of examples; a span that does not map back counts as a miss."""
     from maskwright.operators.detectors import detect_all

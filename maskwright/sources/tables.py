@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.operators.audit import AUDIT_SCHEMA
@@ -25,22 +25,35 @@ CHUNK_SCHEMA = (
 )
 
 
+SCOPE_IDS = ("request_id", "tenant_id", "conversation_id", "api_key_id")
+
+
+def _refusal() -> Column:
+    lacking = F.lit(False)
+    for c in SCOPE_IDS:
+        lacking = lacking | (F.coalesce(F.col(c), F.lit("")) == "")
+    return F.when(lacking, "incomplete_scope").when(F.coalesce(F.size("messages"), F.lit(0)) <= 0, "no_messages")
+
+
+def refused_requests(requests: DataFrame) -> DataFrame:
+    """Requests without a complete scope or without messages, with ``reason``."""
+    return requests.select(*SCOPE_IDS, F.coalesce("application", F.lit("unknown")).alias("application"), "model", _refusal().alias("reason")).where(
+        "reason is not null")
+
+
 def messages_of(requests: DataFrame) -> DataFrame:
-    """One row per message; requests lacking an id of their scope are left out."""
-    scope = ("request_id", "tenant_id", "conversation_id", "api_key_id")
-    complete = F.lit(True)
-    for c in scope:
-        complete = complete & (F.coalesce(F.col(c), F.lit("")) != "")
-    return requests.where(complete).select(
-        *scope, F.coalesce("application", F.lit("unknown")).alias("application"), "model",
+    """One row per message of the requests that ``refused_requests`` does not name."""
+    return requests.where(_refusal().isNull()).select(
+        *SCOPE_IDS, F.coalesce("application", F.lit("unknown")).alias("application"), "model",
         F.posexplode("messages").alias("idx", "__m"),
-    ).select(*scope, "application", "model", "idx", F.col("__m.role").alias("role"), F.col("__m.content").alias("text"))
+    ).select(*SCOPE_IDS, "application", "model", "idx", F.col("__m.role").alias("role"), F.col("__m.content").alias("text"))
 
 
-def read_requests(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Messages of request records in JSON lines or parquet."""
+def read_requests(spark: SparkSession, path: str, fmt: str = "json") -> tuple[DataFrame, DataFrame]:
+    """Messages of request records in JSON lines or parquet, and the refused requests."""
     reader = spark.read.schema(REQUEST_SCHEMA)
-    return messages_of(reader.parquet(path) if fmt == "parquet" else reader.json(path))
+    requests = reader.parquet(path) if fmt == "parquet" else reader.json(path)
+    return messages_of(requests), refused_requests(requests)
 
 
 def read_corpus(spark: SparkSession, path: str, split: str) -> DataFrame:

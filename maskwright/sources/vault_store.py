@@ -1,84 +1,189 @@
-"""The vault as parquet: partitioned by bucket, written idempotently by batch."""
+"""The vault as parquet: batch folders, published by a log of small commit files.
+
+A commit names folders that it adds and folders that it replaces, and the vault is
+what was added and not replaced. Batches that arrive while a sweep or an erasure runs
+are named by commits of their own, so they are neither lost nor rewritten. A rewrite
+is published by creating a numbered file that must not exist, so of two rewrites that
+have read the same vault only one goes through; the other has to be run again.
+Replaced folders are deleted, since erased values are in them; a reader that had
+planned on them fails and has to read again.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.operators.vault import SCOPE, erase_conversations, erase_tokens, latest, purge_expired
 
+#: Buckets of a new vault: the unit that lookups prune by. Choose it by the volume.
 BUCKETS = 256
-VAULT_SCHEMA = (
+ROWS_SCHEMA = (
     "tenant_id string, conversation_id string, token string, token_version string, key_version int, "
-    "record binary, expires_at timestamp, batch_id string, bucket int"
+    "record binary, expires_at timestamp"
 )
-
-
-def _generation(spark: SparkSession, path: str) -> int:
-    """The newest complete generation, -1 if there is none yet.
-
-    The first one is written by batches only, which leave no success marker; a
-    rewrite is complete with its marker.
-    """
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return -1
-    done = [
-        int(s.getPath().getName().split("=")[1])
-        for s in fs.listStatus(root)
-        if s.getPath().getName().startswith("generation=")
-        and (s.getPath().getName() == "generation=0"
-             or fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    ]
-    return max(done, default=-1)
-
-
-def _folder(path: str, generation: int) -> str:
-    return f"{path.rstrip('/')}/generation={generation}"
-
-
-def upsert_vault(vault: DataFrame, path: str, batch_id: str) -> None:
-    """Adds rows as one batch; writing the same batch again replaces it.
+VAULT_SCHEMA = ROWS_SCHEMA + ", bucket int"
+
+
+class Conflict(RuntimeError):
+    """Another rewrite of the vault was published first."""
+
+
+class _Log:
+    """The commit files of a vault, by the file system that Spark would use for the path."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, self.root = spark._jvm, path.rstrip("/")
+        self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+
+    def read(self, name: str) -> dict:
+        stream = self.fs.open(self._path(name))
+        try:
+            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def create(self, name: str, content: dict) -> None:
+        """Writes a file that must not exist; a reader never sees a part of it."""
+        hidden = self._path(f"commits/.{uuid.uuid4().hex}")
+        stream = self.fs.create(hidden, False)
+        stream.write(bytearray(json.dumps(content).encode()))
+        stream.close()
+        options = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(hidden.toUri(), self.fs.getConf())
+        none = self.jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        renames = self._one(none)
+        try:
+            options.rename(self.fs.makeQualified(hidden), self.fs.makeQualified(self._path(name)), renames)
+        except Exception as error:
+            self.fs.delete(hidden, False)
+            if self.exists(name):
+                raise Conflict(name) from error
+            raise
+
+    def _one(self, option):
+        array = self.jvm.java.lang.reflect.Array.newInstance(option.getDeclaringClass(), 1)
+        array[0] = option
+        return array
+
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self._path(name))
+
+    def commits(self) -> list[str]:
+        folder = self._path("commits")
+        if not self.fs.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in self.fs.listStatus(folder)]
+        return sorted(n for n in names if n.endswith(".json"))
+
+    def state(self) -> tuple[set[str], set[str], int]:
+        """Live folders, replaced folders, and the number of the next rewrite."""
+        added, replaced, rewrites = set(), set(), 0
+        for name in self.commits():
+            commit = self.read(f"commits/{name}")
+            added |= set(commit["add"])
+            replaced |= set(commit["replace"])
+            rewrites += name.startswith("rewrite-")
+        return added - replaced, replaced, rewrites
+
+    def delete(self, folders: set[str]) -> None:
+        for folder in folders:
+            if self.exists(folder):
+                self.fs.delete(self._path(folder), True)
+
+    def buckets(self) -> int | None:
+        return self.read("settings.json")["buckets"] if self.exists("settings.json") else None
+
+
+def _buckets(spark: SparkSession, log: _Log, wanted: int) -> int:
+    known = log.buckets()
+    if known is None:
+        log.fs.mkdirs(log._path("commits"))
+        try:
+            log.create("settings.json", {"buckets": wanted})
+        except Conflict:
+            pass
+        known = log.buckets()
+    return known
+
+
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64(*SCOPE), F.lit(buckets)).cast("int")
+
+
+def _write(rows: DataFrame, log: _Log, folder: str, buckets: int) -> None:
+    dealt = rows.select(*[f.split()[0] for f in ROWS_SCHEMA.split(", ")]).withColumn("bucket", _bucket(buckets))
+    dealt.repartition("bucket").write.partitionBy("bucket").parquet(f"{log.root}/{folder}")
+
+
+def upsert_vault(vault: DataFrame, path: str, batch_id: str, buckets: int = BUCKETS) -> None:
+    """Adds rows as one batch; a batch that is already there is left as it is.
 
     Rows are clustered by bucket, a hash of the conversation and the token, so
     that one busy conversation is not one file.
     """
-    spark = vault.sparkSession
-    generation = max(_generation(spark, path), 0)
-    bucket = F.pmod(F.xxhash64(*SCOPE), F.lit(BUCKETS)).cast("int")
-    rows = vault.withColumns({"batch_id": F.lit(batch_id), "bucket": bucket})
-    (
-        rows.repartition("bucket").write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "bucket")
-        .parquet(_folder(path, generation))
-    )
-
-
-def read_vault(spark: SparkSession, path: str) -> DataFrame:
-    """The latest row of every token."""
-    generation = _generation(spark, path)
-    if generation < 0:
-        return spark.createDataFrame([], VAULT_SCHEMA).drop("batch_id", "bucket")
-    rows = spark.read.schema(VAULT_SCHEMA).parquet(_folder(path, generation)).drop("batch_id", "bucket")
-    return latest(rows)
+    log = _Log(vault.sparkSession, path)
+    buckets = _buckets(vault.sparkSession, log, buckets)
+    name = f"commits/batch-{batch_id}.json"
+    if log.exists(name):
+        return
+    folder = f"data/{batch_id}-{uuid.uuid4().hex}"
+    _write(vault, log, folder, buckets)
+    try:
+        log.create(name, {"add": [folder], "replace": []})
+    except Conflict:
+        log.delete({folder})
+
+
+def _rows_of(spark: SparkSession, log: _Log, folders: set[str]) -> DataFrame:
+    if not folders:
+        return spark.createDataFrame([], VAULT_SCHEMA)
+    reader = spark.read.schema(VAULT_SCHEMA)
+    frames = [reader.parquet(f"{log.root}/{f}") for f in sorted(folders)]
+    rows = frames[0]
+    for frame in frames[1:]:
+        rows = rows.unionByName(frame)
+    return rows
+
+
+def read_vault(spark: SparkSession, path: str, tokens: DataFrame | None = None) -> DataFrame:
+    """The latest row of every token; with ``tokens`` (their scope), only of buckets that hold one of them."""
+    log = _Log(spark, path)
+    rows = _rows_of(spark, log, log.state()[0])
+    if tokens is not None and log.buckets():
+        # as many numbers as there are buckets, at most
+        wanted = [r[0] for r in tokens.select(_bucket(log.buckets())).distinct().collect()]
+        rows = rows.where(F.col("bucket").isin(wanted)) if wanted else rows.limit(0)
+    return latest(rows.drop("bucket"))
 
 
 def rewrite_vault(spark: SparkSession, path: str, keep) -> int:
-    """Writes ``keep(vault)`` as the next generation; returns how many rows went away.
+    """Replaces the vault by ``keep(vault)``; returns how many rows went away.
 
-    Readers see the old generation until the new one is complete; a lost executor
-    repeats tasks and never leaves half a vault. Old generations are for the
-    operator to delete, since erased values stay in them.
+    What arrives meanwhile stays. Nothing changes before the commit, so a failed
+    rewrite leaves a folder that no commit names, and the next one goes through.
     """
-    before = read_vault(spark, path)
-    kept = keep(before).withColumns({
-        "batch_id": F.lit("rewrite"), "bucket": F.pmod(F.xxhash64(*SCOPE), F.lit(BUCKETS)).cast("int")})
-    n_before = before.count()
-    target = _folder(path, _generation(spark, path) + 1)
-    kept.repartition("bucket").write.partitionBy("batch_id", "bucket").parquet(target)
-    return n_before - spark.read.schema(VAULT_SCHEMA).parquet(target).count()
+    log = _Log(spark, path)
+    live, replaced, number = log.state()
+    log.delete(replaced)  # what an earlier rewrite had no time to delete
+    if not live:
+        return 0
+    before = latest(_rows_of(spark, log, live).drop("bucket"))
+    folder = f"data/rewrite-{uuid.uuid4().hex}"
+    _write(keep(before), log, folder, log.buckets())
+    gone = before.count() - spark.read.schema(VAULT_SCHEMA).parquet(f"{log.root}/{folder}").count()
+    try:
+        log.create(f"commits/rewrite-{number:08d}.json", {"add": [folder], "replace": sorted(live)})
+    except Conflict:
+        log.delete({folder})
+        raise
+    log.delete(live)
+    return gone
 
 
 def sweep(spark: SparkSession, path: str, as_of) -> int:

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from maskwright.plans.jobs import pseudonymize, restore
-from maskwright.sources.vault_store import sweep, upsert_vault
+from maskwright.functions import fixed
+from maskwright.plans.jobs import pseudonymize, restore, restore_arguments
+from maskwright.session import materialize
+from maskwright.sources.vault_store import read_vault, sweep, upsert_vault
 from maskwright.streaming.chunks import align_stream
 
 Clock = Callable[[], datetime]
@@ -53,26 +56,44 @@ def pseudonymize_stream(
     return _start(msgs, handle, checkpoint, trigger or {"availableNow": True})
 
 
+def _table(source: DataFrame | str, spark, tokens: DataFrame | None = None) -> DataFrame:
+    """A frame as it is, or what lies at a path now."""
+    if isinstance(source, DataFrame):
+        return source
+    return spark.read.parquet(source) if tokens is None else read_vault(spark, source, tokens)
+
+
 def restore_stream(
-    chunks: DataFrame, prov: DataFrame, vault: DataFrame, vault_keys: DataFrame, out: str, checkpoint: str,
-    clock: Clock = utc_now, trigger: dict | None = None, **limits,
+    chunks: DataFrame, prov: DataFrame | str, vault: DataFrame | str, vault_keys: DataFrame, out: str, checkpoint: str,
+    clock: Clock = utc_now, trigger: dict | None = None, cap: int = fixed.MAX_RESTORED_BYTES, **limits,
 ) -> StreamingQuery:
     """Reply side over a stream of chunks.
 
     State holds only what may become a token; the lookups in provenance and vault
     are joins of a micro-batch, so a busy reply does not carry its map in state.
-    A mapping expires when its row says so, however often it is read.
+    ``prov`` and ``vault`` are paths, read anew for every batch (the vault by the
+    buckets that the batch needs), or frames that do not change. A mapping expires
+    when its row says so, however often it is read. Arguments of tool calls are
+    restored whole or the call is refused, and the output budget of a request runs
+    over all its batches, in the order of the parts.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         rows = batch.persist()
-        replies = rows.where("refusal is null").select("request_id", "block", "part", "kind", "text")
-        result = restore(replies, prov, vault, vault_keys, clock(), keys=("request_id", "block", "part"))
-        refused = rows.where("refusal is not null").select(
-            "request_id", "block", "part", "kind", "text", "refusal")
-        done = result["text"].select("request_id", "block", "part", "kind", "text", F.lit(None).cast("string").alias("refusal"))
-        _write(done.unionByName(refused), f"{out}/text", batch_id)
-        _write(result["outcomes"], f"{out}/outcomes", batch_id)
+        columns = ["request_id", "block", "part", "kind", "text"]
+        keys = ("request_id", "block", "part")
+        told = rows.where("refusal is null").select(*columns)
+        known = _table(prov, spark)
+        stored = _table(vault, spark, known.join(told.select("request_id").distinct(), "request_id", "left_semi")) if isinstance(vault, str) else vault
+        result = restore(told.where("kind <> 'tool'"), known, stored, vault_keys, clock(), 1 << 62, keys)
+        tools = restore_arguments(told.where("kind = 'tool'"), known, stored, vault_keys, clock(), keys)
+        done = result["text"].select(*columns, F.lit(None).cast("string").alias("refusal")).unionByName(tools["text"].select(*columns, "refusal"))
+        done = materialize(within_budget(done, f"{out}/spent", batch_id, cap), "budget")
+        _write(done.groupBy("request_id").agg(F.sum("bytes").alias("bytes")), f"{out}/spent", batch_id)
+        refused = rows.where("refusal is not null").select(*columns, "refusal")
+        _write(done.drop("bytes").unionByName(refused), f"{out}/text", batch_id)
+        _write(result["outcomes"].unionByName(tools["outcomes"], allowMissingColumns=True), f"{out}/outcomes", batch_id)
         rows.unpersist()
 
     trigger = trigger or {"availableNow": True}
@@ -80,6 +101,28 @@ def restore_stream(
     return _start(align_stream(chunks, **limits), handle, checkpoint, trigger)
 
 
+def within_budget(rows: DataFrame, spent: str, batch_id: int, cap: int) -> DataFrame:
+    """Rows as they are up to the byte budget of their request; the first row beyond it and all later ones are refusals.
+
+    ``spent`` has, by batch, the bytes that a request has been given.
+    """
+    try:
+        before = rows.sparkSession.read.parquet(spent).where(F.col("batch_id") < batch_id)
+    except AnalysisException:  # the first batch
+        before = rows.sparkSession.createDataFrame([], "request_id string, bytes bigint")
+    given = before.join(rows.select("request_id").distinct(), "request_id", "left_semi").groupBy("request_id").agg(F.sum("bytes").alias("__given"))
+    so_far = Window.partitionBy("request_id").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    judged = rows.join(given, "request_id", "left").withColumn(
+        "__sum", F.coalesce("__given", F.lit(0)) + F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(so_far))
+    over = F.col("__sum") > cap
+    return judged.withColumns({
+        # the bytes of a refused row count on, so that nothing later passes
+        "refusal": F.when(over, "restoration_refused").otherwise(F.col("refusal")),
+        "kind": F.when(over, "refused").otherwise(F.col("kind")),
+        "text": F.when(~over, F.col("text")),
+    }).withColumn("bytes", F.when(over, F.lit(cap) + 1).otherwise(F.octet_length("text"))).drop("__given", "__sum")
+
+
 def sweep_stream(ticks: DataFrame, vault_path: str, checkpoint: str, clock: Clock = utc_now, trigger: dict | None = None) -> StreamingQuery:
     """Sweeps the vault once per micro-batch of ``ticks``, such as a rate source."""
 

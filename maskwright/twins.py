@@ -230,7 +230,7 @@ def all_twins() -> dict[str, str]:
     long_words = ("select lower(w) from (select unnest(regexp_extract_all(text, '[A-Za-z]+')) as w from benchmark) where length(w) >= 9")
     audit_counts = "string_agg(entity_type || '=' || n, ',' order by entity_type)"
     tools = "(select 'c' || conv_id as request_id, conv_id, 'tool' || turn % 5 as name, turn % 2 = 0 as fn from conversations)"
-    return {
+    found = {
         "entity_counts_by_lang": f"""
             select lang, 'EMAIL_ADDRESS' as entity_type, sum(len(regexp_extract_all(text, {q(EMAIL)})))::bigint as n
             from documents group by lang having n > 0 union all
@@ -344,17 +344,29 @@ def all_twins() -> dict[str, str]:
             case when user_id % 3 = 0 then 'invalid_api_key' end as reason, count(*) as n from events group by all""",
         "allowed_models": """select event_id, case when event_id % 2 = 0 then 'm-1' else 'm-2' end as model, 'model_not_allowed' as reason
             from events where user_id % 3 = 1 and event_id % 2 = 1""",
+        # by the rule of a counter: one up at the start, one down at the end, ends before a start being over
         "in_flight": """
-            with e as (select event_id, epoch_us(ts) / 1000000.0 as t, epoch_us(ts) / 1000000.0 + value as u from events),
-            p as (select event_id, t as moment, 1 as d from e union all select event_id, u, -1 from e),
-            r as (select event_id, d, sum(d) over (order by moment, d, event_id rows unbounded preceding) as active from p)
-            select event_id, cast(active as bigint) as active, active > 2 as over from r where d = 1""",
+            with e as (select event_id, epoch_us(ts) / 1000000.0 as t, epoch_us(ts) / 1000000.0 + case when event_id % 7 = 0 then 0 else value end as u from events),
+            o as (select *, row_number() over (order by t, event_id) as n from e),
+            g as (select a.event_id, count(b.event_id) as gone from o a left join o b on b.n < a.n and b.u <= a.t group by 1)
+            select event_id, n - gone as active, n - gone > 2 as over from o join g using (event_id)""",
         "audit": f"""{decided('off')}, counts as (select request_id, {audit_counts} as entity_counts, sum(n) as n from (
                 select request_id, entity_type, count(*) as n from spans group by all) group by 1)
             select f.request_id, 't' || r.conv_id % 4 as tenant_id, f.action as decision, f.rule_name, case when f.action = 'block' then 'external' else f.destination end as destination,
+                case when f.action = 'block' then 'none' else f.destination end as provider,
                 coalesce(entity_counts, '') as entity_counts, cast(case when f.action in ('transform', 'route_local') then coalesce(c.n, 0) else 0 end as bigint) as entities_transformed,
                 case when f.action = 'block' then 'blocked_by_policy' else 'none' end as error, false as raw_content_logged
             from final f join reqs r using (request_id) left join counts c using (request_id)""",
+        "audit_refused": f"""
+            with t as (select 'c' || conv_id || '-' || turn as request_id, (conv_id + turn) % {len(c.EVASIONS)} as k, length({planted(c.EVASIONS, 'conv_id + turn')}) as n from conversations),
+            e as (select *, case when n > 900 then 'inspection_failed' when k = 6 then '{fixed.BIDI}' else 'none' end as error from t)
+            select request_id, case when error <> 'none' then 'block' when k < 4 then 'route_local' when k = 4 then 'transform' else 'allow' end as decision,
+                case when error <> 'none' then 'request-refused' when k < 4 then 'codes-stay-local' when k = 4 then 'people-as-tokens' else 'rest-passes' end as rule_name,
+                case when error <> 'none' then 'none' when k < 4 then 'local' else 'external' end as destination,
+                case when error <> 'none' then 'none' when k < 4 then 'local' else 'external' end as provider, 'example-1' as policy_version,
+                cast(case when error = 'none' and k < 5 then 1 else 0 end as bigint) as entities_transformed, error from e""",
+        "refused_requests": """select 'c' || conv_id as request_id, case when conv_id % 5 in (1, 3) then 'incomplete_scope' else 'no_messages' end as reason
+            from (select distinct conv_id from conversations) where conv_id % 5 in (1, 2, 3) or conv_id % 10 = 4""",
         "audit_gaps": """select 'c' || conv_id || '-' || turn as request_id, cast(case when conv_id % 10 = 3 then 0 else 2 end as bigint) as events,
             case when conv_id % 10 = 3 then 'no_event' else 'many_events' end as problem from conversations where conv_id % 10 in (3, 7)""",
         "metrics": f"""{decided('off')} select 'requests_total' as metric, 'chat_completions,' || case when action = 'block' then '4xx' else '2xx' end
@@ -369,7 +381,7 @@ def all_twins() -> dict[str, str]:
             select key, tp, fp, fn, cast(min_precision as double) as min_precision, cast(min_recall as double) as min_recall from g
             where precision < min_precision or recall < min_recall""",
         "failures": f"""{scored()} select id as example_id, kind, lang, case when outcome = 'fn' then 'missed' else 'spurious' end as reason, entity_type,
-            start, "end" from outcomes where outcome <> 'tp' order by id, reason, start, "end", entity_type limit 40""",
+            start, "end" from outcomes where outcome <> 'tp' """,
         "baseline_regressions": f"""{scored()}, e as (select * from s where bucket = 'entity'), w as (select unnest([{', '.join(q(t) for t in sorted(fixed.THRESHOLDS))}]) as entity_type)
             select entity_type, case when precision is null then 'missing' when precision < 1 then 'precision_regressed' else 'recall_regressed' end as problem
             from w left join e on e.key = w.entity_type where precision is null or precision < 1 or recall < 1""",
@@ -440,3 +452,13 @@ def all_twins() -> dict[str, str]:
                 coalesce(own.outcome, 'not_minted') from tail t left join own on own.request_id = t.request_id and own.token = t.foreign_token
                 where foreign_token is not null""",
     }
+    count = "cast(count(*) filter (outcome {}) as bigint)"
+    reasons = ", ".join(count.format(f"= '{r}'") + f" as {r}" for r in ("not_minted", "vault_miss", "key_unavailable"))
+    found["restore_totals"] = (
+        f"select request_id, {count.format(chr(61) + ' ' + q('restored'))} as tokens_restored, {count.format('<> ' + q('restored'))} as tokens_refused, {reasons} "
+        f"from ({found['restore_outcomes']}) group by request_id")
+    named = located(f"(select 'c' || conv_id || '|' || turn as k, {planted(c.PLANTS, 'conv_id + turn')} as text from conversations)", "k", "Konts|Bearer|Bot")
+    found["model_spans"] = (
+        f"select split_part(k, '|', 1) as request_id, cast(split_part(k, '|', 2) as int) as idx, start, \"end\", 'ORG' as entity_type, text, "
+        f"cast(0.9 as double) as score, 'ner' as detector from {named}")
+    return found

@@ -1,6 +1,7 @@
 """Operators against planted values and plain-Python models."""
 
 import random
+import re
 import unicodedata
 
 import pytest
@@ -12,6 +13,7 @@ from maskwright.operators import admission, contract, corpus, custom, detectors,
 from maskwright.operators.inspect import inspect
 from maskwright.operators.view import _rebuild, detection_view, map_spans
 from maskwright.plans import jobs
+from maskwright.sources import tables
 from maskwright.streaming.chunks import open_token_at
 
 
@@ -27,24 +29,24 @@ def found(spark, values, detector_list=detectors.BUILTIN):
 
 def test_values_that_match_and_that_do_not(spark):
     cases = [
-        ("120385-12342", [("120385-12342", "LV_PERSONAL_CODE")]),
-        ("120385-12341", []), ("12038512342", [("12038512342", "LV_PERSONAL_CODE")]),
-        ("321234-12345", [("321234-12345", "LV_PERSONAL_CODE")]),
-        ("99999999999 20240115001 12345678901", []),
-        ("22010300890", [("22010300890", "BALTIC_PERSONAL_CODE")]),
-        ("isikukood 22010300890", [("22010300890", "EE_PERSONAL_CODE")]),
-        ("Rīga 22010300890", [("22010300890", "LV_PERSONAL_CODE")]),
-        ("isikukood 62907038711, asmens kodas 62907038711",
-         [("62907038711", "EE_PERSONAL_CODE"), ("62907038711", "LT_PERSONAL_CODE")]),
-        ("4111111111111112 20231104-11220", []),
-        ("LV80BANK0000435195100", []),
-        ("a@b; user@.com; @nope.com", []), ("x@y.com.1.2", [("x@y.com", "EMAIL_ADDRESS")]),
-        ("x@y.com- and q@w.org_", []),
-        ("hotel 29123456", [("29123456", "PHONE_NUMBER")]), ("Order number 29123456", []),
-        ("192.168.1.999", []),
-        ("Kods 120385–12342", [("120385–12342", "LV_PERSONAL_CODE")]),
-        ("12​0385-12342", [("12​0385-12342", "LV_PERSONAL_CODE")]),
-        ("٤١١١١١١١١١١١١١١١", [("٤١١١١١١١١١١١١١١١", "PAYMENT_CARD")]),
+        ("kods: 140673-12349.", [("140673-12349", "LV_PERSONAL_CODE")]),
+        ("140673-12348", []), ("(14067312349)", [("14067312349", "LV_PERSONAL_CODE")]),
+        ("329876-54321", [("329876-54321", "LV_PERSONAL_CODE")]),
+        ("88888888888 19991301007 23456789012", []),
+        ("11010125557", [("11010125557", "BALTIC_PERSONAL_CODE")]),
+        ("see isikukood 11010125557", [("11010125557", "EE_PERSONAL_CODE")]),
+        ("Liepāja, 11010125557", [("11010125557", "LV_PERSONAL_CODE")]),
+        ("asmens kodas 49112230159 ir isikukood 49112230159",
+         [("49112230159", "LT_PERSONAL_CODE"), ("49112230159", "EE_PERSONAL_CODE")]),
+        ("4532015809731241 20250230-44556", []),
+        ("LV80UNLA0050019482638", []),
+        ("me@here; you@.org; @none.net", []), ("p@q.org.7.8", [("p@q.org", "EMAIL_ADDRESS")]),
+        ("p@q.org- or r@s.net_", []),
+        ("phone 28714093", [("28714093", "PHONE_NUMBER")]), ("Order number 28714093", []),
+        ("10.20.30.777", []),
+        ("Kods 140673–12349", [("140673–12349", "LV_PERSONAL_CODE")]),
+        ("14​0673-12349", [("14​0673-12349", "LV_PERSONAL_CODE")]),
+        ("٤٥٣٢٠١٥٨٠٩٧٣١٢٤٠", [("٤٥٣٢٠١٥٨٠٩٧٣١٢٤٠", "PAYMENT_CARD")]),
     ]
     assert found(spark, [c for c, _ in cases]) == [e for _, e in cases]
 
@@ -121,13 +123,28 @@ def test_user_patterns(spark):
     assert custom.detect_custom_regex(texts(spark, ["baa"]), "a*", "x").count() == 1
 
 
-def test_both_dictionary_paths_agree(spark):
-    terms = ["Acme Latvia SIA", "Acme Latvia", "(beta) x", "ķīmija", "a.b"]
-    values = ["acme latvia sia; ACME LATVIA; acme latvians", "(BETA) X, xķīmija Ķīmija a.b.c", "none"]
-    small = custom.detect_dictionary(texts(spark, values), terms)
-    table = custom.detect_dictionary_table(texts(spark, values), spark.createDataFrame([(t,) for t in terms], "term string"))
-    rows = [sorted((r.request_id, r.start, r.end, r.text) for r in df.collect()) for df in (small, table)]
-    assert rows[0] == rows[1] and len(rows[0]) == 5
+def test_dictionary_equals_a_scan_with_python_rules(spark):
+    rng = random.Random(8)
+    terms = ["Nord Baltic SIA", "Nord Baltic", "(gamma) y", "ķīmija", "a.b", "istanbul", "sea", "οδοσ", "straße", "++", "İx", "K"]
+    values = ["nord baltic sia; NORD BALTIC; nord baltics", "(GAMMA) Y, xķīmija Ķīmija a.b.c", "none", "İstanbul ıstanbul ISTANBUL", "ſea SEA", "ΟΔΟΣ οδος", "STRAẞE strasse",
+              "c++ and ++", "K k\u212a", ""]
+    values += ["".join(rng.choice("aAkKsSſİıiΣσς. +b") for _ in range(30)) for _ in range(200)]
+    for sensitive in (False, True):
+        for chosen in (terms, terms + [f"zzz{i}" for i in range(3000)]):
+            ordered = sorted(set(chosen), key=lambda t: (-len(t), t))
+            scan = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, ordered)) + r")(?!\w)", 0 if sensitive else re.IGNORECASE)
+            want = sorted((str(i), m.start(), m.end(), m.group()) for i, v in enumerate(values) for m in scan.finditer(v))
+            got = custom.detect_dictionary(texts(spark, values), chosen, case_sensitive=sensitive).collect()
+            assert sorted((r.request_id, r.start, r.end, r.text) for r in got) == want
+    table = spark.createDataFrame([(t,) for t in terms], "term string")
+    assert custom.detect_dictionary_table(texts(spark, values), table).count() == custom.detect_dictionary(texts(spark, values), terms).count()
+
+
+def test_terms_in_several_automata(spark, monkeypatch):
+    values = ["alpha beta alpha beta gamma", "beta"]
+    want = custom.detect_dictionary(texts(spark, values), ["alpha", "alpha beta", "beta", "gamma"]).collect()
+    monkeypatch.setattr(custom, "BLOCK_CHARS", 6)
+    assert custom.detect_dictionary(texts(spark, values), ["alpha", "alpha beta", "beta", "gamma"]).collect() == want
 
 
 def test_rule_checks_and_implicit_deny(spark):
@@ -175,6 +192,40 @@ def test_slots_equal_a_plain_loop(spark):
     assert got == want and not all(want.values())
 
 
+def test_records_that_are_not_json(spark):
+    rows = [("a", '{"x":1}'), ("b", "{broken"), ("c", '{"args":"not json"}'), ("d", None)]
+    leaves = contract.flatten_json_leaves(spark.createDataFrame(rows, "record_id string, body string"), encoded=("args",))
+    assert {r.record_id: r.reason for r in leaves.collect() if r.reason} == {"b": "invalid_json", "c": "invalid_json"}
+    none = spark.createDataFrame([], "record_id string, leaf int")
+    assert {r.record_id for r in contract.refuse_structural_hits(leaves, none)[1].collect()} == {"b", "c"}
+    bodies = ['{"a":"NaN, "}', '{"a":NaN}', '{"a":[Infinity]}', '{"Infinity":"-NaN"}', '{"a":-Infinity}']
+    bounds = contract.json_bounds(spark.createDataFrame([(b,) for b in bodies], "body string")).collect()
+    assert [r.violation for r in bounds] == [None, "invalid_json", "invalid_json", None, "invalid_json"]
+
+
+def test_requests_without_scope_or_messages_are_refused(spark):
+    rows = [("1", "t", "c", "k", "a", "m", [("user", "x")]), ("2", None, "c", "k", "a", "m", [("user", "x")]), ("3", "t", "c", "k", "a", "m", []),
+            ("4", "t", "c", "k", None, "m", None), ("5", "t", "", "k", "a", "m", None)]
+    frame = spark.createDataFrame(rows, tables.REQUEST_SCHEMA)
+    assert [r.request_id for r in tables.messages_of(frame).collect()] == ["1"]
+    assert {r.request_id: r.reason for r in tables.refused_requests(frame).collect()} == {
+        "2": "incomplete_scope", "3": "no_messages", "4": "no_messages", "5": "incomplete_scope"}
+
+
+def test_requests_that_take_no_time_count_themselves(spark):
+    rows = [(1, 10.0, 0.0), (2, 10.0, 0.0), (3, 10.0, 5.0), (4, 15.0, 1.0), (5, 15.0, 0.0)]
+    log = spark.createDataFrame(rows, "event_id long, t double, duration_s double").selectExpr(
+        "event_id", "timestamp_micros(cast(t * 1000000 as bigint)) as ts", "duration_s")
+    got = {r.event_id: r.active for r in admission.in_flight(log, 4).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 2}
+
+
+def test_country_of_codes_in_several_messages(spark):
+    msgs = spark.createDataFrame([("r", 0, "isikukood 49112230159"), ("r", 1, "asmens kodas 49112230159")], "request_id string, idx int, text string")
+    found_ = detectors.infer_country(detectors.detect_lt_ee_code(msgs), msgs)
+    assert sorted((r.idx, r.country) for r in found_.collect()) == [(0, "EE"), (1, "LT")]
+
+
 def test_json_leaves_round_trip(spark):
     body = '{"a":"x","b":[{"c":"y"},"z"],"args":"{\\"k\\":\\"v\\",\\"n\\":7}"}'
     df = spark.createDataFrame([("r", body)], "record_id string, body string")

@@ -1,7 +1,10 @@
 """The vault as files: batches, rewrites, erasure."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from maskwright.operators.vault import vault_get, vault_key_table, vault_put
-from maskwright.sources.vault_store import erase, read_vault, sweep, upsert_vault
+from maskwright.sources.vault_store import erase, read_vault, rewrite_vault, sweep, upsert_vault
 
 
 def test_batches_sweep_and_erasure(spark, tmp_path):
@@ -17,3 +20,57 @@ def test_batches_sweep_and_erasure(spark, tmp_path):
     got = vault_get(prov.drop("original"), read_vault(spark, path), ring, "2024-01-02 00:00:30")
     assert {r.conversation_id: (r.status, r.value) for r in got.collect()} == {"a": ("found", "one"), "b": ("absent", None)}
     assert erase(spark, path, prov.select("tenant_id", "conversation_id")) == 1 and read_vault(spark, path).count() == 0
+
+
+def made(spark, rows, ring, as_of="2024-01-01", batch="b"):
+    prov = spark.createDataFrame(rows, "request_id string, tenant_id string, conversation_id string, token string, token_version string, original string")
+    return vault_put(prov, ring, as_of, 60, 1)
+
+
+def test_a_batch_during_a_rewrite_is_kept(spark, tmp_path):
+    path, ring = str(tmp_path / "vault"), vault_key_table(spark, {1: b"k" * 32})
+    upsert_vault(made(spark, [("r", "t", "a", "<X:v1:1>", "v1", "one")], ring), path, "1", buckets=4)
+
+    def keep(vault):
+        upsert_vault(made(spark, [("r", "t", "b", "<X:v1:2>", "v1", "two")], ring), path, "2")
+        return vault
+
+    assert rewrite_vault(spark, path, keep) == 0
+    assert {r.conversation_id for r in read_vault(spark, path).collect()} == {"a", "b"}
+
+
+def test_a_failed_rewrite_does_no_harm(spark, tmp_path):
+    path, ring = str(tmp_path / "vault"), vault_key_table(spark, {1: b"k" * 32})
+    upsert_vault(made(spark, [("r", "t", "a", "<X:v1:1>", "v1", "one")], ring), path, "1")
+    with pytest.raises(Exception):
+        rewrite_vault(spark, path, lambda v: v.withColumn("token", F.raise_error(F.lit("stop"))))
+    assert read_vault(spark, path).count() == 1 and sweep(spark, path, "2024-01-02") == 1 and read_vault(spark, path).count() == 0
+
+
+def test_of_two_rewrites_one_goes_through(spark, tmp_path):
+    path, ring = str(tmp_path / "vault"), vault_key_table(spark, {1: b"k" * 32})
+    upsert_vault(made(spark, [("r", "t", "a", "<X:v1:1>", "v1", "one")], ring), path, "1")
+
+    def keep(vault):
+        assert erase(spark, path, spark.createDataFrame([("t", "a")], "tenant_id string, conversation_id string")) == 1
+        return vault
+
+    with pytest.raises(Exception):
+        rewrite_vault(spark, path, keep)
+    assert read_vault(spark, path).count() == 0
+
+
+def test_erased_values_are_gone_from_disk(spark, tmp_path):
+    path, ring = str(tmp_path / "vault"), vault_key_table(spark, {1: b"k" * 32})
+    upsert_vault(made(spark, [("r", "t", "a", "<X:v1:1>", "v1", "one"), ("r", "t", "b", "<X:v1:2>", "v1", "two")], ring), path, "1")
+    erase(spark, path, spark.createDataFrame([("t", "a")], "tenant_id string, conversation_id string"))
+    left = spark.read.parquet(*[str(d) for d in (tmp_path / "vault" / "data").iterdir()])
+    assert [r.conversation_id for r in left.collect()] == ["b"]
+
+
+def test_lookups_prune_buckets(spark, tmp_path):
+    path, ring = str(tmp_path / "vault"), vault_key_table(spark, {1: b"k" * 32})
+    upsert_vault(made(spark, [("r", "t", f"c{i}", f"<X:v1:{i}>", "v1", str(i)) for i in range(40)], ring), path, "1", buckets=16)
+    one = spark.createDataFrame([("t", "c7", "<X:v1:7>")], "tenant_id string, conversation_id string, token string")
+    found = read_vault(spark, path, one)
+    assert "c7" in {r.conversation_id for r in found.collect()} and found.count() < 20
