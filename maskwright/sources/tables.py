@@ -94,14 +94,15 @@ def key_dimension(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
         [(hashlib.sha256(k.encode()).hexdigest(), i, t, a, list(m)) for k, i, t, a, m in rows], KEY_SCHEMA)
 
 
-def write_audit(audit: DataFrame, path: str, fmt: str = "json") -> None:
-    """Appends audit events."""
-    audit.write.mode("append").format(fmt).save(path)
+def write_audit(audit: DataFrame, path: str, fmt: str = "json", batch_id: str = "0") -> None:
+    """Writes the audit events of one batch; a job that is repeated replaces its own events."""
+    audit.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("batch_id").format(fmt).save(path)
 
 
 def read_audit(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Audit events in their fixed schema."""
-    return spark.read.schema(AUDIT_SCHEMA).format(fmt).load(path)
+    return spark.read.schema(f"{AUDIT_SCHEMA}, batch_id string").format(fmt).load(path).drop("batch_id")
 
 
 def read_reply_chunks(spark: SparkSession, path: str, fmt: str = "json", max_files: int = 64) -> DataFrame:

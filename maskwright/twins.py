@@ -452,6 +452,36 @@ def all_twins() -> dict[str, str]:
                 coalesce(own.outcome, 'not_minted') from tail t left join own on own.request_id = t.request_id and own.token = t.foreign_token
                 where foreign_token is not null""",
     }
+    sources = "(select distinct source, cast(substr(source, 4) as int) as k from documents)"
+    found |= {
+        "tokens_erased": f"""{MINTED}, d as (select distinct conv_id, token, entity_type from minted)
+            select {TENANT} as tenant_id, {CONV} as conversation_id, count(*) as n from d where entity_type <> 'EMAIL_ADDRESS' group by conv_id""",
+        "token_clashes": f"""{MINTED} select distinct {TENANT} as tenant_id, {CONV} as conversation_id, token from minted where conv_id % 3 = 0""",
+        "audit_written": f"""{decided('off')} select action as decision, rule_name, case when action = 'block' then 'external' else destination end as destination, count(*) as n
+            from final group by all""",
+        "reasons": """
+            with r as (select list_extract(['contract', 'screening', 'inspection', 'timeout', 'routing', 'egress', 'provider', 'vault', 'cancelled', 'other'], cast((conv_id + turn) % 10 as int) + 1) as source,
+                list_extract(['unknown_field', 'no such code', 'rate_limit_exceeded'], cast(conv_id % 3 as int) + 1) as code from conversations)
+            select source, code, case source when 'contract' then case code when 'unknown_field' then code else 'invalid_request' end
+                when 'screening' then case code when 'no such code' then 'inspection_failed' else code end when 'inspection' then 'inspection_failed'
+                when 'timeout' then 'detector_timeout' when 'routing' then 'local_routing_violation' when 'egress' then 'egress_blocked'
+                when 'provider' then case code when 'no such code' then 'provider_error' else code end when 'vault' then 'vault_error'
+                when 'cancelled' then 'cancelled' else 'internal_error' end as reason, count(*) as n from r group by all""",
+        "rule_problems": f"""
+            with s as (select case when k % 7 = 1 then '' else source end as name, k from {sources})
+            select name, case k % 7 when 1 then 'missing_name' when 2 then 'unknown_action' when 3 then 'bad_entities' else 'bad_min_score' end as problem
+            from s where k % 7 between 1 and 4
+            union all select '', 'duplicate_name' from s where name = '' having count(*) > 1
+            union all select '-', 'no_catch_all'""",
+        "composed_rules": f"""
+            with a as (select action from (select distinct rule_name, action from {POLICY})
+                union all select case when k % 7 = 2 then 'drop' else 'transform' end from {sources} where k % 7 <> 1)
+            select 'example-1+by-source' as version, action, count(*) as n from a group by action""",
+        "uncovered_types": f"select 'TYPE_' || k as entity_type from {sources} where k % 7 <> 3",
+        "restorable": "select role as field, role = 'assistant' as restorable, count(*) as n from conversations group by all",
+        "corpus_written": """select case when conv_id % 2 = 0 then 'dev' else 'holdout' end as split, role as lang, count(*) as n,
+            cast(sum(length(text)) as bigint) as chars from conversations group by all""",
+    }
     count = "cast(count(*) filter (outcome {}) as bigint)"
     reasons = ", ".join(count.format(f"= '{r}'") + f" as {r}" for r in ("not_minted", "vault_miss", "key_unavailable"))
     found["restore_totals"] = (
