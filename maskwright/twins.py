@@ -467,6 +467,21 @@ def all_twins() -> dict[str, str]:
                 when 'timeout' then 'detector_timeout' when 'routing' then 'local_routing_violation' when 'egress' then 'egress_blocked'
                 when 'provider' then case code when 'no such code' then 'provider_error' else code end when 'vault' then 'vault_error'
                 when 'cancelled' then 'cancelled' else 'internal_error' end as reason, count(*) as n from r group by all""",
+        # one event after the other, as a counter would see them
+        "rate_limited": """
+            with recursive c as (select cast(1 as double) / 60 as rate),
+            e as (select event_id, user_id, epoch_us(ts) / 1000000.0 as t, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+            r as (select event_id, user_id, rn, t, true as admitted, cast(0 as double) as level, cast(null as double) as wait from e where rn = 1
+                union all select event_id, user_id, rn, t, tokens >= 1, tokens - case when tokens >= 1 then 1 else 0 end, case when tokens < 1 then (1 - tokens) / rate end
+                from (select e.event_id, e.user_id, e.rn, e.t, c.rate, least(cast(1 as double), r.level + (e.t - r.t) * c.rate) as tokens
+                    from r join e on e.user_id = r.user_id and e.rn = r.rn + 1 cross join c))
+            select event_id, admitted, case when not admitted then cast(greatest(1, ceil(wait)) as int) end as retry_after from r""",
+        "slots_with_refusals": """
+            with recursive e as (select event_id, epoch_us(ts) / 1000000.0 as t, value as d, row_number() over (order by ts, event_id) as rn from events),
+            r as (select event_id, rn, true as admitted, [t + d] as ends from e where rn = 1
+                union all select event_id, rn, len(live) < 2, case when len(live) < 2 then list_append(live, t + d) else live end
+                from (select e.event_id, e.rn, e.t, e.d, list_filter(r.ends, lambda x: x > e.t) as live from r join e on e.rn = r.rn + 1))
+            select event_id, admitted, not admitted as refund from r""",
         "rule_problems": f"""
             with s as (select case when k % 7 = 1 then '' else source end as name, k from {sources})
             select name, case k % 7 when 1 then 'missing_name' when 2 then 'unknown_action' when 3 then 'bad_entities' else 'bad_min_score' end as problem
