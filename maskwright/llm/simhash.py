@@ -235,10 +235,14 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Repeated rows of one doc_id are one row. Rows without an id are kept: they can't be told apart
     from the row that stays.
     """
-    found = materialize(near_duplicates(docs), "groups")
-    ids = found.filter("doc_id is not null").groupBy("doc_id").agg(F.first("component_id").alias("root"), F.count("*").alias("n"))
-    ids = materialize(ids, "ids")
-    kept = docs.join(ids.filter("doc_id != root").select("doc_id"), "doc_id", "left_anti")
+    found = near_duplicates(docs).filter("doc_id is not null")
+    ids = materialize(found.groupBy("doc_id").agg(F.first("component_id").alias("root"), F.count("*").alias("n")), "ids")
+    # the rows that go are a share of all rows, so the join is a dealt one at every size
+    gone = ids.filter("doc_id != root").select("doc_id").hint("merge")
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     repeated = ids.filter("doc_id = root and n > 1").select("doc_id")
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    if not repeated.head(1):
+        return kept
+    kept = materialize(kept, "kept")
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
