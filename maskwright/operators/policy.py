@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,11 @@ RULES_SCHEMA = (
     "name string, priority int, action string, destination string, entities array<string>, "
     "applications array<string>, min_score double, version string, default_destination string"
 )
+_TEXTS = pa.list_(pa.string())
+_RULES_ARROW = [
+    ("name", pa.string()), ("priority", pa.int32()), ("action", pa.string()), ("destination", pa.string()), ("entities", _TEXTS),
+    ("applications", _TEXTS), ("min_score", pa.float64()), ("version", pa.string()), ("default_destination", pa.string()),
+]
 MODES = ("off", "detected", "all")
 
 
@@ -66,15 +72,27 @@ def compose_rules(rules: DataFrame, more: DataFrame, suffix: str) -> DataFrame:
     return combined
 
 
-def ranked(rules: DataFrame) -> DataFrame:
-    """Adds ``rank``: priority, block first, name; the order is the tie rule.
+def _local(spark: SparkSession, rows: list[dict], ranks: bool = False) -> DataFrame:
+    """Rules as a table that the planner knows whole, so that reading it needs no job."""
+    schema = pa.schema([("rank", pa.int32()), *_RULES_ARROW]) if ranks else pa.schema(_RULES_ARROW)
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema))
+
+
+def _order(rules: DataFrame) -> tuple[list[dict], DataFrame]:
+    """Rules by priority, block first, name; the order is the tie rule. As rows and as a table with ``rank``.
 
-    The planner chooses the joins with it from its size.
+    The rule table is configuration. It is read once, and what is joined is a table
+    of known size, for which the planner chooses the join.
     """
-    key = F.struct(-F.col("priority"), F.col("action") != "block", F.col("name"))
-    order = rules.agg(F.sort_array(F.collect_list(F.struct(key.alias("k"), F.col("name").alias("name")))).alias("o"))
-    positions = order.select(F.posexplode("o").alias("rank", "o")).select("rank", F.col("o.name").alias("name"))
-    return rules.join(positions, "name")
+    rows = [r.asDict(recursive=True) for r in rules.collect()]
+    rows.sort(key=lambda r: (-(r["priority"] or 0), r["action"] != "block", r["name"] or ""))
+    rows = [{"rank": k} | r for k, r in enumerate(rows)]
+    return rows, _local(rules.sparkSession, rows, True)
+
+
+def ranked(rules: DataFrame) -> DataFrame:
+    """Adds ``rank``, the place of a rule in the order in which rules are tried."""
+    return _order(rules)[1]
 
 
 def request_facts(inspected: DataFrame) -> DataFrame:
@@ -98,11 +116,10 @@ def match_rules(facts: DataFrame, rules: DataFrame) -> DataFrame:
 
     Rules with entities are an equi-join on the type; rules without any match
     every request and are attached to the request as a constant. Both rule sides
-    are small and size-checked, so nothing but the result is shuffled.
+    are tables of known size, so the planner leaves the facts where they are.
     """
-    order = ranked(rules).select("rank", "entities", "applications", "min_score")
-    by_type = (order.select(
-        "rank", "applications", "min_score", F.explode("entities").alias("entity_type")))
+    rows, order = _order(rules)
+    by_type = order.select("rank", "applications", "min_score", F.explode("entities").alias("entity_type"))
     app = F.col("application") if "application" in facts.columns else F.lit("unknown")
     facts = facts.withColumn("application", app)
     allowed = (F.size("applications") == 0) | F.array_contains("applications", F.col("application"))
@@ -112,7 +129,7 @@ def match_rules(facts: DataFrame, rules: DataFrame) -> DataFrame:
         .groupBy("request_id", "rank")
         .agg(F.sort_array(F.collect_set("entity_type")).alias("matched_entities"))
     )
-    always = [r.asDict() for r in order.where("size(entities) = 0").select("rank", "applications").collect()]
+    always = [r for r in rows if not r["entities"]]
     if not always:
         return typed
     catch = F.array(*[
@@ -129,13 +146,12 @@ def match_rules(facts: DataFrame, rules: DataFrame) -> DataFrame:
     return typed.unionByName(every)
 
 
-def _winners(facts: DataFrame, rules: DataFrame) -> DataFrame:
+def _winners(facts: DataFrame, rows: list[dict], order: DataFrame) -> DataFrame:
     """Per request the best rank, its matched types and all types present.
 
     One aggregation over the facts: the best catch-all is known from the
-    application alone, and typed rules arrive by a broadcast equi-join.
+    application alone, and typed rules arrive by an equi-join with a table of known size.
     """
-    order = ranked(rules).select("rank", "entities", "applications", "min_score")
     by_type = (
         order.select("rank", "applications", "min_score", F.explode("entities").alias("entity_type"))
         .groupBy("entity_type")
@@ -156,7 +172,7 @@ def _winners(facts: DataFrame, rules: DataFrame) -> DataFrame:
         F.collect_set(F.when(F.col("__rank").isNotNull(), F.struct("__rank", "entity_type"))).alias("__pairs"),
         F.sort_array(F.collect_set("entity_type")).alias("types"),
     )
-    always = order.where("size(entities) = 0").select("rank", "applications").collect()
+    always = [r for r in rows if not r["entities"]]
     candidates = [
         F.lit(r["rank"]) if not r["applications"]
         else F.when(F.col("application").isin(*r["applications"]), F.lit(r["rank"]))
@@ -171,11 +187,12 @@ def _winners(facts: DataFrame, rules: DataFrame) -> DataFrame:
 
 def first_match(facts: DataFrame, rules: DataFrame) -> DataFrame:
     """One decision per request; with no matching rule the request is blocked."""
-    winners = _winners(facts, rules)
-    table = (ranked(rules).selectExpr(
+    rows, order = _order(rules)
+    winners = _winners(facts, rows, order)
+    table = order.selectExpr(
         "rank", "name as rule_name", "action", "version as policy_version", "priority",
-        "if(destination is null or destination = '', default_destination, destination) as destination"))
-    version = rules.agg(F.max("version")).first()[0]
+        "if(destination is null or destination = '', default_destination, destination) as destination")
+    version = max((r["version"] for r in rows if r["version"] is not None), default=None)
     decided = winners.join(table, "rank", "left").withColumn(
         "reason",
         F.when(F.col("rule_name").isNull(), "no rule matched; failing closed").otherwise(
@@ -269,4 +286,4 @@ def rules_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
     }
     full = [{**defaults, **r} for r in rows]
     names = [f.split()[0] for f in RULES_SCHEMA.split(", ")]
-    return spark.createDataFrame([tuple(r[n] for n in names) for r in full], RULES_SCHEMA)
+    return _local(spark, [{n: r[n] for n in names} for r in full])
