@@ -9,8 +9,8 @@ sorted array of context hashes with the weight that is left for the shorter cont
 
 A text gets the language with the lowest cross-entropy per character, whatever its length. The
 rejection is calibrated on the texts that were learned from: a text is rejected when its
-cross-entropy in the best language is beyond what almost all texts of that language, of about the
-same length, have in it. The score is the share of the best language in a softmax over the
+cross-entropy in the best language is well beyond what almost all texts of that language, of about
+the same length, have in it; a short text says little, so its bound is wider. The score is the share of the best language in a softmax over the
 cross-entropies, with at most SURE characters of evidence, and it is halved for rejected texts.
 
 Learning: word counts by language over a bounded sample of rows per language, chosen by the hash of
@@ -39,8 +39,9 @@ from maskwright.llm.common import arrow_rows, fold_of, materialize, table
 
 #: Longest n-gram, most rows learned from per language, characters of evidence in the score.
 ORDER, SAMPLE, SURE = 4, 3_000, 60
-#: Share of a language's own texts that the rejection leaves, and the slack beyond that bound.
-KEPT, SLACK = 0.999, 1.25
+#: Share of a language's own texts that the rejection leaves, the slack beyond that bound, and more slack for
+#: short texts: by so many characters over their length.
+KEPT, SLACK, SHORT = 0.999, 1.4, 10
 #: Words that a worker remembers before it starts its table anew.
 REMEMBERED = 400_000
 #: Longest stretch of letters that is one word; a longer one is read in pieces of this length.
@@ -187,7 +188,7 @@ class Identifier:
         if not bounds:
             return np.inf
         shorter = [k for k in bounds if k <= size.bit_length()]
-        return bounds[max(shorter) if shorter else min(bounds)]
+        return bounds[max(shorter) if shorter else min(bounds)] * (SLACK + SHORT / size)
 
 
 def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
@@ -244,7 +245,7 @@ def learn(rows: DataFrame, order: int = ORDER, most: int = SAMPLE) -> Identifier
 
     spread = rows.mapInPandas(measure, "lang string, length int, entropy double").groupBy("lang", "length")
     for r in spread.agg(F.percentile_approx("entropy", KEPT, 10_000).alias("bound")).collect():
-        found.bounds.setdefault(r["lang"], {})[r["length"]] = r["bound"] * SLACK
+        found.bounds.setdefault(r["lang"], {})[r["length"]] = r["bound"]
     return found
 
 
