@@ -36,13 +36,15 @@ from pyspark.sql import types as T
 
 from maskwright.llm.common import arrow_rows, table
 
-#: Entries that a worker remembers before it starts its tables anew.
-REMEMBERED = 400_000
+#: Words, stretches and pairs that a worker remembers before it starts the table anew.
+WORDS, STRETCHES, PAIRS = 800_000, 400_000, 400_000
 #: Stands for the end of a piece inside a token. It is no letter of the byte alphabet.
 END = "\uffff"
 #: Characters that Python takes for white space and the tokenizer does not.
 _NOT_SPACE = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile("[^\\S\x1c-\x1f]+")
+#: Signs that make one piece after a word; an apostrophe may begin another.
+_SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 
 def byte_alphabet() -> list[str]:
@@ -122,12 +124,11 @@ class Codec:
         last, width = [-1] * (n + 1), [0] * (n + 1)
         pairs = self.pairs
         for at, (size, token) in self.automaton.iter(word + END):
-            if at < n - 1:
-                stop = at + 1
-            elif at == n:
+            stop = at + 1
+            if stop >= n:
+                if stop == n:  # without the end mark, which the last symbol bears
+                    continue
                 stop = n
-            else:  # without the end mark, which the last symbol bears
-                continue
             if last[stop] >= 0:
                 continue
             if stop > size:
@@ -136,7 +137,7 @@ class Codec:
                     continue
                 fits = pairs.get(before << 32 | token)
                 if fits is None:
-                    if len(pairs) >= REMEMBERED:
+                    if len(pairs) >= PAIRS:
                         pairs.clear()
                     fits = pairs[before << 32 | token] = self.compatible(before, token)
                 if not fits:
@@ -156,17 +157,23 @@ class Codec:
         if not chunk.isascii():
             # lower case letter by letter, without the rule for a sigma at the end of a word
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        out: list[int] = []
         lower = chunk.lower()
-        for piece in (lower,) if lower.isascii() and lower.isalpha() else self.pieces.findall(lower):
-            ids = self.words.get(piece)
-            if ids is None:
-                if len(self.words) >= REMEMBERED:
-                    self.words.clear()
+        head = lower.rstrip(_SIGNS)
+        if head.isalpha():  # the usual case: a word, and signs after it
+            pieces = (head, lower[len(head) :]) if len(head) < len(lower) else (head,)
+        else:
+            pieces = self.pieces.findall(lower)
+        found = self.words
+        ids: tuple[int, ...] = ()
+        for piece in pieces:
+            known = found.get(piece)
+            if known is None:
+                if len(found) >= WORDS:
+                    found.clear()
                 spelled = piece if piece.isascii() and piece.isalnum() else "".join([self.letters[b] for b in piece.encode()])
-                ids = self.words[piece] = self.encode_word(spelled)
-            out += ids
-        return tuple(out)
+                known = found[piece] = self.encode_word(spelled)
+            ids = ids + known if ids else known
+        return ids
 
     def chunks(self, text: str) -> list[str]:
         """The stretches between white space, and the marked tokens, in order."""
@@ -184,10 +191,10 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return [i for chunk in self.chunks(text) for i in self.encode_stretch(chunk)]
 
-    def known(self, kind: str, make) -> Remembered:
+    def known(self, kind: str, make, most: int = STRETCHES) -> Remembered:
         """What this process remembers of chunks, one table for each kind of value."""
         if kind not in self.memory:
-            self.memory[kind] = Remembered(make)
+            self.memory[kind] = Remembered(make, most)
         return self.memory[kind]
 
     def decode(self, ids) -> str:
@@ -209,12 +216,12 @@ def worker_codec(data: dict) -> Codec:
 class Remembered(dict):
     """Values of chunks, made on demand; starts anew when it is full."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, chunk: str):
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.clear()
         value = self[chunk] = self.make(chunk)
         return value

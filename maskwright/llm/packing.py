@@ -19,6 +19,7 @@ extra columns are not used.
 
 from __future__ import annotations
 
+import struct
 from collections import deque
 from collections.abc import Iterator
 
@@ -32,6 +33,8 @@ from maskwright.llm.common import arrow_rows, table
 
 #: Tokens of a row, of a shard, and the id of the padding.
 ROW, SHARD_TOKENS, PAD = 2048, 1 << 21, 0
+#: Stretches of text that a worker remembers with their ids; a few hundred bytes each.
+STRETCHES = 1_200_000
 
 
 class Rooms:
@@ -146,7 +149,8 @@ def pack(docs: DataFrame, path: str, row: int = ROW, shard_tokens: int = SHARD_T
 
         codec = bpe.worker_codec(source.value)
         width = np.dtype("<u2" if max(codec.names) < 1 << 16 and pad < 1 << 16 else "<u4")
-        known = codec.known(f"bytes{width.itemsize}", lambda c: np.array(codec.encode_stretch(c), dtype=width).tobytes())
+        letter = "H" if width.itemsize == 2 else "I"
+        known = codec.known(f"bytes{width.itemsize}", lambda c: struct.pack(f"<{len(ids := codec.encode_stretch(c))}{letter}", *ids), STRETCHES)
         shard = TaskContext.get().partitionId() << 32
         docs_, texts, held = [], [], 0
         for batch in batches:
