@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from maskwright.llm.common import LOWER, arrow_rows, fold_of, materialize, table
 
 #: Bytes of context, (context, byte) pairs of the model, and the words whose counts are broadcast.
-DEPTH, NODES, FREQUENT, FREQUENT_BYTES = 5, 700_000, 300_000, 64
+DEPTH, NODES, FREQUENT, FREQUENT_BYTES = 5, 700_000, 200_000, 64
 #: Different stretches and words that a task counts before it hands them on.
 HELD = 1_000_000
 #: Never part of UTF-8.
@@ -298,15 +298,16 @@ def learn_tree(texts: DataFrame, depth: int = DEPTH, most: int = NODES) -> tuple
     return [found.get(d, nothing) for d in range(depth + 1)], found.get(-1, nothing)[0]
 
 
-_trees: dict[str, Tree] = {}
+_models: dict[str, tuple[Tree, dict[bytes, float]]] = {}
 
 
-def worker_tree(key: str, nodes: list, seen: np.ndarray) -> Tree:
-    """The tree of a broadcast, built once per worker process."""
-    if key not in _trees:
-        _trees.clear()
-        _trees[key] = Tree(nodes, seen)
-    return _trees[key]
+def worker_model(key: str, nodes: list, seen: np.ndarray, words: pa.Table, floor: float) -> tuple[Tree, dict[bytes, float]]:
+    """The tree of a broadcast and the logarithms of its words, built once per worker process."""
+    if key not in _models:
+        _models.clear()
+        logs = np.log10(words.column("n").to_numpy() + 0.5) - floor
+        _models[key] = Tree(nodes, seen), dict(zip(words.column("word").to_pylist(), logs.tolist()))
+    return _models[key]
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -332,8 +333,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_words(words: DataFrame, most: int = FREQUENT) -> tuple[dict[bytes, int], Column]:
-    """The words seen most, at most ``most`` and ``FREQUENT_BYTES`` bytes each, and the condition that picks them."""
+def frequent_words(words: DataFrame, most: int = FREQUENT) -> tuple[pa.Table, Column]:
+    """The words seen most with their counts, at most ``most`` and ``FREQUENT_BYTES`` bytes each, and the condition that picks them."""
     short = words.filter(F.length("word") <= FREQUENT_BYTES)
     step = F.floor(F.log2("n") * 8)
     spread = sorted(((r["step"], r["low"], r["words"]) for r in short.groupBy(step.alias("step")).agg(F.min("n").alias("low"), F.count("*").alias("words")).collect()), reverse=True)
@@ -343,7 +344,7 @@ def frequent_words(words: DataFrame, most: int = FREQUENT) -> tuple[dict[bytes,
             break
         least, room = low, room - n
     picked = (F.col("n") >= least) & (F.length("word") <= FREQUENT_BYTES)
-    return {bytes(r["word"]): r["n"] for r in words.filter(picked).collect()}, picked
+    return words.filter(picked).select("word", "n").toArrow().combine_chunks(), picked
 
 
 def score(docs: DataFrame, training: Column, depth: int = DEPTH, nodes: int = NODES, frequent: int = FREQUENT) -> DataFrame:
@@ -360,7 +361,9 @@ def score(docs: DataFrame, training: Column, depth: int = DEPTH, nodes: int = NO
     total, different = size["n"] + ends, size["v"] + (ends > 0)
     floor = float(np.log10(total + 0.5 * (different + 1)))
     of = lambda c: float(np.log10(c + 0.5)) - floor
-    model = spark.sparkContext.broadcast((uuid.uuid4().hex, tree, {w: of(n) for w, n in known.items()}))
+    # arrays as they came: the tables of a worker are built from them where they are used
+    model = spark.sparkContext.broadcast((uuid.uuid4().hex, tree, known))
+    del tree, known
     schema = pa.schema([
         ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_frequent", pa.int64()),
         ("base", pa.float64()), ("bits", pa.float64()), ("bytes", pa.int64()), ("rare", pa.list_(pa.binary())),
@@ -369,8 +372,8 @@ def score(docs: DataFrame, training: Column, depth: int = DEPTH, nodes: int = NO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        key, (kept, seen), logs = model.value
-        found = worker_tree(key, kept, seen)
+        key, (kept, seen), words_ = model.value
+        found, logs = worker_model(key, kept, seen, words_, floor)
         at = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -390,6 +393,7 @@ def score(docs: DataFrame, training: Column, depth: int = DEPTH, nodes: int = NO
 
     out = "row long, doc_id long, held_out boolean, n_tokens long, n_frequent long, base double, bits double, bytes long, rare array<binary>"
     scored = materialize(rows.select("doc_id", "text", "held_out").mapInArrow(run, out), "scored")
+    model.destroy()  # the scores are a table now
     rare = scored.select("row", F.explode("rare").alias("word")).join(words.filter(~picked), "word", "left")
     rare = rare.groupBy("row").agg(
         F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5) - floor).alias("rare_base"), F.count("n").alias("n_rare")
