@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from maskwright.llm.common import LOWER, arrow_rows, fold_of, materialize, table
 
 #: Bytes of context, (context, byte) pairs of the model, and the words whose counts are broadcast.
-DEPTH, NODES, FREQUENT, FREQUENT_BYTES = 5, 700_000, 200_000, 64
+DEPTH, NODES, FREQUENT, FREQUENT_BYTES = 5, 400_000, 200_000, 64
 #: Different stretches and words that a task counts before it hands them on.
 HELD = 1_000_000
 #: Never part of UTF-8.
@@ -262,10 +262,8 @@ def stretch_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
 def learn_tree(texts: DataFrame, depth: int = DEPTH, most: int = NODES) -> tuple[list, np.ndarray]:
     """Nodes and seen stretches for ``Tree``, from all of ``text`` (binary)."""
     counts = materialize(stretch_counts(texts, depth), "stretches")
-    by_depth = [counts.select(F.lit(d).alias("d"), F.col("key").bitwiseAND(F.lit(int(mask(d + 1)))).alias("key"), "n") for d in range(depth + 1)]
-    every = by_depth[0]
-    for level in by_depth[1:]:
-        every = every.unionAll(level)
+    masked = [F.struct(F.lit(d).alias("d"), F.col("key").bitwiseAND(F.lit(int(mask(d + 1)))).alias("key")) for d in range(depth + 1)]
+    every = counts.select("n", F.inline(F.array(*masked)))
     pairs = materialize(every.groupBy("d", "key").agg(F.sum("n").alias("n")), "pairs")
     context = F.shiftrightunsigned("key", 8)
     seen = pairs.groupBy("d", context.alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("pairs"))
@@ -292,8 +290,11 @@ def learn_tree(texts: DataFrame, depth: int = DEPTH, most: int = NODES) -> tuple
         })
 
     # the kept pairs have a bound of their own, so one task can grow the tree
-    parts = kept.select(F.lit(0).alias("tree"), "d", "key", "n").groupBy("tree").applyInPandas(build, "d int, keys binary, ones binary").collect()
-    found = {r["d"]: (np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["ones"], np.float32)) for r in parts}
+    parts = kept.select(F.lit(0).alias("tree"), "d", "key", "n").groupBy("tree").applyInPandas(build, "d int, keys binary, ones binary").toArrow()
+    found = {
+        d.as_py(): (np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(o.as_buffer(), np.float32))
+        for d, k, o in zip(*(parts.column(n) for n in ("d", "keys", "ones")))
+    }
     nothing = (np.zeros(0, np.uint64), np.zeros(0, np.float32))
     return [found.get(d, nothing) for d in range(depth + 1)], found.get(-1, nothing)[0]
 
