@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from maskwright.llm.common import arrow_rows, table
 
 #: Words, stretches and pairs that a worker remembers before it starts the table anew.
-WORDS, STRETCHES, PAIRS = 800_000, 400_000, 400_000
+WORDS, STRETCHES, PAIRS = 400_000, 400_000, 400_000
 #: Stands for the end of a piece inside a token. It is no letter of the byte alphabet.
 END = "\uffff"
 #: Characters that Python takes for white space and the tokenizer does not.
@@ -101,6 +101,7 @@ class Codec:
         self.pieces = regex.compile(data["pattern"])
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.most_words = WORDS
         self.memory: dict[str, Remembered] = {}
 
     def compatible(self, left: int, right: int) -> bool:
@@ -168,7 +169,7 @@ class Codec:
         for piece in pieces:
             known = found.get(piece)
             if known is None:
-                if len(found) >= WORDS:
+                if len(found) >= self.most_words:
                     found.clear()
                 spelled = piece if piece.isascii() and piece.isalnum() else "".join([self.letters[b] for b in piece.encode()])
                 known = found[piece] = self.encode_word(spelled)

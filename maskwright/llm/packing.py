@@ -33,8 +33,8 @@ from maskwright.llm.common import arrow_rows, table
 
 #: Tokens of a row, of a shard, and the id of the padding.
 ROW, SHARD_TOKENS, PAD = 2048, 1 << 21, 0
-#: Stretches of text that a worker remembers with their ids; a few hundred bytes each.
-STRETCHES = 1_200_000
+#: Words and stretches of text that a worker remembers with their ids; a few hundred bytes each.
+WORDS, STRETCHES = 800_000, 1_200_000
 
 
 class Rooms:
@@ -148,6 +148,7 @@ def pack(docs: DataFrame, path: str, row: int = ROW, shard_tokens: int = SHARD_T
         from pyspark import TaskContext
 
         codec = bpe.worker_codec(source.value)
+        codec.most_words = WORDS
         width = np.dtype("<u2" if max(codec.names) < 1 << 16 and pad < 1 << 16 else "<u4")
         letter = "H" if width.itemsize == 2 else "I"
         known = codec.known(f"bytes{width.itemsize}", lambda c: struct.pack(f"<{len(ids := codec.encode_stretch(c))}{letter}", *ids), STRETCHES)
