@@ -148,7 +148,9 @@ def decisions(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def grown(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """By depth, the nodes and the mixed probability of a one where the path ends at the node.
+    """By depth, the nodes and the code lengths in bits of a zero and of a one where the path ends at the node.
+
+    Both outcomes have a sum of their own: one minus the other would be nothing where one of them was hardly ever seen.
 
     levels: by depth from 0, the kept stretches of that many context bytes and a byte, rising, with counts.
     """
@@ -176,12 +178,12 @@ def grown(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray,
         whole = np.logaddexp(own - _LN2, children - _LN2)
         weights[d], below = np.exp(own - _LN2 - whole), whole
     out = []
-    spent, left = np.zeros(0), np.zeros(0)
+    spent, left = np.zeros((2, 0)), np.zeros(0)
     for d, (nodes, a, b) in enumerate(counted):
-        estimate = (b + 0.5) / (a + b + 1.0)
-        before = spent[parents[d]] if d else np.zeros(len(nodes))
+        estimate = (np.stack([a, b]) + 0.5) / (a + b + 1.0)
+        before = spent[:, parents[d]] if d else np.zeros((2, len(nodes)))
         share = left[parents[d]] if d else np.ones(len(nodes))
-        out.append((nodes, (before + share * estimate).astype(np.float32)))
+        out.append((nodes, (-np.log2(before + share * estimate)).astype(np.float32)))
         spent, left = before + share * weights[d] * estimate, share * (1 - weights[d])
     return out
 
@@ -192,7 +194,7 @@ class Tree:
     def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]], seen: np.ndarray):
         self.depth = len(nodes) - 1
         self.places = [Places(keys) for keys, _ in nodes]
-        self.ones = [p for _, p in nodes]
+        self.ends = [x for _, x in nodes]
         self.seen = Places(seen)
         self.lengths = np.r_[self.slow(seen), 0.0].astype(np.float32)
 
@@ -202,17 +204,17 @@ class Tree:
         byte = keys & np.uint64(255)
         for level in range(8):
             node = np.uint64(1 << level) | byte >> np.uint64(8 - level)
-            p = np.full(len(keys), 0.5)
+            one = (byte >> np.uint64(7 - level) & np.uint64(1)).astype(np.int64)
+            length = np.ones(len(keys))
             open_ = np.arange(len(keys))
             for d in range(self.depth, -1, -1):
                 found = self.places[d].find((keys[open_] >> np.uint64(8) << np.uint64(8) & mask(d + 1)) | node[open_])
                 hit = found >= 0
-                p[open_[hit]] = self.ones[d][found[hit]]
+                length[open_[hit]] = self.ends[d][one[open_[hit]], found[hit]]
                 open_ = open_[~hit]
                 if not len(open_):
                     break
-            one = (byte >> np.uint64(7 - level) & np.uint64(1)).astype(bool)
-            total -= np.log2(np.where(one, p, 1 - p))
+            total += length
         return total
 
     def bits(self, texts: list[bytes | None]) -> np.ndarray:
@@ -286,16 +288,16 @@ def learn_tree(texts: DataFrame, depth: int = DEPTH, most: int = NODES) -> tuple
         nodes = grown(levels)
         return pd.DataFrame({
             "d": [*range(depth + 1), -1], "keys": [*(k.tobytes() for k, _ in nodes), levels[-1][0].tobytes()],
-            "ones": [*(p.tobytes() for _, p in nodes), b""],
+            "ends": [*(x.tobytes() for _, x in nodes), b""],
         })
 
     # the kept pairs have a bound of their own, so one task can grow the tree
-    parts = kept.select(F.lit(0).alias("tree"), "d", "key", "n").groupBy("tree").applyInPandas(build, "d int, keys binary, ones binary").toArrow()
+    parts = kept.select(F.lit(0).alias("tree"), "d", "key", "n").groupBy("tree").applyInPandas(build, "d int, keys binary, ends binary").toArrow()
     found = {
-        d.as_py(): (np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(o.as_buffer(), np.float32))
-        for d, k, o in zip(*(parts.column(n) for n in ("d", "keys", "ones")))
+        d.as_py(): (np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(o.as_buffer(), np.float32).reshape(2, -1))
+        for d, k, o in zip(*(parts.column(n) for n in ("d", "keys", "ends")))
     }
-    nothing = (np.zeros(0, np.uint64), np.zeros(0, np.float32))
+    nothing = (np.zeros(0, np.uint64), np.zeros((2, 0), np.float32))
     return [found.get(d, nothing) for d in range(depth + 1)], found.get(-1, nothing)[0]
 
 

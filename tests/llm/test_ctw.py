@@ -100,6 +100,16 @@ def test_bytes_after_a_context_add_up_to_one():
         assert math.isclose((2.0 ** -tree.slow(keys)).sum(), 1, rel_tol=1e-5)
 
 
+@pytest.mark.parametrize("n", [2 * 10**7, 10**9])
+def test_a_zero_after_ones_only_has_a_length(n):
+    # the byte 255 and nothing else: each of its eight decisions has seen ones only
+    levels = [(np.array([(1 << 8 * d) - 1 << 8 | 255], dtype=np.uint64), np.array([n], dtype=np.int64)) for d in range(2)]
+    tree = ctw.Tree(ctw.grown(levels), levels[-1][0])
+    bits = tree.slow(np.array([255 << 8 | 254, 255 << 8 | 127, 255 << 8 | 255], dtype=np.uint64))
+    # after the first zero of 127 the path has no node: one bit each
+    assert np.allclose(bits[:2], math.log2(2 * (n + 1)) + np.array([0, 7]), rtol=1e-5) and 0 < bits[2] < 1e-5
+
+
 def plain_base(train, text):
     words = lambda t: [w for w in t.translate(ctw.LOWER).split()] + [None]
     counts = Counter(w for t in train for w in words(t))
