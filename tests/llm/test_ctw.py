@@ -142,6 +142,18 @@ def test_scores(spark, sf, frequent, nodes):
         assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 1)
 
 
+def test_no_context_is_cut_off(spark, sf, monkeypatch):
+    # full depth, chunks and blocks much smaller than the corpus: the same tree as that of all texts at once
+    monkeypatch.setattr(ctw, "CHUNK", 20_000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.score for r in ctw.score(docs, ctw.fold_of(docs.doc_id) != 1, 5, 2_000).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    levels = levels_of([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1], 5)
+    assert sum(len(k) for k, _ in levels) > 2_000
+    tree = ctw.Tree(ctw.grown(levels), levels[-1][0])
+    assert np.allclose([got[i] for i in texts], -tree.bits(list(texts.values())) * math.log10(2), rtol=1e-5)
+
+
 def test_defined_cases(spark):
     rows = [(1, None, 0), (2, "", 0), (2, "", 0), (None, "a word", 0), (3, "w " * 60_000, 0), (7, "x" * 90_000, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
