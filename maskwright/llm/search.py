@@ -17,9 +17,13 @@ per query and the shards are merged.
 Queries go out in blocks of bounded size, and each block meets each shard once; rows are dealt in
 turn, so no key can gather them. Memory of a task is one shard and one block.
 
+Vectors with a component of LIMIT or more after scaling are scored apart, as sums of theirs could leave a
+long: floating point with its error bound leaves the few that can be among the best, and these are
+summed in whole numbers of any size.
+
 Defined cases: vectors that are null, empty, or hold a null or a value that isn't finite take no part;
-neither do those with a component that leaves the range of LIMIT after scaling, as sums could leave
-a long; vectors of unequal length are compared as if the shorter one ended in zeros; a row is never
+neither do those with a component that doesn't fit a long when scaled; a result whose score doesn't
+fit a long is an error; vectors of unequal length are compared as if the shorter one ended in zeros; a row is never
 a candidate of a query with its own id; repeated ids are candidates row by row, and as queries they
 are asked once, with the smallest vector; rows with a null id take no part; fewer candidates than k
 give fewer rows; extra columns are not used.
@@ -40,14 +44,18 @@ LIMIT = 1 << 24
 
 
 def whole_numbers(vector: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of every component as a long, or null where the vector takes no part."""
-    scaled = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * scale < LIMIT))
+    """floor(scale * x) of every component as a double, which holds it exactly, or null where the vector takes no part."""
+    def floor(x: Column) -> Column:
+        y = x.cast("double") * scale
+        return F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)
+
+    scaled = F.transform(vector, floor)
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * scale < float(1 << 63)))
     return F.when((F.size(vector) > 0) & fine, scaled)
 
 
 def integer_vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and v (array of long) of the rows that take part."""
+    """vec_id and v (array of whole doubles) of the rows that take part."""
     found = rows.select(F.col("vec_id").cast("long"), whole_numbers(F.col("embedding"), scale).alias("v"))
     return found.filter("vec_id is not null and v is not null")
 
@@ -95,6 +103,53 @@ class Postings:
         return self.ids[alive[top]], score[top]
 
 
+class Wide:
+    """The vectors of a shard whose sums could leave a long, as whole doubles."""
+
+    def __init__(self, ids: np.ndarray, vectors: list[np.ndarray]):
+        self.ids = ids
+        self.rows = np.zeros((len(ids), max(map(len, vectors))))
+        for k, vector in enumerate(vectors):
+            self.rows[k, : len(vector)] = vector
+
+    def best(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """Id and score of the k best candidates, best first, ties by id; scores are of any size."""
+        query = np.asarray(query, dtype=float)[: self.rows.shape[1]]
+        rows = self.rows[:, : len(query)]
+        others = np.flatnonzero(self.ids != query_id)
+        with np.errstate(over="ignore", invalid="ignore"):
+            about = (rows @ query)[others]
+            error = (np.abs(rows) @ np.abs(query))[others] * (len(query) + 2) * 2.0**-51
+            low = np.nan_to_num(about - error, nan=-np.inf, posinf=-np.inf)
+            reach = np.partition(low, -k)[-k] if len(low) >= k else -np.inf
+            alive = others[~(about + error < reach)]
+        whole = [int(x) for x in query]
+        scored = ((sum(int(x) * y for x, y in zip(rows[at], whole)), int(self.ids[at])) for at in alive)
+        return [(i, s) for s, i in sorted(scored, key=lambda x: (-x[0], x[1]))[:k]]
+
+
+def shard_best(ids: np.ndarray, vectors: list[np.ndarray], asked: list[tuple[int, np.ndarray]], k: int) -> list[tuple[int, int, int]]:
+    """Query, id and score of the k best of a shard, for each query; the k best of both kinds of vectors where there are both."""
+    highest = lambda v: float(np.abs(v).max(initial=0))
+    wide = np.array([highest(v) >= LIMIT for v in vectors], dtype=bool)
+    kinds = [(ids[of], [vectors[at] for at in np.flatnonzero(of)]) for of in (~wide, wide)]
+    (near_ids, near), (far_ids, far) = kinds
+    postings = Postings(near_ids, near) if near else None
+    # all sums of a long's size and their bounds stay below 2^62
+    room = (1 << 62) / max(max(map(highest, near), default=0) * max(map(len, near), default=0), 1)
+    apart, all_near = Wide(far_ids, far) if far else None, None
+    out = []
+    for query_id, query in asked:
+        if postings and highest(query) < room:
+            out += [(query_id, i, s) for i, s in zip(*(x.tolist() for x in postings.best(query_id, np.asarray(query, dtype=np.int64), k)))]
+        elif postings:
+            all_near = all_near or Wide(near_ids, near)
+            out += [(query_id, i, s) for i, s in all_near.best(query_id, query, k)]
+        if apart:
+            out += [(query_id, i, s) for i, s in apart.best(query_id, query, k)]
+    return out
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = TOP, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id and score of the k best candidates of each query (both vec_id, v)."""
     candidates = materialize(candidates, "candidates")
@@ -107,17 +162,18 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = TOP, shard_rows: i
     right = queries.withColumn("block", dealt(blocks)).select(each(shards).alias("shard"), "block", "vec_id", "v")
 
     def run(key, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows):
-            postings = Postings(rows["vec_id"].to_numpy(dtype=np.int64), rows["v"].tolist())
-            for query_id, query in zip(asked["vec_id"].tolist(), asked["v"]):
-                ids, scores = postings.best(query_id, np.asarray(query, dtype=np.int64), k)
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(run, "query_id long, vec_id long, score long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        out = shard_best(rows["vec_id"].to_numpy(dtype=np.int64), rows["v"].tolist(), list(zip(asked["vec_id"].tolist(), asked["v"])), k) if len(rows) else []
+        least, most = -(1 << 63), (1 << 63) - 1
+        return pd.DataFrame({
+            "query_id": np.array([q for q, _, _ in out], dtype=np.int64), "vec_id": np.array([i for _, i, _ in out], dtype=np.int64),
+            "score": np.array([min(max(s, least), most) for _, _, s in out], dtype=np.int64),
+            "fits": np.array([least <= s <= most for _, _, s in out], dtype=bool),
+        })
+
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(run, "query_id long, vec_id long, score long, fits boolean")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("fits"), "vec_id"))
+    score = F.when(F.col("fits"), F.col("score")).otherwise(F.raise_error(F.lit("a score does not fit a long")).cast("long"))
+    return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def op1_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,3 +72,23 @@ def test_defined_cases(spark):
     assert set(got) == want and [g[2] for g in got if g[0] == 50].count(7) == 2
     assert search.top_k(v.limit(0), v.limit(0)).count() == 0
     assert search.top_k(v.filter("vec_id = 50"), v.filter("vec_id = 50")).count() == 0
+
+
+def test_large_components_take_part(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-9, 10, 6) * 10.0 ** (0, 2, 4, 5)[i % 4]]) for i in range(60)]
+    rows += [(100, [65_536.0, 0.0, 0.0, 0.0, 0.0, 1.0]), (101, [0.0] * 6 + [1e15]), (102, [1e6, -1e6, 1e6, 0.0, 0.0, 0.5])]
+    v = search.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = search.top_k(v, v.filter("vec_id % 50 = 0 or vec_id = 7"), 5, 20, 2).collect()
+    want = brute(rows, 50, 5) | {r for r in brute(rows, 7, 5) if r[0] == 7}
+    assert {tuple(r) for r in got} == want and any(r[2] == 102 for r in want)
+
+
+def test_a_score_beyond_a_long_is_an_error(spark):
+    rows = [(0, [1e9]), (1, [1e9]), (2, [-1e9]), (3, [1.0])]
+    v = search.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="does not fit a long"):
+        search.top_k(v, v.filter("vec_id = 0"), 1).collect()
+    # 2 has no place among the two best
+    got = search.top_k(v.filter("vec_id <> 1"), v.filter("vec_id = 0"), 1).collect()
+    assert [tuple(r) for r in got] == [(0, 1, 3, 256 * 256 * 10**9)]
