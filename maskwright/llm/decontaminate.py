@@ -156,20 +156,25 @@ class Shard:
             starts = starts[other[at] == starts + k]
         return starts
 
-    def near(self, words: list[bytes], span: int) -> np.ndarray:
-        """Starts of all stretches of ``span`` words that hold every one of ``words`` and begin with one of them."""
+    def near(self, words: list[bytes], span: int, firsts: np.ndarray) -> np.ndarray:
+        """Starts of all stretches of ``span`` words that hold every one of ``words`` and begin with one of them.
+
+        firsts: where the documents start; a stretch ends with the document that it starts in.
+        """
         if any(w not in self.packed for w in words):
             return np.zeros(0, np.int64)
         order = sorted(set(words), key=lambda w: len(self.packed[w]))
         rare = self.get(order[0])
         starts = np.unique((rare[:, None] - np.arange(span)[None, :]).ravel())
+        starts = starts[starts >= firsts[0]]
+        ends = np.minimum(starts + span, np.r_[firsts, np.iinfo(np.int64).max][np.searchsorted(firsts, starts, side="right")])
         begins = np.zeros(len(starts), dtype=bool)
         for w in order:
             other = self.get(w)
             at = np.searchsorted(other, starts)
             nearest = other[np.minimum(at, len(other) - 1)]
-            inside = (at < len(other)) & (nearest < starts + span)
-            starts, begins = starts[inside], begins[inside] | (nearest[inside] == starts[inside])
+            inside = (at < len(other)) & (nearest < ends)
+            starts, ends, begins = starts[inside], ends[inside], begins[inside] | (nearest[inside] == starts[inside])
         return starts[begins]
 
 
@@ -199,7 +204,7 @@ def search(index: DataFrame, phrases: DataFrame, window: int = WINDOW, near: int
         for item in wanted if wanted is not None else ():
             words = [bytes(w) for w in item["words"]]
             if near:
-                hits, width = shard.near(words, near), near
+                hits, width = shard.near(words, near, starts), near
             else:
                 width = min(window, len(words))
                 hits = np.concatenate([shard.phrase(words[k : k + width]) for k in range(len(words) - width + 1)])

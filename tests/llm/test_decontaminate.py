@@ -100,3 +100,11 @@ def test_defined_cases(spark):
     none = d.contamination(docs, items.limit(2)).collect()
     assert len(none) == 6 and not any(r.contaminated for r in none)
     assert d.contamination(docs.limit(0), items).count() == 0
+
+
+def test_near_ends_with_the_document(spark):
+    # red and fox meet only across the border of 1 and 2; both are within 3, and at its very start
+    docs = spark.createDataFrame([(1, "one two red"), (2, "fox three four"), (3, "fox red")], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(7, "red fox")], "item_id long, text string")
+    rows = {r.doc_id: (r.item_ids, [(s.start, s.stop) for s in r.spans]) for r in d.search(d.build_index(docs), d.phrases_of(items), near=4).collect()}
+    assert rows == {1: ([], []), 2: ([], []), 3: ([7], [(0, 2)])}
