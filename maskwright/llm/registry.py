@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import bpe, chat, ctw, decontaminate, language, packing, quality, resample, search, simhash, warc
+from maskwright.llm import bpe, chat, ctw, decontaminate, language, negatives, packing, quality, resample, search, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat": chat.op9_chat,
         "op10_simhash": simhash.op10_simhash,
         "op11_resample": resample.op11_resample,
+        "op13_negatives": negatives.op13_negatives,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_maxscore": search.OP1_SQL, "op5_warc": warc.OP5_SQL, "op11_resample": resample.OP11_SQL}
+    return {"op1_maxscore": search.OP1_SQL, "op5_warc": warc.OP5_SQL, "op11_resample": resample.OP11_SQL, "op13_negatives": negatives.OP13_SQL}
