@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import bpe, chat, ctw, decontaminate, language, negatives, packing, quality, resample, search, simhash, warc
+from maskwright.llm import bpe, chat, ctw, decontaminate, language, negatives, packing, quality, resample, search, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat": chat.op9_chat,
         "op10_simhash": simhash.op10_simhash,
         "op11_resample": resample.op11_resample,
+        "op12_toxicity": toxicity.op12_toxicity,
         "op13_negatives": negatives.op13_negatives,
     }
 
