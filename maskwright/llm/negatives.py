@@ -12,7 +12,8 @@ list of a dimension holds its entries by that norm, the highest first. For an an
 an entry is left out of the index where the rest of its row times the norm of the anchor stays below
 the threshold: from there on the row can't reach it alone. So every threshold is a prefix of each
 list, and one index serves them all. The lists are traversed for a group of anchors at a time and the
-partial scores are accumulated; a row goes where its partial score and the norms of what remains of
+partial scores are accumulated; leading dimensions whose lists hold half of the rows or more are accumulated in
+one product of matrices; a row goes where its partial score and the norms of what remains of
 both stay below the threshold, and the rows left are summed up exactly from what was left out.
 
 Thresholds start near the top and are lowered, for the anchors whose windows aren't full yet, until
@@ -107,6 +108,12 @@ class Index:
         by_list = np.lexsort((-self.rest, self.at))
         self.list_rows, self.list_values, self.list_rest = self.rows[by_list], self.values[by_list], self.rest[by_list]
         self.lists = np.searchsorted(self.at[by_list], np.arange(len(self.order) + 1))
+        # leading dimensions with long lists as a matrix, at most twice as large as their entries
+        long = np.flatnonzero(2 * np.diff(self.lists) < self.size)
+        self.wide = int(long[0]) if len(long) else len(self.order)
+        self.matrix = np.zeros((self.size, self.wide))
+        early = self.at < self.wide
+        self.matrix[self.rows[early], self.at[early]] = self.values[early]
 
     def arranged(self, anchors: list[np.ndarray]) -> np.ndarray:
         """Anchors as a matrix in the order of the dimensions; what the shard has no entry for is zero."""
@@ -117,6 +124,11 @@ class Index:
             out[k] = part[self.order]
         return out
 
+    def _listed(self, d: int, bound: float) -> int:
+        """Entries of a list whose rest is at least ``bound``."""
+        a, b = self.lists[d], self.lists[d + 1]
+        return int(np.searchsorted(-self.list_rest[a:b], -bound, side="right"))
+
     def reaching(self, anchors: np.ndarray, thresholds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each anchor (a row in the order of the dimensions): the rows that score its threshold or more, and their scores."""
         tails = np.sqrt(np.cumsum((anchors**2)[:, ::-1], axis=1)[:, ::-1]) * WIDER
@@ -126,14 +138,17 @@ class Index:
         with np.errstate(divide="ignore", invalid="ignore"):
             need = np.where(norms > 0, thresholds / norms, np.where(thresholds > 0, np.inf, -np.inf))
         bound = float(need.min())
-        partial = np.zeros((self.size, len(anchors)))
-        for d in np.flatnonzero(anchors.any(axis=0)):
-            a, b = self.lists[d], self.lists[d + 1]
-            b = a + np.searchsorted(-self.list_rest[a:b], -bound, side="right")
+        whole = 0
+        while whole < self.wide and 2 * self._listed(whole, bound) >= self.size:
+            whole += 1
+        partial = self.matrix[:, :whole] @ anchors[:, :whole].T
+        for d in whole + np.flatnonzero(anchors[:, whole:].any(axis=0)):
+            a = self.lists[d]
+            b = a + self._listed(d, bound)
             if b > a:
                 partial[self.list_rows[a:b]] += self.list_values[a:b, None] * anchors[:, d]
         # where the left-out end of each row starts, its norm, and the anchors' norm from there on
-        listed = np.r_[0, np.cumsum(self.rest >= bound)]
+        listed = np.r_[0, np.cumsum((self.rest >= bound) | (self.at < whole))]
         cut = self.starts[:-1] + listed[self.starts[1:]] - listed[self.starts[:-1]]
         ended = cut >= self.starts[1:]
         safe = np.minimum(cut, max(len(self.rest) - 1, 0))
