@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from maskwright.session import materialize, scratch_dir
 
-__all__ = ["arrow_rows", "fold_of", "materialize", "pieces_of", "prepare", "scratch_dir", "table"]
+__all__ = ["arrow_rows", "fold_of", "free_names", "hash_of_rows", "materialize", "pieces_of", "prepare", "scratch_dir", "table"]
 
 #: Rows per Arrow batch. Documents can be long, so the rows that wait for Python are few.
 BATCH_ROWS = 1_000
@@ -35,6 +35,24 @@ def fold_of(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def hash_of_rows(df: DataFrame, seed: int = 0) -> Column:
+    """Hash of all columns that can be hashed, with which of them are null; maps can't be hashed."""
+    fine = [df[c] for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    return F.xxhash64(F.lit(seed), *fine, *[c.isNull() for c in fine])
+
+
 def pieces_of(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.Table]:
     """Regroups the batches of a partition into tables of about ``most_bytes`` of ``column``.
 

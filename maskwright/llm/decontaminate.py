@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import arrow_rows, materialize, pieces_of, table
+from maskwright.llm.common import arrow_rows, free_names, materialize, pieces_of, table
 
 #: Words of a window, bytes of text in a shard, and bytes of benchmark text in a block of phrases.
 WINDOW = 10
@@ -265,8 +265,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the rows that hold a benchmark passage; a row is known by a hash of its id and text."""
+    """Drops the rows that hold a benchmark passage; a row is known by a hash of its id and text.
+
+    Null and empty texts hold none and stay, as do repeated rows and rows without an id where their text
+    is clean. The columns, whatever their names, stay as they are; an empty table stays empty.
+    """
+    name = free_names(docs, "row_key")[0]
     key = F.xxhash64("doc_id", "text")
     found = contamination(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    bad = materialize(found.filter("contaminated").select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
-    return docs.withColumn("_key", key).join(bad, "_key", "left_anti").select(docs.columns)
+    bad = materialize(found.filter("contaminated").select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    return docs.withColumn(name, key).join(bad, name, "left_anti").select(*docs.columns)

@@ -271,7 +271,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents without a language: no letters, or rejected; texts are not shuffled."""
+    """Drops the documents without a language: no letters, or rejected; texts are not shuffled.
+
+    Null and empty texts go; repeated rows and rows without an id are decided like any other; the columns,
+    whatever their names, stay as they are; an empty table stays empty.
+    """
     model = spark.sparkContext.broadcast(learn(docs.filter(fold_of(F.col("doc_id")) != 0)))
 
     @F.pandas_udf("boolean")

@@ -205,7 +205,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the classifier rejects, row by row and without a shuffle of texts."""
+    """Drops the documents that the classifier rejects, row by row and without a shuffle of texts.
+
+    A null or empty text has the score of the bias alone; repeated rows and rows without an id are decided
+    like any other; the columns, whatever their names, stay as they are; an empty table stays empty.
+    """
     model = docs.sparkSession.sparkContext.broadcast(learned(spark, docs, sf_dir))
 
     @F.pandas_udf("double")

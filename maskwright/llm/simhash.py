@@ -3,11 +3,16 @@
 A fingerprint of 64 bits is eight bytes at eight positions. Two fingerprints that differ in at
 most ``d`` bits differ in at most ``d`` bytes, so they share at least ``8 - d`` positional bytes.
 A single posting list (position, byte) holds 1/256 of all fingerprints, and tallying the pairs of
-such lists is quadratic. The index therefore stores the lists already intersected, ``8 - d`` at a
-time: a pair reaches the guaranteed tally exactly when it meets in at least one of these lists. A
-list fixes ``8 - d`` bytes, so it can never hold more than ``256 ** d`` different fingerprints.
-Inside a list the tally of a pair is counted, pairs below the guarantee go, the rest is verified
-by their differing bits. A list gives a spanning forest of its links and never all its pairs.
+such lists is quadratic. The index therefore stores the lists already intersected, as many at a time
+as the guarantee says: a pair reaches the guaranteed tally exactly when it meets in at least one of
+these lists. So the intersections do the counting, and no tally is kept beside them. A list that
+fixes ``8 - d`` bytes can never hold more than ``256 ** d`` different fingerprints. Inside a list the
+pairs are verified by their differing bits. A list gives a spanning forest of its links and never all its pairs.
+
+The near-duplicate stage links other fingerprints, those of the different words of a text: two texts
+link if they share SHARED bytes and differ in at most FAR bits, and if the fingerprints of their
+different pairs of words, which aren't indexed, differ in at most CHECKED bits. Two texts of which a word in
+fifty was replaced have about 0.8 of their shingles of five words in common, but nearly all of their words.
 
 Rows with equal fingerprints are one entry of the index, so copies cost nothing. Components are
 found by alternating star contractions over tables in the shared folder.
@@ -29,10 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import LOWER, arrow_rows, materialize, table
+from maskwright.llm.common import LOWER, arrow_rows, free_names, hash_of_rows, materialize, table
 
 #: Words of a shingle, the hash seed, and the most differing bits of a link.
 WORDS, SEED, BITS = 3, 42, 2
+#: The stage: words of a shingle, shared bytes and differing bits of a link; words and differing bits of the second fingerprint.
+STAGE_WORDS, SHARED, FAR, CHECK_WORDS, CHECKED = 1, 3, 7, 2, 12
 #: Lists up to this size are compared pair by pair, larger ones by looking up their neighbours.
 DENSE = 64
 _NO_ID = 1 << 62
@@ -51,9 +58,11 @@ def shingle_hashes(text: bytes, words: int = WORDS, seed: int = SEED) -> list[in
     return [digest(line[a : b - 1], seed) for a, b in zip([0, *ends], ends[words - 1 :])]
 
 
-def fingerprint(text: bytes | None, words: int = WORDS, seed: int = SEED) -> int:
-    """Bit by bit the strict majority of the shingle hashes."""
+def fingerprint(text: bytes | None, words: int = WORDS, seed: int = SEED, once: bool = False) -> int:
+    """Bit by bit the strict majority of the shingle hashes; with ``once`` a repeated shingle counts once."""
     hashes = shingle_hashes(text or b"", words, seed)
+    if once:
+        hashes = list(set(hashes))
     if not hashes:
         return 0
     bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -87,12 +96,6 @@ def _roots(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Positional bytes that two fingerprints share."""
-    differing = a ^ b
-    return sum(((differing >> np.uint64(8 * k)) & np.uint64(255)) == 0 for k in range(8))
-
-
 def _links(members: np.ndarray, masks: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of the sorted, different ``members`` of a list that are links."""
     if len(members) <= DENSE:
@@ -103,8 +106,6 @@ def _links(members: np.ndarray, masks: np.ndarray, bits: int) -> tuple[np.ndarra
         right = np.minimum(np.concatenate(at), len(members) - 1)
         hit = members[right] == members[left] ^ np.repeat(masks, len(members))
         left, right = left[hit], right[hit]
-    keep = _tally(members[left], members[right]) >= 8 - bits
-    left, right = left[keep], right[keep]
     near = np.bitwise_count(members[left] ^ members[right]) <= bits
     return left[near], right[near]
 
@@ -115,26 +116,57 @@ def _masks(free: tuple[int, ...], bits: int) -> np.ndarray:
     return np.array([sum(1 << x for x in c) for n in range(1, bits + 1) for c in combinations(places, n)], dtype=np.uint64)
 
 
-def link_forest(distinct: DataFrame, bits: int = BITS) -> DataFrame:
-    """Links between different fingerprints (columns fp, node) as edges u > v of nodes that connect the same groups."""
-    kept = list(combinations(range(8), 8 - bits))
+def _tree(members: np.ndarray, checks: np.ndarray, bits: int, checked: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links of a list: who isn't reached yet is compared with one reached member at a time."""
+    rest = np.arange(len(members))
+    left, right = [], []
+    while len(rest):
+        reached, rest = [int(rest[0])], rest[1:]
+        while reached and len(rest):
+            at = reached.pop()
+            near = (np.bitwise_count(members[rest] ^ members[at]) <= bits) & (np.bitwise_count(checks[rest] ^ checks[at]) <= checked)
+            found = rest[near]
+            left.append(np.full(len(found), at))
+            right.append(found)
+            reached += found.tolist()
+            rest = rest[~near]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def link_forest(distinct: DataFrame, bits: int = BITS, shared: int | None = None, checked: int = 64) -> DataFrame:
+    """Links between different fingerprints (columns fp, node, and check if there is one) as edges u > v of nodes that connect the same groups.
+
+    Fingerprints link if they share ``shared`` bytes (by default what ``bits`` guarantee), differ in at
+    most ``bits`` bits, and their checks in at most ``checked`` bits.
+    """
+    exact = shared is None
+    kept = list(combinations(range(8), 8 - bits if exact else shared))
     entries = F.array(*[
         F.struct(F.lit(k).cast("byte").alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(sum(255 << 8 * p for p in c)))).alias("bytes"))
         for k, c in enumerate(kept)
     ])
-    lists = distinct.select("fp", "node", F.explode(entries).alias("list")).select("list.part", "list.bytes", "fp", "node")
+    check = F.col("check") if "check" in distinct.columns else F.lit(0).cast("long")
+    lists = distinct.select("fp", "node", check.alias("check"), F.explode(entries).alias("list")).select("list.part", "list.bytes", "fp", "node", "check")
+    if exact:
+        lists = lists.drop("check")
     dealt = lists.repartition("part", "bytes").sortWithinPartitions("part", "bytes", "fp")
-    masks = [_masks(tuple(sorted(set(range(8)) - set(c))), bits) for c in kept]
+    masks = [_masks(tuple(sorted(set(range(8)) - set(c))), bits) for c in kept] if exact else []
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    def edges_of(part, keys, prints, nodes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def edges_of(part, keys, prints, nodes, *checks) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         new = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (keys[1:] != keys[:-1])])
         sizes = np.diff(np.r_[new, len(part)])
         pairs = new[sizes == 2]
-        a, b = prints[pairs], prints[pairs + 1]
-        near = (_tally(a, b) >= 8 - bits) & (np.bitwise_count(a ^ b) <= bits)
+        near = np.bitwise_count(prints[pairs] ^ prints[pairs + 1]) <= bits
+        if checks:
+            near &= np.bitwise_count(checks[0][pairs] ^ checks[0][pairs + 1]) <= checked
         yield nodes[pairs[near]], nodes[pairs[near] + 1]
         for start, size in zip(new[sizes > 2], sizes[sizes > 2]):
+            if checks:
+                left, right = _tree(prints[start : start + size], checks[0][start : start + size], bits, checked)
+                yield nodes[start + left], nodes[start + right]
+                continue
             order = start + np.argsort(prints[start : start + size])
             left, right = _links(prints[order], masks[part[start]], bits)
             if len(left):
@@ -147,8 +179,8 @@ def link_forest(distinct: DataFrame, bits: int = BITS) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part, keys, prints, nodes = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            now = [part, keys, prints.view(np.uint64), nodes]
+            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+            now = [x.view(np.uint64) if k in (2, 4) else x for k, x in enumerate(now)]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
             last = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
@@ -229,20 +261,51 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def row_groups(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` (two longs that tell rows apart), doc_id and root of every row of ``docs``; rows with one root are near-duplicates."""
+    schema = pa.schema([(keys[0], pa.int64()), (keys[1], pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("check", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(3).to_pylist()
+            prints = [np.array([fingerprint(t, w, SEED, True) for t in texts], dtype=np.uint64).view(np.int64) for w in (STAGE_WORDS, CHECK_WORDS)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, prints)], schema=schema)
+
+    rows = docs.select(*keys, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary"))
+    prints = materialize(rows.mapInArrow(run, f"`{keys[0]}` long, `{keys[1]}` long, doc_id long, fp long, check long"), "prints")
+    distinct = materialize(prints.select("fp", "check").distinct().withColumn("node", F.monotonically_increasing_id()), "distinct")
+    roots = components(link_forest(distinct, FAR, SHARED, CHECKED))
+    rooted = distinct.join(roots, "node", "left").select("fp", "check", F.coalesce("root", "node").alias("root"))
+    return prints.join(materialize(rooted, "roots"), ["fp", "check"]).select(*keys, "doc_id", "root")
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group: the one with the smallest doc_id.
+    """Keeps exactly one row of each group of near-duplicates, by row and not by doc_id.
 
-    Repeated rows of one doc_id are one row. Rows without an id are kept: they can't be told apart
-    from the row that stays.
+    It is the row with the smallest doc_id, rows without one last, and of several such rows with the
+    smallest hash of its id and text. Rows of one doc_id with unlike texts are unlike rows and stay; of
+    rows with equal id and text one stays, that with the smallest hash of its columns. Null and empty texts are
+    one group. The columns, whatever their names, stay as they are; an empty table stays empty.
     """
-    found = near_duplicates(docs).filter("doc_id is not null")
-    ids = materialize(found.groupBy("doc_id").agg(F.first("component_id").alias("root"), F.count("*").alias("n")), "ids")
+    first, second, whole = free_names(docs, "k1", "k2", "row")
+    keyed = docs.withColumns({first: F.xxhash64("doc_id", "text"), second: F.xxhash64(F.lit(1), "text", "doc_id")})
+    # the columns that the fingerprints need, under names of their own
+    bare = keyed.select("doc_id", "text", F.col(first).alias("k1"), F.col(second).alias("k2"))
+    found = materialize(row_groups(bare, ["k1", "k2"]), "groups")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")
+    best = found.groupBy("root").agg(F.min(order).alias("best")).select("root", F.col("best.k1").alias("b1"), F.col("best.k2").alias("b2"))
+    rows = found.groupBy("root", "k1", "k2").agg(F.count("*").alias("n")).join(materialize(best, "best"), "root")
+    rows = materialize(rows.select("k1", "k2", "n", ((F.col("k1") == F.col("b1")) & (F.col("k2") == F.col("b2"))).alias("stays")), "rows")
+    names = {"k1": first, "k2": second}
     # the rows that go are a share of all rows, so the join is a dealt one at every size
-    gone = ids.filter("doc_id != root").select("doc_id").hint("merge")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = ids.filter("doc_id = root and n > 1").select("doc_id")
+    gone = rows.filter(~F.col("stays")).select("k1", "k2").withColumnsRenamed(names).hint("merge")
+    kept = keyed.join(gone, [first, second], "left_anti")
+    repeated = rows.filter("stays and n > 1").select("k1", "k2").withColumnsRenamed(names)
     if not repeated.head(1):
-        return kept
+        return kept.select(*docs.columns)
     kept = materialize(kept, "kept")
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    # combined before it is dealt, so a row that is repeated very often gathers nowhere
+    same = kept.join(repeated, [first, second], "left_semi")
+    least = same.groupBy(first, second).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), hash_of_rows(same)).alias(whole))
+    once = least.select(F.col(f"{whole}.*"))
+    return kept.join(repeated, [first, second], "left_anti").select(*docs.columns).unionByName(once)

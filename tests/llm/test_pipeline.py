@@ -7,8 +7,7 @@ from tokenizers import Tokenizer
 
 from maskwright.llm import bpe, language, quality
 from maskwright.llm.common import fold_of, table
-from tests.llm.test_decontaminate import brute
-from tests.llm.test_simhash import brute_groups, brute_print
+from tests.llm.test_simhash import brute_stage
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,8 +43,8 @@ def test_every_stage_decides_on_all_it_gets(spark):
     assert set(after) == {i for i, r in before.items() if not next(model.predict([r.text]))[2]}
 
     before, after = kept["near_duplicates"]
-    groups = brute_groups(sorted((i, brute_print(r.text)) for i, r in before.items()))
-    assert set(after) == set(groups.values()) and len(after) < len(before)
+    rows = sorted((i, r.text) for i, r in before.items())
+    assert set(after) == {rows[members[0]][0] for members in brute_stage(rows).values()} and len(after) < len(before)
 
     before, after = kept["decontamination"]
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
@@ -80,12 +79,24 @@ def test_empty_tables(spark):
 
 def test_nulls_repeats_and_clashing_columns(spark):
     good = [r for r in table(spark, SF, "documents").collect() if r.lang == "en"][:3]
-    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, "x", 1.5) for r in good]
-    rows += [rows[0], (None, rows[1][1], None, None, None, None, None), (900_001, None, None, None, None, None, None), (900_002, "", "en", "s", 0, "x", 0.5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, ids string, score double")
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs, SF).count() <= len(rows)
-    assert corpus_pipeline.STAGES[2][1](spark, docs, SF).filter("doc_id = %d" % good[0].doc_id).count() == 1
-
-
-_ = brute
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, "x", 1.5, 7, "k", "t", 2, {"a": 1}) for r in good]
+    rest = (None,) * 10
+    rows += [rows[0], (None, rows[1][1], *rest), (900_001, None, *rest), (900_002, "", *rest), (good[0].doc_id, rows[2][1] + " and something else", *rest)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, ids string, score double, n_tokens int, _key string, _text string, row_key int, k1 map<string, int>"
+    docs = spark.createDataFrame(rows, names)
+    by_values = {(r.doc_id, r.text): r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns and kept.dtypes == docs.dtypes, name
+        for r in kept.collect():
+            # no column is overwritten by a helper of the stage
+            assert r == by_values[r.doc_id, r.text], name
+    encoded = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert encoded.columns == [c for c in docs.columns if c != "text"] + ["ids_", "n_tokens_"]
+    assert encoded.count() == len(rows)
+    first = encoded.filter(encoded.doc_id == good[1].doc_id).first()
+    assert (first.ids, first.n_tokens, first["_text"], first["_key"]) == ("x", 7, "t", "k") and first["n_tokens_"] == len(first["ids_"]) > 0
+    assert {r.n_tokens_ for r in encoded.filter("doc_id > 900000").collect()} == {0}
+    once = corpus_pipeline.STAGES[2][1](spark, docs, SF)
+    # the first id has two unlike texts, and the second of them is a near copy of a row with a larger id
+    assert sorted(r.doc_id for r in once.collect()) == [good[0].doc_id, good[0].doc_id, good[1].doc_id, 900_001]

@@ -91,9 +91,90 @@ def test_defined_cases(spark):
     got = sorted(((r.doc_id or -1, r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
     want = [(5, 3), (3, 3), (9, 3), (7, 7), (8, 7), (8, 7), (-1, 7), (11, 11), (12, 11), (-1, None)]
     assert got == sorted(want, key=str)
+    # the stage decides by rows: the copy without an id goes, the other text without an id stays
     kept = simhash.dedup_stage(spark, docs, "")
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, -1, 3, 7, 11]
+    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 3, 7, 11]
     empty = docs.limit(0)
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.dedup_stage(spark, empty, "").count() == 0
+
+
+def brute_stage(rows):
+    """rows: (doc_id, text); the kept ones, by the rule of the stage over all pairs."""
+    def prints(text, words):
+        w = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode().split()
+        found = {xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), seed=42) for i in range(max(1, len(w) - words + 1))} if w else set()
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in found) > len(found))
+
+    n = len(rows)
+    fps = [(prints(t, 1), prints(t, 2)) for _, t in rows]
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in combinations(range(n), 2):
+        x, y = fps[i][0] ^ fps[j][0], fps[i][1] ^ fps[j][1]
+        shared = sum((x >> 8 * k) & 255 == 0 for k in range(8))
+        if shared >= 3 and x.bit_count() <= 7 and y.bit_count() <= 12:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    groups = {}
+    for i in range(n):
+        groups.setdefault(find(i), []).append(i)
+    return groups
+
+
+def near_copies(seed, groups=40, copies=5, length=120):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for g in range(groups):
+        words = [f"w{x}" for x in rng.integers(0, 4000, length)]
+        for c in range(copies):
+            mine = list(words)
+            for at in rng.integers(0, length, c):
+                mine[at] = f"new{g}x{c}x{at}"
+            rows.append((1000 * g + c, " ".join(mine)))
+    return rows
+
+
+def test_stage_against_all_pairs(spark):
+    rows = near_copies(3) + [(90_000 + i, f"a few words {i}") for i in range(30)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, root string")
+    got = {r.doc_id for r in simhash.dedup_stage(spark, docs.repartition(3), "").collect()}
+    groups = brute_stage(rows)
+    assert got == {min(rows[i][0] for i in members) for members in groups.values()}
+    # near copies go, unlike texts stay
+    assert sum(i < 90_000 and i % 1000 > 0 for i in got) <= 16 and sum(i >= 90_000 for i in got) == 30
+
+
+def test_tree_connects_what_is_linked():
+    rng = np.random.default_rng(8)
+    members = rng.integers(0, 1 << 12, 200).astype(np.uint64)
+    checks = rng.integers(0, 1 << 4, 200).astype(np.uint64)
+    left, right = simhash._tree(members, checks, 2, 1)
+    linked = [(i, j) for i, j in combinations(range(200), 2)
+              if (int(members[i]) ^ int(members[j])).bit_count() <= 2 and (int(checks[i]) ^ int(checks[j])).bit_count() <= 1]
+    assert {frozenset(x) for x in zip(left.tolist(), right.tolist())} <= {frozenset(x) for x in linked}
+    want = simhash._roots(*(np.array(x) for x in zip(*linked)), 200)
+    assert (simhash._roots(left, right, 200) == want).all() and len(left) == 200 - len(set(want.tolist()))
+
+
+def test_stage_keeps_unlike_texts_of_one_id(spark):
+    a, b, c = "one text of its own " * 9, "quite another story about ships " * 9, "the third of them tells nothing new " * 9
+    schema = "doc_id long, text string, k1 string, K2 string, _key int"
+    run = lambda rows: sorted(((r.doc_id, r.text) for r in simhash.dedup_stage(spark, spark.createDataFrame(rows, schema), "").collect()), key=str)
+    assert run([(5, a, "x", "y", 1), (7, a, "x", "y", 1), (7, b, "x", "y", 1)]) == [(5, a), (7, b)]
+    assert run([(1, a, "x", "y", 1), (1, c, "x", "y", 1)]) == [(1, a), (1, c)]
+    # copies without an id: one stays, or none beside a row with an id
+    assert run([(None, a, "x", "y", 1), (None, a, "x", "y", 1), (None, b, "x", "y", 1)]) == sorted([(None, a), (None, b)], key=str)
+    assert run([(None, a, "x", "y", 1), (9, a, "x", "y", 1)]) == [(9, a)]
+    # rows of equal id and text: always the same one stays
+    rows = [(4, a, "x", "y", n) for n in range(6)] + [(4, a, None, None, None)]
+    kept = {tuple(r) for k in range(3) for r in simhash.dedup_stage(spark, spark.createDataFrame(rows[k:] + rows[:k], schema).repartition(k + 1), "").collect()}
+    assert len(kept) == 1 and kept <= set(rows)
+    kept = simhash.dedup_stage(spark, spark.createDataFrame(rows, schema), "")
+    assert kept.columns == ["doc_id", "text", "k1", "K2", "_key"] and kept.count() == 1
