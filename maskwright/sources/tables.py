@@ -105,10 +105,10 @@ def read_audit(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     return spark.read.schema(f"{AUDIT_SCHEMA}, batch_id string").format(fmt).load(path).drop("batch_id")
 
 
-def read_reply_chunks(spark: SparkSession, path: str, fmt: str = "json", max_files: int = 64) -> DataFrame:
-    """Reply chunks as a stream of files."""
+def read_reply_chunks(spark: SparkSession, path: str, fmt: str = "json", max_files: int = 64, arrived: bool = False) -> DataFrame:
+    """Reply chunks as a stream of files; with ``arrived`` also when each one came, for deadlines by event time."""
     return (
-        spark.readStream.schema(CHUNK_SCHEMA).option("maxFilesPerTrigger", max_files)
+        spark.readStream.schema(CHUNK_SCHEMA + (", arrived timestamp" if arrived else "")).option("maxFilesPerTrigger", max_files)
         .format(fmt).load(path)
     )
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +14,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from maskwright.functions import fixed
 
-# what may still become a token: everything from the last "<" on, if it matches
+_LONGEST = fixed.TOKEN_MAX_LENGTH
+# the beginning of a token at the end of a text
 _OPEN_TOKEN = re.compile(
     r"<(?:[A-Z][A-Z0-9_]{0,%d}(?::(?:v(?:1(?::[0-9a-f]{0,32})?)?)?)?)?\Z" % (fixed.TOKEN_MAX_TYPE - 1))
 
@@ -22,106 +25,158 @@ ALIGNED = T.StructType([
     T.StructField("text", T.StringType()), T.StructField("refusal", T.StringType())])
 _OUT = Row(*ALIGNED.names)
 _STATE = T.StructType([
-    T.StructField("last_seq", T.LongType()), T.StructField("bytes", T.LongType()),
+    T.StructField("next_seq", T.LongType()), T.StructField("bytes", T.LongType()),
     T.StructField("blocks", T.LongType()), T.StructField("parts", T.LongType()),
-    T.StructField("done", T.StringType()), T.StructField("since", T.LongType()), T.StructField("seen", T.LongType())])
+    T.StructField("done", T.StringType()), T.StructField("since", T.LongType()), T.StructField("last", T.LongType()),
+    T.StructField("seen", T.LongType()), T.StructField("waiting_bytes", T.LongType())])
 _BLOCK_KEY = T.StructType([T.StructField("block", T.StringType())])
 _BLOCK = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("held", T.StringType()), T.StructField("closed", T.BooleanType())])
+_SEQ_KEY = T.StructType([T.StructField("seq", T.LongType())])
+_CHUNK = T.StructType([
+    T.StructField("block", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("delta", T.StringType()),
+    T.StructField("final", T.BooleanType()), T.StructField("at", T.LongType())])
 
 
 def open_token_at(text: str) -> int:
     """Where a token that is not complete yet may begin; the length if none."""
-    at = text.rfind("<", max(0, len(text) - fixed.TOKEN_MAX_LENGTH))
-    return at if at >= 0 and len(text) - at < fixed.TOKEN_MAX_LENGTH and _OPEN_TOKEN.match(text, at) else len(text)
+    tail = text[-(_LONGEST - 1):]
+    found = _OPEN_TOKEN.search(tail)
+    return len(text) - len(tail) + found.start() if found else len(text)
 
 
-class Align(StatefulProcessor):
-    """Re-cuts the text of a reply so that no token is split between rows.
+def _size(delta: str | None) -> int:
+    return len((delta or "").encode("utf-8"))
+
 
-    State of a reply: last sequence number, counters, and per block the held text:
-    for prose at most the beginning of one token, for tool calls all of it until
-    the reply ends. A violation ends the reply with one refusal row; a reply that
-    falls silent or takes too long ends as truncated.
+class Align(StatefulProcessor):
+    """Puts the chunks of a reply in order and re-cuts its text so that no token is split between rows.
+
+    Chunks of a reply are numbered from ``first_seq`` on without gaps and may arrive in any order and in
+    any batches: one that comes early waits in state until all before it are there.
+    A number that comes twice, or one beyond the end, refuses the reply, however
+    the arrivals are cut into batches. State of a reply: the number expected next,
+    counters, the waiting chunks, and per block the held text: for prose at most
+    the beginning of one token, for tool calls all of it until the reply ends. A
+    violation ends the reply with one refusal row. Text that was given out before a refusal
+    stays given out, so a reply with a refusal row is refused as a whole.
+
+    ``clock`` is None, "processing" or "event". With a clock a reply that falls silent or takes too long ends as
+    truncated. By event time the arrivals of the chunks decide, in the order of their numbers, so that the
+    verdict doesn't depend on the batches; the watermark ends what nothing follows.
     """
 
-    def __init__(self, max_bytes: int, max_blocks: int, idle_s: int, total_s: int, timers: bool):
-        self.max_bytes, self.max_blocks, self.timers = max_bytes, max_blocks, timers
+    def __init__(self, max_bytes: int, max_blocks: int, idle_s: int, total_s: int, clock: str | None, max_waiting: int, first_seq: int = 0):
+        self.first_seq = first_seq
+        self.max_bytes, self.max_blocks, self.max_waiting, self.clock = max_bytes, max_blocks, max_waiting, clock
         self.idle_ms, self.total_ms = idle_s * 1000, total_s * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("reply", _STATE)
         self.blocks = handle.getMapState("blocks", _BLOCK_KEY, _BLOCK)
+        self.waiting = handle.getMapState("waiting", _SEQ_KEY, _CHUNK)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         # state is read and written once per key and batch: every call is a round trip
-        request, now = key[0], timerValues.getCurrentProcessingTimeInMs()
-        last, size, n_blocks, parts, done, since, _ = self.state.get() or (-1, 0, 0, 0, None, now, now)
+        request, event = key[0], self.clock == "event"
+        now = None if event else timerValues.getCurrentProcessingTimeInMs()
+        arrived = [(r.seq, (r.block, r.kind, r.delta, bool(r.final), r.at if event else now)) for r in rows]
+        first = min(c[4] for _, c in arrived)
+        expected, size, n_blocks, parts, done, since, last, seen, held = self.state.get() or (self.first_seq, 0, 0, 0, None, first, first, first, 0)
+        seen = max([seen, *[c[4] for _, c in arrived]])
+        if done == "refused":
+            return
         blocks: dict[str, list] = {}
         out: list[tuple] = []
         problem = None
-        for row in sorted(rows, key=lambda r: r.seq):
-            if done == "refused":
-                break
-            if done == "ended" or row.seq <= last:
+        early: dict[int, tuple] = {}
+        for seq, chunk in arrived:
+            repeated = seq is None or seq < expected or seq in early or (held and self.waiting.containsKey((seq,)))
+            if done == "ended" or repeated:
                 problem = "sequence_violation"
+            early[seq] = chunk
+        if expected == self.first_seq and expected in early:
+            since = last = early[expected][4]
+        while problem is None and done is None:
+            if expected in early:
+                block, kind, delta, final, at = early.pop(expected)
+            elif held and self.waiting.containsKey((expected,)):
+                block, kind, delta, final, at = self.waiting.getValue((expected,))
+                self.waiting.removeKey((expected,))
+                held -= _size(delta) + 1
             else:
-                last = row.seq
-                size += len((row.delta or "").encode("utf-8"))
-                problem = "provider_output_too_large" if size > self.max_bytes else None
-            if problem is None and row.kind == "end":
+                break
+            expected += 1
+            size += _size(delta)
+            if self.clock and (at - last > self.idle_ms or at - since > self.total_ms):
+                problem = "truncated"
+            elif size > self.max_bytes:
+                problem = "provider_output_too_large"
+            elif kind == "end":
                 done = "ended"
-                for block, value in self.blocks.iterator():
-                    blocks.setdefault(block[0], list(value))
-                if any(not closed for _, _, closed in blocks.values()):
+                for name, value in self.blocks.iterator():
+                    blocks.setdefault(name[0], list(value))
+                if early or held:
+                    problem = "sequence_violation"
+                elif any(not closed for _, _, closed in blocks.values()):
                     problem = "block_not_closed"
                 else:
-                    for block, (kind, held, _) in sorted(blocks.items()):
-                        if kind == "tool":
-                            out.append((request, block, parts, "tool", held, None))
+                    for name, (of, text, _) in sorted(blocks.items()):
+                        if of == "tool":
+                            out.append((request, name, parts, "tool", text, None))
                             parts += 1
-            elif problem is None:
-                if row.block not in blocks and n_blocks and self.blocks.containsKey((row.block,)):
-                    blocks[row.block] = list(self.blocks.getValue((row.block,)))
-                if row.block not in blocks:
-                    blocks[row.block] = [row.kind, "", False]
+            else:
+                if block not in blocks and n_blocks and self.blocks.containsKey((block,)):
+                    blocks[block] = list(self.blocks.getValue((block,)))
+                if block not in blocks:
+                    blocks[block] = [kind, "", False]
                     n_blocks += 1
-                entry = blocks[row.block]
-                if entry[2] or entry[0] != row.kind:
+                entry = blocks[block]
+                if entry[2] or entry[0] != kind:
                     problem = "block_violation"
                 elif n_blocks > self.max_blocks:
                     problem = "provider_item_limit"
                 else:
-                    text = entry[1] + (row.delta or "")
-                    cut = len(text) if row.final else open_token_at(text)
-                    if row.kind == "text" and cut:
-                        out.append((request, row.block, parts, "text", text[:cut], None))
+                    text = entry[1] + (delta or "")
+                    cut = len(text) if final else open_token_at(text)
+                    if kind == "text" and cut:
+                        out.append((request, block, parts, "text", text[:cut], None))
                         parts += 1
                         text = text[cut:]
-                    entry[1], entry[2] = text, bool(row.final)
-            if problem is not None:
-                done = "refused"
-                out = [o for o in out if o[3] != "tool"] + [(request, None, parts, "refused", None, problem)]
+                    entry[1], entry[2] = text, final
+            last = max(last, at)
+        if problem is None:
+            held += sum(_size(c[2]) + 1 for c in early.values())
+            if held > self.max_waiting:
+                problem = "reorder_limit"
+        if problem is not None:
+            done = "refused"
+            out = [o for o in out if o[3] != "tool"] + [(request, None, parts, "refused", None, problem)]
         if done:
             self.blocks.clear()
+            self.waiting.clear()
+            held = 0
         else:
-            for block, entry in blocks.items():
-                self.blocks.updateValue((block,), tuple(entry))
-        self.state.update((last, size, n_blocks, parts, done, since, now))
-        if self.timers:
-            self.handle.registerTimer(now + self.idle_ms if done else min(now + self.idle_ms, since + self.total_ms))
+            for seq, chunk in early.items():
+                self.waiting.updateValue((seq,), chunk)
+            for name, entry in blocks.items():
+                self.blocks.updateValue((name,), tuple(entry))
+        self.state.update((expected, size, n_blocks, parts, done, since, last, seen, held))
+        if self.clock:
+            self.handle.registerTimer(seen + self.idle_ms if done else min(seen + self.idle_ms, since + self.total_ms))
         for o in out:
             yield _OUT(*o)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state = self.state.get()
-        now = timerValues.getCurrentProcessingTimeInMs()
+        now = timerValues.getCurrentWatermarkInMs() if self.clock == "event" else timerValues.getCurrentProcessingTimeInMs()
         if state is not None:
-            _, _, _, parts, done, since, seen = state
+            _, _, _, parts, done, since, _, seen, _ = state
             silent = now >= seen + self.idle_ms
             if silent or (done is None and now >= since + self.total_ms):
                 self.blocks.clear()
+                self.waiting.clear()
                 self.state.clear()
                 if done is None:
                     yield _OUT(key[0], None, parts, "refused", None, "truncated")
@@ -132,16 +187,24 @@ class Align(StatefulProcessor):
 
 def align_stream(
     chunks: DataFrame, max_bytes: int = fixed.MAX_RESTORED_BYTES, max_blocks: int = fixed.MAX_JSON_ENTRIES,
-    idle_s: int = fixed.IDLE_SECONDS, total_s: int = fixed.TOTAL_SECONDS, timers: bool = True,
+    idle_s: int = fixed.IDLE_SECONDS, total_s: int = fixed.TOTAL_SECONDS, deadlines: str | None = "processing",
+    max_waiting: int = fixed.MAX_JSON_BYTES, delay: str = "0 seconds", first_seq: int = 0,
 ) -> DataFrame:
     """Streaming chunks as rows whose text can be restored one by one.
 
-    Without ``timers`` silent replies are not ended. A query over what is there
-    now has to go without: processing-time timers keep it running for ever.
+    Without ``deadlines`` silent replies are not ended. A query over what is there now takes None, or
+    "event": then ``chunks`` has ``arrived``, the watermark runs ``delay`` behind it, and a reply
+    ends when nothing of it arrives for ``idle_s`` or it takes longer than ``total_s``. Timers of
+    "processing" time keep a query running for ever. A reply whose early chunks take more than
+    ``max_waiting`` bytes is refused.
     """
+    # the driver's Python for states doesn't see packages that were sent to the workers, so the class goes by value
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    modes = {None: "None", "processing": "ProcessingTime", "event": "EventTime"}
+    if deadlines == "event":
+        chunks = chunks.withWatermark("arrived", delay).withColumn("at", F.unix_millis("arrived"))
     return chunks.groupBy("request_id").transformWithState(
-        Align(max_bytes, max_blocks, idle_s, total_s, timers), ALIGNED, "append",
-        "ProcessingTime" if timers else "None")
+        Align(max_bytes, max_blocks, idle_s, total_s, deadlines, max_waiting, first_seq), ALIGNED, "append", modes[deadlines])
 
 
 def sequence_check(chunks: DataFrame, slice_rows: int = 100_000) -> DataFrame:

@@ -97,7 +97,7 @@ def restore_stream(
         rows.unpersist()
 
     trigger = trigger or {"availableNow": True}
-    limits.setdefault("timers", "availableNow" not in trigger)
+    limits.setdefault("deadlines", None if "availableNow" in trigger else "processing")
     return _start(align_stream(chunks, **limits), handle, checkpoint, trigger)
 
 

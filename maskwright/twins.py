@@ -414,7 +414,7 @@ def all_twins() -> dict[str, str]:
         "request_contract": f"""select conv_id, turn, list_extract(['accepted', 'invalid_request', 'streaming_unsupported', 'uninspectable_field', 'unknown_field',
             'unsupported_role', 'inspection_failed', 'invalid_message', 'invalid_json', 'invalid_request'], cast({kind} as int) + 1) as reason from conversations""",
         "json_violations": f"""select conv_id, turn, case conv_id % 5 when 1 then 'invalid_json' when 2 then 'request_too_large' when 3 then 'invalid_json'
-            else case when {kind} = 8 then 'invalid_json' else 'none' end end as violation from conversations""",
+            when 4 then 'none' else case when {kind} = 8 then 'invalid_json' else 'none' end end as violation from conversations""",
         "capped_requests": f"""select 'c' || conv_id as request_id, cast(sum(length({planted(c.PLANTS, 'conv_id + turn')})) as bigint) as n_chars,
             'inspection_failed' as reason from conversations group by conv_id having n_chars > 2000""",
         "kept_fields": "select 'c' || conv_id as request_id, cast(turn as int) as idx, role from conversations",
@@ -443,6 +443,13 @@ def all_twins() -> dict[str, str]:
                 else foreign_token end, '') as text from (select b.*, t.foreign_token from back b join tail t using (request_id)) x
             left join (select distinct o.request_id, o.token, o.outcome, m.text as own_text from own o join minted m using (request_id, token)) own
                 on own.request_id = x.request_id and own.token = x.foreign_token""",
+        "stream_reordered": f"""{RESTORED} select x.request_id, back || ' {FORGED} ' || coalesce(case when own.outcome = 'restored' then own_text
+                else foreign_token end, '') as text from (select b.*, t.foreign_token from back b join tail t using (request_id)) x
+            left join (select distinct o.request_id, o.token, o.outcome, m.text as own_text from own o join minted m using (request_id, token)) own
+                on own.request_id = x.request_id and own.token = x.foreign_token""",
+        "stream_deadlines": """select 'c' || conv_id as request_id, case when conv_id % 5 = 1 then 'truncated'
+                when conv_id % 5 in (2, 3) then 'truncated'
+                when conv_id % 5 = 4 then 'sequence_violation' end as refusal from conversations group by conv_id""",
         "restore_outcomes": f"""{REPLIES},
             own_tokens as (select o.request_id, p.token, p.rn, p.start + coalesce((select sum(length(x.token) - length(x.text)) from pieces x
                 where x.request_id = p.request_id and x.rn < p.rn), 0) as s from output o join pieces p using (request_id)){TAIL}

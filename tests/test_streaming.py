@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from maskwright.operators.vault import vault_key_table, vault_put
 from maskwright.plans import jobs
 from maskwright.sources.vault_store import upsert_vault
-from maskwright.streaming.chunks import align_stream
 from maskwright.streaming.jobs import _write, restore_stream, within_budget
 
 TOKEN = "<CUSTOMER_TERM:v1:%s>" % ("a" * 32)
@@ -70,7 +69,7 @@ def test_tables_are_read_for_every_batch(spark, ring, tmp_path, monkeypatch):
                 (request, "t", 3, call[:9], False, "tool"), (request, "t", 4, call[9:], True, "tool"), (request, None, 5, "", True, "end")]
         spark.createDataFrame(rows, chunk).coalesce(1).write.mode("append").json(paths["in"])
         chunks = spark.readStream.schema(chunk).json(paths["in"])
-        restore_stream(chunks, paths["prov"], paths["vault"], ring, paths["out"], paths["state"], clock=lambda: "2024-01-01 00:01:00").awaitTermination()
+        restore_stream(chunks, paths["prov"], paths["vault"], ring, paths["out"], paths["state"], clock=lambda: "2024-01-01 00:01:00", first_seq=1).awaitTermination()
 
     batch("r1", 1)
     batch("r2", 2)
@@ -81,5 +80,3 @@ def test_tables_are_read_for_every_batch(spark, ring, tmp_path, monkeypatch):
         assert "".join(r.text for r in own if r.kind == "text") == 'Dear Say "Hi" Co, hello'
         assert [json.loads(r.text) for r in own if r.kind == "tool"] == [{"note": 'Say "Hi" Co'}]
 
-
-_ = align_stream
