@@ -489,6 +489,22 @@ def all_twins() -> dict[str, str]:
                 union all select event_id, rn, len(live) < 2, case when len(live) < 2 then list_append(live, t + d) else live end
                 from (select e.event_id, e.rn, e.t, e.d, list_filter(r.ends, lambda x: x > e.t) as live from r join e on e.rn = r.rn + 1))
             select event_id, admitted, not admitted as refund from r""",
+        "admitted": """
+            with recursive e as (select event_id, user_id % 2 + 1 as k, epoch_us(ts) / 1000000.0 as t, greatest(coalesce(value, 0), 0) as d, row_number() over (order by ts, event_id) as rn from events),
+            r as (
+                select cast(0 as bigint) as rn, cast(0 as bigint) as event_id, true as admitted, cast(null as varchar) as reason, cast(null as double) as wait,
+                    cast([] as double[]) as ends, list_transform(range(2), lambda i: {'tokens': cast(1 as double), 'at': cast(null as double)}) as b
+                union all
+                select rn, event_id, tokens >= 1 and len(live) < 2, case when tokens < 1 then 'rate_limit_exceeded' when len(live) >= 2 then 'capacity_exceeded' end,
+                    case when tokens < 1 then (1 - tokens) / (1.0::double / 60) end,
+                    case when tokens >= 1 and len(live) < 2 then list_append(live, t + d) else live end,
+                    list_concat(list_append(b[1:k - 1], {'tokens': case when tokens < 1 then tokens when len(live) < 2 then tokens - 1 else least(1, tokens - 1 + 1) end,
+                        'at': greatest(coalesce(b[k].at, t), t)}), b[k + 1:])
+                from (select e.rn, e.event_id, e.k, e.t, e.d, r.b, list_filter(r.ends, lambda x: x > e.t) as live,
+                        least(cast(1 as double), r.b[e.k].tokens + greatest(0, e.t - coalesce(r.b[e.k].at, e.t)) * (1.0::double / 60)) as tokens
+                    from r join e on e.rn = r.rn + 1))
+            select event_id, admitted, reason, case when reason = 'rate_limit_exceeded' then cast(greatest(1, ceil(wait)) as int) end as retry_after,
+                coalesce(reason = 'capacity_exceeded', false) as refund from r where rn > 0""",
         "rule_problems": f"""
             with s as (select case when k % 7 = 1 then '' else source end as name, k from {sources})
             select name, case k % 7 when 1 then 'missing_name' when 2 then 'unknown_action' when 3 then 'bad_entities' else 'bad_min_score' end as problem
