@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright.functions import fixed
-from maskwright.operators.detectors import Detector, detect_with, pattern_detector
+from maskwright.operators.detectors import Detector, _keys, detect_with, pattern_detector
 from maskwright.operators.resolve import SPANS_TYPE
+from maskwright.session import materialize
 
 # characters of terms in one automaton; longer lists are matched in several, one after the other
 BLOCK_CHARS = 4_000_000
@@ -211,9 +212,151 @@ def detect_dictionary(msgs: DataFrame, terms: Sequence[str], **options) -> DataF
     return detect_with(msgs, [dictionary_detector(terms, **options)])
 
 
-def detect_dictionary_table(msgs: DataFrame, terms: DataFrame, **options) -> DataFrame:
-    """Span table of a term table ``(term)``, which is configuration and read on the driver."""
-    return detect_dictionary(msgs, [r["term"] for r in terms.select("term").distinct().toLocalIterator()], **options)
+_OCCURRENCES = T.ArrayType(T.StructType([
+    T.StructField("i", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType()),
+    T.StructField("before", T.StringType()), T.StructField("after", T.StringType()),
+    T.StructField("first", T.BooleanType()), T.StructField("last", T.BooleanType())]))
+_WORD = re.compile(r"\w+")
+
+
+def _pieces(text: str) -> tuple[list[tuple[int, int]], list[str]]:
+    """Places of the words of a text, and the signs before, between and after them."""
+    places = [m.span() for m in _WORD.finditer(text)]
+    edges = [0, *[x for p in places for x in p], len(text)]
+    return places, [text[a:b] for a, b in zip(edges[::2], edges[1::2])]
+
+
+def _term_table(terms: DataFrame, case_sensitive: bool) -> DataFrame:
+    """``(term, words, gaps, lead, tail)`` of different terms; the words are folded."""
+    out = T.StructType([T.StructField("term", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("gaps", T.ArrayType(T.StringType())),
+                        T.StructField("lead", T.StringType()), T.StructField("tail", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for term in batch.column(0).to_pylist():
+                term = (term or "").strip()
+                if term:
+                    folded = term if case_sensitive else term.translate(_fold_table())
+                    places, gaps = _pieces(term)
+                    words = [folded[a:b] for a, b in places]
+                    # signs alone have no word: the lead is all of them
+                    name = "".join(x for pair in zip(gaps, [*words, ""]) for x in pair)
+                    rows.append((name, words, gaps[1:-1], gaps[0], gaps[-1] if places else ""))
+            yield pa.RecordBatch.from_pylist([dict(zip(out.names, r)) for r in rows], schema=pa.schema([
+                ("term", pa.string()), ("words", pa.list_(pa.string())), ("gaps", pa.list_(pa.string())), ("lead", pa.string()), ("tail", pa.string())]))
+
+    return terms.select(F.col("term").cast("string")).mapInArrow(run, out).dropDuplicates(["term"])
+
+
+def _word_stream(msgs: DataFrame, keys: Sequence[str], case_sensitive: bool) -> DataFrame:
+    """``keys``, ``__row``, a folded word or, under a null word, the signs between words, and where it occurs in the text."""
+    kept = msgs.select(*keys).schema
+    out = T.StructType([*kept.fields, T.StructField("__row", T.LongType()), T.StructField("word", T.StringType()), T.StructField("occ", _OCCURRENCES)])
+    occurrence = pa.struct([("i", pa.int32()), ("start", pa.int32()), ("text", pa.string()), ("before", pa.string()), ("after", pa.string()), ("first", pa.bool_()), ("last", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = (TaskContext.get().partitionId() << 33) - 1
+        for batch in batches:
+            at, rows, found, places_of = [], [], [], []
+            for n, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                row += 1
+                if not text:
+                    continue
+                folded = text if case_sensitive else text.translate(_fold_table())
+                places, gaps = _pieces(text)
+                by_word: dict[str | None, list] = {}
+                for i, (a, b) in enumerate(places):
+                    by_word.setdefault(folded[a:b], []).append((i, a, text[a:b], gaps[i], gaps[i + 1], i == 0, i == len(places) - 1))
+                ends = [0, *[b for _, b in places]]
+                for i, (gap, start) in enumerate(zip(gaps, ends)):
+                    if gap:
+                        by_word.setdefault(None, []).append((i, start, None, gap, None, i == 0, i == len(places)))
+                for word, occ in by_word.items():
+                    at.append(n)
+                    rows.append(row)
+                    found.append(word)
+                    places_of.append([dict(zip(("i", "start", "text", "before", "after", "first", "last"), o)) for o in occ])
+            kept_columns = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(
+                [*kept_columns, pa.array(rows, pa.int64()), pa.array(found, pa.string()), pa.array(places_of, pa.list_(occurrence))], names=out.names)
+
+    return msgs.select(*keys, F.col("text").alias("__text")).mapInArrow(run, out)
+
+
+def detect_dictionary_table(
+    msgs: DataFrame, terms: DataFrame, entity_type: str = "CUSTOMER_TERM", name: str = "customer_dictionary", case_sensitive: bool = False,
+) -> DataFrame:
+    """Span table of a term table ``(term)`` of any size: exact terms, leftmost and longest first, not inside words.
+
+    Terms and texts are dealt by words: the words of the texts that occur in some
+    term are kept with their places; a term is looked up by the word of its that is rarest in the texts,
+    and its other words, and the signs between them, are checked at their distance from it. Terms
+    of signs alone are looked for in the signs between words. Nothing of the terms goes through the driver; the
+    planner broadcasts them where they are small. Texts don't move, their words do.
+    Null and empty terms and texts have no spans. Words are what ``\\w`` takes for it; signs are compared as written.
+    """
+    keys = _keys(msgs)
+    known = materialize(_term_table(terms, case_sensitive), "terms")
+    worded, signs = known.where("size(words) > 0"), known.where("size(words) = 0")
+    used = worded.select(F.explode("words").alias("word")).distinct()
+    stream = _word_stream(msgs, keys, case_sensitive)
+    any_signs = signs.head(1)
+    kept = stream.join(used, "word", "left_semi")
+    if any_signs:
+        kept = materialize(stream.where("word is null").unionByName(stream.where("word is not null").join(used, "word", "left_semi")), "kept")
+        gaps = kept.where("word is null")
+        kept = kept.where("word is not null")
+    else:
+        kept = materialize(kept, "kept")
+    counts = kept.groupBy("word").agg(F.sum(F.size("occ")).alias("n"))
+    # the rarest word of each term; a term with a word that is nowhere has no match
+    rated = worded.select("term", F.posexplode("words").alias("j", "word")).join(counts, "word")
+    anchors = rated.groupBy("term").agg(F.min(F.struct("n", "j", "word")).alias("a"), F.count(F.lit(1)).alias("seen")).select("term", "a.j", "a.word", "seen")
+    anchors = worded.join(anchors, "term").where("seen = size(words)").drop("seen")
+    places = kept.select("__row", "word", F.inline("occ"))
+    looked = places.select("__row", "word", "i", "start", "text", "before", "after", "first", "last").join(anchors, "word")
+
+    # signs in front of a term are followed backwards by a sign or the start of the text, and those after it likewise
+    fits_before = F.expr("lead = '' or (endswith(before, lead) and (length(before) > length(lead) or first))")
+    fits_after = F.expr("tail = '' or (startswith(after, tail) and (length(after) > length(tail) or last))")
+    single = looked.where("size(words) = 1").where(fits_before & fits_after)
+    single = single.select("__row", "term", F.col("start"), F.length("text").alias("length"), "text", "lead", "tail")
+
+    base = looked.where("size(words) > 1").select("__row", "term", (F.col("i") - F.col("j")).alias("b"), "words", "gaps", "lead", "tail").where("b >= 0").distinct()
+    wanted = base.select("__row", "term", "b", "lead", "tail", F.size("words").alias("k"), "gaps", F.posexplode("words").alias("j", "word")).withColumn("i", F.expr("b + j"))
+    met = wanted.join(places, ["__row", "word", "i"])
+    inner = F.expr("j = k - 1 or after = gaps[j]")
+    met = met.where(inner & (F.expr("j > 0") | fits_before) & (F.expr("j < k - 1") | fits_after))
+    several = met.groupBy("__row", "term", "b", "k").agg(
+        F.count(F.lit(1)).alias("seen"), F.min("start").alias("start"), F.max(F.expr("start + length(text)")).alias("stop"), F.first("lead").alias("lead"), F.first("tail").alias("tail"),
+        F.sort_array(F.collect_list(F.struct("j", "text", F.expr("if(j = k - 1, '', after)").alias("after")))).alias("p")).where("seen = k")
+    several = several.select("__row", "term", "start", F.expr("stop - start").alias("length"),
+                             F.array_join(F.flatten(F.transform("p", lambda p: F.array(p["text"], p["after"]))), "").alias("text"), "lead", "tail")
+    found = single.unionByName(several).selectExpr(
+        "__row", "start - length(lead) as start", "start + length + length(tail) as end", "concat(lead, text, tail) as text")
+    if any_signs:
+        # every place of a term of signs in the signs between two words, looked up by its first sign
+        between = gaps.select("__row", F.inline("occ")).select("__row", "start", "before", "first", "last", F.explode(F.array_distinct(F.split("before", ""))).alias("sign"))
+        hits = between.join(signs.select("lead", F.substring("lead", 1, 1).alias("sign")), "sign")
+        at = F.filter(F.sequence(F.lit(0), F.expr("length(before) - length(lead)")), lambda o: (
+            F.expr("before").substr(o + 1, F.length("lead")) == F.col("lead")) & ((o > 0) | F.col("first")) & (
+            (o + F.length("lead") < F.length("before")) | F.col("last")))
+        hits = hits.where("length(before) >= length(lead)").select("__row", "start", "lead", F.explode(at).alias("o"))
+        found = found.unionByName(hits.selectExpr("__row", "start + o as start", "start + o + length(lead) as end", "lead as text"))
+    # leftmost and longest first, per text; the matches of one text are bounded by it
+    ordered = F.array_sort(F.collect_set(F.struct("start", (-F.col("end")).alias("back"), "text")))
+    zero = "named_struct('at', 0, 'out', cast(array() as array<struct<start:int,back:int,text:string>>))"
+    taken = f"aggregate(m, {zero}, (s, x) -> if(x.start >= s.at, named_struct('at', -x.back, 'out', concat(s.out, array(x))), s), s -> s.out)"
+    folded = found.groupBy("__row").agg(ordered.alias("m")).select("__row", F.expr(f"inline({taken})"))
+    row_keys = kept.select("__row", *keys)
+    if any_signs:
+        row_keys = row_keys.unionByName(gaps.select("__row", *keys))
+    spans = folded.join(row_keys.distinct(), "__row")
+    return spans.select(*keys, "start", (-F.col("back")).alias("end"), F.lit(entity_type).alias("entity_type"), "text",
+                        F.lit(fixed.CERTAIN).cast("double").alias("score"), F.lit(name).alias("detector"))
 
 
 def detect_custom_regex(msgs: DataFrame, pattern: str, entity_type: str, **options) -> DataFrame:

@@ -227,7 +227,7 @@ def all_twins() -> dict[str, str]:
     nested = session_hash("'agent-subagent-v1'", f"lower(hex({base}))", "'helper'")
     cache = session_hash("'agent-cache-v1'", TENANT, "'key-' || conv_id % 4", CONV, "'messages'", "'m-1'", "'external'", "'v1'", "'id-' || turn")
     kind = "(conv_id + turn) % 10"
-    long_words = ("select lower(w) from (select unnest(regexp_extract_all(text, '[A-Za-z]+')) as w from benchmark) where length(w) >= 9")
+    long_words = ("select lower(w) from (select unnest(regexp_extract_all(text, '[A-Za-z]+')) as w from benchmark)")
     audit_counts = "string_agg(entity_type || '=' || n, ',' order by entity_type)"
     tools = "(select 'c' || conv_id as request_id, conv_id, 'tool' || turn % 5 as name, turn % 2 = 0 as fn from conversations)"
     found = {

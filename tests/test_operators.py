@@ -140,6 +140,29 @@ def test_dictionary_equals_a_scan_with_python_rules(spark):
     assert custom.detect_dictionary_table(texts(spark, values), table).count() == custom.detect_dictionary(texts(spark, values), terms).count()
 
 
+def test_dealt_dictionary_equals_the_automaton(spark):
+    rng = random.Random(9)
+    terms = ["Nord Baltic SIA", "Nord Baltic", "(gamma) y", "ķīmija", "a.b", "istanbul", "sea", "οδοσ", "straße", "++", "İx", "K", "b+", "+b", "a", " a b ", ". .", "k k k", None, "", "  "]
+    values = ["nord baltic sia; NORD BALTIC; nord baltics", "(GAMMA) Y, xķīmija Ķīmija a.b.c (gamma) yy x(gamma) y", "none", "İstanbul ıstanbul ISTANBUL", "ſea SEA", "ΟΔΟΣ οδος",
+              "c++ and ++", "++", "+++ +", "k k k k k", "(gamma) y", "STRAẞE strasse", "K k\u212a", "", None, "Nord  Baltic", "same text a", "same text a"]
+    values += ["".join(rng.choice("aAkKbB+. ") for _ in range(25)) for _ in range(300)]
+    msgs = texts(spark, values).repartition(3)
+    for sensitive in (False, True):
+        for chosen in (terms, ["a"], ["++", "."], [f"zzz{i}" for i in range(50)], []):
+            table = spark.createDataFrame([(t, 1) for t in chosen], "term string, n int")
+            want = custom.detect_dictionary(msgs, [t for t in chosen if t], case_sensitive=sensitive)
+            got = custom.detect_dictionary_table(msgs, table, case_sensitive=sensitive)
+            assert got.columns == want.columns and got.dtypes == want.dtypes
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_term_tables_stay_off_the_driver(spark):
+    msgs = texts(spark, [f"w{i} w{i + 1} tail" for i in range(200)])
+    table = spark.range(3000).selectExpr("concat('w', id, if(id % 2 = 0, concat(' w', id + 1), '')) as term")
+    found = custom.detect_dictionary_table(msgs, table).collect()
+    assert sorted(r.text for r in found) == sorted([f"w{i} w{i + 1}" if i % 2 == 0 else f"w{i}" for i in range(200)])
+
+
 def test_terms_in_several_automata(spark, monkeypatch):
     values = ["alpha beta alpha beta gamma", "beta"]
     want = custom.detect_dictionary(texts(spark, values), ["alpha", "alpha beta", "beta", "gamma"]).collect()
