@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import fixed
 from maskwright.operators.tokens import spliced
+from maskwright.session import materialize
 
 AUDIT_SCHEMA = (
     "schema_version int, request_id string, tenant_id string, conversation_id string, api_key_id string, "
@@ -179,6 +183,42 @@ def leak_scan(originals: DataFrame, outputs: DataFrame, key: str = "request_id")
     return hits.groupBy(key, F.col("__v.entity_type").alias("entity_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def leak_scan_everywhere(originals: DataFrame, outputs: DataFrame, gram: int = 6) -> DataFrame:
+    """``(kind, output_id, request_id, entity_type, n)``: original values of any request found in any output.
+
+    ``originals``: ``(entity_type, text)`` of all requests; ``outputs``: ``(kind, output_id, request_id, text)``, such as
+    what providers, callers, the audit and the metrics were given. Reports types and counts, never the values.
+    ``request_id`` is the output's.
+
+    Values are looked up by the rarest of their stretches of ``gram`` characters (all of a shorter value): the
+    stretches of the outputs that occur in some value are kept, a value with a stretch that is nowhere is
+    nowhere, and only outputs that hold a value's rarest stretch are compared with it. Null and empty values and outputs have no leak.
+    """
+    values = materialize(originals.select("entity_type", "text").where("length(text) > 0").distinct(), "values")
+    short = [r[0] for r in values.where(F.length("text") < gram).select(F.length("text")).distinct().collect()]  # less than ``gram`` rows
+    lengths = sorted({gram, *short})
+    rows = materialize(outputs.select("kind", "output_id", "request_id", "text").withColumn("__id", F.monotonically_increasing_id()), "outputs")
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, text in zip(*(c.to_pylist() for c in batch.columns)):
+                found = list({text[i : i + n] for n in lengths for i in range(len(text or "") - n + 1)}) if text else []
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(found), pa.int64()), pa.array(found, pa.string())], names=["__id", "gram"])
+
+    size = F.least(F.lit(gram), F.length("text"))
+    grams = values.select("text", size.alias("g")).distinct().select("text", F.explode(F.expr("transform(sequence(1, length(text) - g + 1), i -> substr(text, i, g))")).alias("gram")).distinct()
+    grams = materialize(grams, "grams")
+    seen = rows.select("__id", "text").mapInArrow(stretches, "__id long, gram string").join(grams.select("gram").distinct(), "gram", "left_semi")
+    seen = materialize(seen, "seen")
+    counts = seen.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rated = grams.join(counts, "gram", "left").groupBy("text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("a"))
+    anchors = rated.where("a.n > 0").select(F.col("text").alias("value"), "a.gram")
+    pairs = seen.join(anchors, "gram").select("__id", "value").distinct()
+    hits = rows.join(pairs, "__id").where(F.contains(F.col("text"), F.col("value"))).select("kind", "output_id", "request_id", "value")
+    typed = hits.join(values.withColumnRenamed("text", "value"), "value")
+    return typed.groupBy("kind", "output_id", "request_id", "entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def preview_table(tokenized: DataFrame, decisions: DataFrame) -> DataFrame:
     """Per text: detections without their values, both decisions, the projected output.
 

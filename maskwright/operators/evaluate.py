@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions import fixed
+from maskwright.session import materialize
 
 
 def alias_labels(spans: DataFrame) -> DataFrame:
@@ -111,33 +114,64 @@ def overall(counts: DataFrame) -> DataFrame:
         F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
 
 
-def stage_latency(timings: DataFrame, budget_ms: float = 150.0) -> DataFrame:
-    """Per stage p50, p95, p99, max, mean, and whether p95 is within the budget.
+def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Callable[[Column], Column]], bins: int = 4096) -> DataFrame:
+    """``keys``, ``n`` and per name the value of that rank, from 1, among the values of a group; exact.
 
-    The median averages the two middle values; p95 and p99 are observed values of
-    a rank. Exact: values are counted per distinct value and ranked by running
-    counts over them, so no group is collected.
+    ``ranks`` gives each rank from the column of the number of values. Selection by digits: a
+    histogram of equal steps between the lowest and the highest value is counted, by turns of the values and of
+    their magnitudes, and only the bin that holds the rank is looked at again, between its own
+    lowest and highest value, until that is one value, which takes few passes however the values lie. Every pass is a partial aggregation, so the values of a group never meet; a
+    histogram has at most ``bins`` rows a group and rank. Null and NaN are no values; a group without values has no row.
     """
-    from pyspark.sql import Window
+    most = 1.7976931348623157e308
+    number = F.col(value).cast("double")
+    base = df.where(number.isNotNull() & ~F.isnan(number)).select(*keys, F.greatest(F.least(number, F.lit(most)), F.lit(-most)).alias("__v"))
+    sizes = base.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("bigint").alias("k")) for name, rank in ranks.items()]))
+    targets = materialize(sizes.select(*keys, "n", "lo", "hi", each.alias("t")).select(*keys, "n", "t.name", "t.k", "lo", "hi"), "ranks")
+
+    def same(left: DataFrame, right: DataFrame, *more: str) -> Column:
+        return reduce(and_, [left[c].eqNullSafe(right[c]) for c in (*keys, *more)])
+
+    def size(x: Column) -> Column:
+        # in the order of the numbers, and zero for zero alone; the logarithm of the least number is above -746
+        return F.when(x == 0, 0.0).otherwise(F.signum(x) * (F.ln(F.abs(x)) + 746))
+
+    by_size = False
+    while targets.where("lo < hi").head(1):
+        open_ = targets.where("lo < hi")
+        ranges = open_.select(*keys, "lo", "hi").distinct().alias("r")
+        inside = base.join(ranges, same(base, ranges) & F.col("__v").between(F.col("lo"), F.col("hi"))).select(*[base[k] for k in keys], "lo", "hi", "__v")
+        # the distance of the largest numbers is taken in halves; that of others is never zero
+        whole = F.col("hi") - F.col("lo")
+        share = F.when(whole < float("inf"), (F.col("__v") - F.col("lo")) / whole).otherwise(
+            (F.col("__v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2))
+        if by_size:
+            low, high = size(F.col("lo")), size(F.col("hi"))
+            share = F.when(low < high, (size(F.col("__v")) - low) / F.when(low < high, high - low)).otherwise(share)
+        by_size = not by_size
+        bin_ = F.least(F.floor(share * bins), F.lit(bins - 1))
+        counted = inside.groupBy(*keys, "lo", "hi", bin_.alias("bin")).agg(F.count("*").alias("c"), F.min("__v").alias("low"), F.max("__v").alias("high"))
+        upto = F.sum("c").over(Window.partitionBy(*keys, "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+        counted = counted.withColumn("upto", upto)
+        met = open_.join(counted, same(open_, counted, "lo", "hi")).where("upto - c < k and k <= upto")
+        closer = met.select(*[open_[c] for c in (*keys, "n", "name")], F.expr("k - (upto - c)").alias("k"), F.col("low").alias("lo"), F.col("high").alias("hi"))
+        targets = materialize(targets.where("lo = hi").unionByName(closer), "ranks")
+    return targets.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("name") == name, F.col("lo"))).alias(name) for name in ranks])
 
-    counted = timings.groupBy("stage", "ms").agg(F.count(F.lit(1)).alias("c"))
-    order = Window.partitionBy("stage").orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy("stage")
-    ranked = counted.withColumns({"upto": F.sum("c").over(order), "n": F.sum("c").over(total)})
 
-    def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("upto") >= rank, F.col("ms")))
-
-    def share(fraction: float) -> Column:
-        return F.greatest(F.lit(1), F.floor(F.col("n") * fraction))
+def stage_latency(timings: DataFrame, budget_ms: float = 150.0) -> DataFrame:
+    """Per stage p50, p95, p99, max, mean, and whether p95 is within the budget.
 
-    n = F.col("n")
-    summary = ranked.groupBy("stage").agg(
-        F.first("n").alias("iterations"),
-        ((at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2).alias("p50_ms"),
-        at(share(0.95)).alias("p95_ms"), at(share(0.99)).alias("p99_ms"),
-        F.max("ms").alias("max_ms"), (F.sum(F.col("ms") * F.col("c")) / F.first("n")).alias("mean_ms"),
-    )
+    The median averages the two middle values; p95 and p99 are observed values of
+    a rank. Exact, by ``order_statistics``: there are few stages, so none of them may gather in a task.
+    """
+    share = lambda fraction: lambda n: F.greatest(F.lit(1), F.floor(n * fraction))
+    ranks = {"low": lambda n: F.floor((n + 1) / 2), "high": lambda n: F.floor(n / 2) + 1, "p95_ms": share(0.95), "p99_ms": share(0.99), "max_ms": lambda n: n}
+    found = order_statistics(timings, ["stage"], "ms", ranks)
+    means = timings.groupBy("stage").agg(F.avg("ms").alias("mean_ms"))
+    joined = found.join(means, found["stage"].eqNullSafe(means["stage"])).drop(means["stage"])
+    summary = joined.select("stage", F.col("n").alias("iterations"), ((F.col("low") + F.col("high")) / 2).alias("p50_ms"), "p95_ms", "p99_ms", "max_ms", "mean_ms")
     return summary.withColumns({c: F.round(c, 3) for c in ("p50_ms", "p95_ms", "p99_ms", "max_ms", "mean_ms")}).withColumn(
         "within_budget", F.col("p95_ms") <= budget_ms)
 
@@ -200,15 +234,29 @@ def coverage_gap(examples: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def compare_paths(runs: DataFrame, measures: Sequence[str], paths: tuple[str, str] = ("direct", "gateway")) -> DataFrame:
-    """Per protocol, profile and size: medians of each measure on two paths, their
-    difference, and the failure rates.
+    """Per protocol, profile and size: medians and 95th percentiles of each measure on two paths, the
+    difference of the medians, and the failure rates. Percentiles lie between the two nearest values.
 
     ``runs``: ``(protocol, profile, size, path, failed, <measures>)``.
     """
-    keys = ("protocol", "profile", "size")
-    stats = [F.expr(f"percentile({m}, 0.5) filter (where not failed)").alias(f"{m}_p50") for m in measures] + [
-        F.expr(f"percentile({m}, 0.95) filter (where not failed)").alias(f"{m}_p95") for m in measures]
-    wide = runs.groupBy(*keys).pivot("path", list(paths)).agg(
-        *stats, F.avg(F.col("failed").cast("double")).alias("failure_rate"), F.count(F.lit(1)).alias("runs"))
+    keys = ["protocol", "profile", "size"]
+    measured = runs.where("not failed").select(*keys, "path", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])))
+    shares = {"p50": 0.5, "p95": 0.95}
+    ranks = {}
+    for name, share in shares.items():
+        ranks[f"{name}_low"] = lambda n, share=share: F.floor((n - 1) * share) + 1
+        ranks[f"{name}_high"] = lambda n, share=share: F.ceil((n - 1) * share) + 1
+    found = order_statistics(measured.where(F.col("path").isin(*paths)), [*keys, "path", "measure"], "value", ranks)
+    between = {}
+    for name, share in shares.items():
+        at = (F.col("n") - 1) * share
+        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+        between[name] = F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+    of = lambda p, m, name: F.max(F.when((F.col("path") == p) & (F.col("measure") == m), between[name])).alias(f"{p}_{m}_{name}")
+    quantiles = found.groupBy(*keys).agg(*[of(p, m, name) for p in paths for m in measures for name in shares])
+    rates = runs.groupBy(*keys).pivot("path", list(paths)).agg(F.avg(F.col("failed").cast("double")).alias("failure_rate"), F.count(F.lit(1)).alias("runs"))
+    joined = rates.join(quantiles, reduce(and_, [rates[k].eqNullSafe(quantiles[k]) for k in keys]), "left")
+    wide = joined.select(*[rates[k] for k in keys], *[c for c in quantiles.columns if c not in keys], *[c for c in rates.columns if c not in keys])
     first, second = paths
     return wide.withColumns({f"{m}_p50_change": F.col(f"{second}_{m}_p50") - F.col(f"{first}_{m}_p50") for m in measures})

@@ -374,6 +374,10 @@ def all_twins() -> dict[str, str]:
             union all select 'request_refusals_total', 'chat_completions,blocked_by_policy', count(*) from final where action = 'block' having count(*) > 0""",
         "leaks": "select cast(null as varchar) as request_id, cast(null as varchar) as entity_type, cast(null as bigint) as n where false",
         "leaks_untreated": f"{MINTED} select request_id, entity_type, count(distinct text) as n from minted group by all",
+        "leaks_everywhere": f"""{MINTED}, v as (select distinct entity_type, text as value from minted),
+            o as (select conv_id % 10 as c, conv_id, turn, {planted(c.PLANTS, 'conv_id + turn')} as text from conversations where conv_id % 10 < 3),
+            h as (select c, entity_type, conv_id, turn, count(*) as n from o join v on contains(o.text, v.value) group by all)
+            select list_extract(['reply', 'note', 'label'], cast(c as int) + 1) as kind, entity_type, count(*) as outputs, cast(sum(n) as bigint) as n from h group by all""",
         "span_scores": f"{scored()} select bucket, key, tp, fp, fn, support, round(precision, 4) as precision, round(recall, 4) as recall, round({F1}, 4) as f1 from s",
         "score_totals": f"{scored()} select cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn from s where bucket = 'entity'",
         "threshold_gate": f"""{scored()}, g as (select *, case when key like 'PHONE_NUMBER/%' then 0.95 when key like 'IP_ADDRESS/%' then 0.85 else 0.99 end as min_precision,

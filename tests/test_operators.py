@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import fixed
 from maskwright.functions.text import canonicalize
-from maskwright.operators import admission, contract, corpus, custom, detectors, policy, resolve, screening, tokens
+from maskwright.operators import admission, audit, contract, corpus, custom, detectors, evaluate, policy, resolve, screening, tokens
 from maskwright.operators.inspect import inspect
 from maskwright.operators.view import _rebuild, detection_view, map_spans
 from maskwright.plans import jobs
@@ -170,6 +170,43 @@ def test_terms_in_several_automata(spark, monkeypatch):
     assert custom.detect_dictionary(texts(spark, values), ["alpha", "alpha beta", "beta", "gamma"]).collect() == want
 
 
+def test_order_statistics_of_hard_values(spark):
+    rng = random.Random(4)
+    groups = {
+        "even": [float(i) for i in range(1000)], "same": [2.5] * 70, "one": [-0.0], "wide": [10.0 ** rng.uniform(-300, 300) * rng.choice((-1, 1)) for _ in range(500)],
+        "close": [1.0 + i * 2**-52 for i in range(300)], "huge": [1.7e308, -1.7e308, 1.0, 5e-324, 0.0], None: [3.0, 1.0, 2.0], "skew": [1.0] * 900 + [1e9] * 3,
+    }
+    rows = [(k, v) for k, values in groups.items() for v in values] + [("even", None), ("even", float("nan")), ("empty", None)]
+    frame = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    ranks = {"low": lambda n: F.lit(1), "mid": lambda n: F.floor((n + 1) / 2), "p95": lambda n: F.ceil(n * 0.95), "top": lambda n: n}
+    for bins in (4096, 40):
+        got = {r.g: r for r in evaluate.order_statistics(frame, ["g"], "v", ranks, bins).collect()}
+        for k, values in groups.items():
+            if k in got:
+                v, n = sorted(values), len(values)
+                assert (got[k].n, got[k].low, got[k].mid, got[k].p95, got[k].top) == (n, v[0], v[(n + 1) // 2 - 1], v[-(-n * 95 // 100) - 1], v[-1])
+        assert "empty" not in got and len(got) == len(groups)
+    assert evaluate.order_statistics(frame.limit(0), ["g"], "v", ranks).count() == 0
+
+
+def test_quantiles_gather_no_group(spark):
+    frame = spark.range(5000).selectExpr("if(id % 3 = 0, 'a', 'b') as stage", "cast(id * 7 % 1000 as double) as ms")
+    plan = evaluate.stage_latency(frame)._jdf.queryExecution().toString()
+    assert "percentile" not in plan and not re.search(r"Window[^\n]*stage", plan)
+
+
+def test_leaks_in_any_output(spark):
+    originals = spark.createDataFrame([("EMAIL", "anna@example.org"), ("EMAIL", "anna@example.org"), ("PIN", "4711"), ("NAME", "Bo"), ("KEY", "k" * 900), ("X", ""), ("X", None), ("EMAIL", "nobody@example.org"), ("ALIAS", "4711")], "entity_type string, text string")
+    rows = [("reply", "1", "r9", "write to xanna@example.orgy"), ("audit", "2", "r2", '{"note":"47110"}'), ("metric", "3", None, "label=Bo"), ("reply", "4", "r1", "nothing at all, bo"), ("reply", "5", "r1", None),
+            ("reply", "6", "r1", ""), ("audit", "7", "r3", "x" + "k" * 950 + " 4711 Bo"), ("metric", "3", None, "label=Bo"), ("reply", "8", "r1", "anna@example.com nobody at example.org")]
+    outputs = spark.createDataFrame([(*r, 1) for r in rows], "kind string, output_id string, request_id string, text string, value int")
+    for gram in (6, 3, 40):
+        got = sorted(map(tuple, audit.leak_scan_everywhere(originals, outputs, gram).collect()), key=str)
+        assert got == sorted([("reply", "1", "r9", "EMAIL", 1), ("audit", "2", "r2", "PIN", 1), ("audit", "2", "r2", "ALIAS", 1), ("metric", "3", None, "NAME", 2),
+                              ("audit", "7", "r3", "KEY", 1), ("audit", "7", "r3", "PIN", 1), ("audit", "7", "r3", "ALIAS", 1), ("audit", "7", "r3", "NAME", 1)], key=str)
+    assert audit.leak_scan_everywhere(originals.limit(0), outputs).count() == 0 == audit.leak_scan_everywhere(originals, outputs.limit(0)).count()
+
+
 def test_rule_checks_and_implicit_deny(spark):
     bad = policy.rules_frame(spark, [dict(name="a", action="drop", entities=["X"], min_score=2.0), dict(name="a", action="allow", entities=["X"])])
     assert {r.problem for r in policy.validate_rules(bad).collect()} == {
