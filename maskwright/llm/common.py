@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.session import materialize, scratch_dir
 
-__all__ = ["arrow_rows", "fold_of", "free_names", "hash_of_rows", "materialize", "pieces_of", "prepare", "scratch_dir", "table"]
+__all__ = ["arrow_rows", "floors", "fold_of", "free_names", "hash_of_rows", "materialize", "pieces_of", "prepare", "scratch_dir", "table", "whole"]
 
 #: Rows per Arrow batch. Documents can be long, so the rows that wait for Python are few.
 BATCH_ROWS = 1_000
@@ -73,6 +75,18 @@ def pieces_of(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -
         yield pa.Table.from_batches(held)
 
 
+def whole(vector: np.ndarray, scale: int) -> list[int]:
+    """floor(scale * x) of every component as a whole number of any size."""
+    return [int(x) * scale if abs(x) >= 2.0**53 else math.floor(scale * x) for x in vector.tolist()]
+
+
+def floors(vector: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as doubles, infinite where that is too large."""
+    with np.errstate(over="ignore"):
+        y = vector * scale
+    return np.where(np.abs(y) < 2.0**53, np.floor(y), y)
+
+
 def arrow_rows(schema: pa.Schema, columns: dict[str, object]) -> pa.RecordBatch:
     """A batch of ``schema`` from one sequence or array per field."""
     return pa.RecordBatch.from_arrays(

@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import materialize, table
+from maskwright.llm.common import floors, materialize, table, whole
 
 #: Scale, ids of the anchors, ids whose label moves on and the number of labels, positives, negatives, the window in percent.
 SCALE, EVERY, MOVED, LABELS, POSITIVES, NEGATIVES, LOW, HIGH = 256, 50, 7, 10, 5, 3, 50, 95
@@ -64,18 +64,6 @@ def usable(rows: DataFrame) -> DataFrame:
     return kept.select(F.col("vec_id").cast("long"), moved.cast("long").alias("label"), v.cast("array<double>").alias("v"))
 
 
-def whole(vector: np.ndarray, scale: int = SCALE) -> list[int]:
-    """floor(scale * x) of every component as a whole number of any size."""
-    return [int(x) * scale if abs(x) >= 2.0**53 else math.floor(scale * x) for x in vector.tolist()]
-
-
-def floors(vector: np.ndarray, scale: int = SCALE) -> np.ndarray:
-    """floor(scale * x) as doubles, infinite where that is too large."""
-    with np.errstate(over="ignore"):
-        y = vector * scale
-    return np.where(np.abs(y) < 2.0**53, np.floor(y), y)
-
-
 class Index:
     """The entries of a shard by dimension, each list by the norm of the rest of the row."""
 
@@ -138,17 +126,17 @@ class Index:
         with np.errstate(divide="ignore", invalid="ignore"):
             need = np.where(norms > 0, thresholds / norms, np.where(thresholds > 0, np.inf, -np.inf))
         bound = float(need.min())
-        whole = 0
-        while whole < self.wide and 2 * self._listed(whole, bound) >= self.size:
-            whole += 1
-        partial = self.matrix[:, :whole] @ anchors[:, :whole].T
-        for d in whole + np.flatnonzero(anchors[:, whole:].any(axis=0)):
+        lead = 0
+        while lead < self.wide and 2 * self._listed(lead, bound) >= self.size:
+            lead += 1
+        partial = self.matrix[:, :lead] @ anchors[:, :lead].T
+        for d in lead + np.flatnonzero(anchors[:, lead:].any(axis=0)):
             a = self.lists[d]
             b = a + self._listed(d, bound)
             if b > a:
                 partial[self.list_rows[a:b]] += self.list_values[a:b, None] * anchors[:, d]
         # where the left-out end of each row starts, its norm, and the anchors' norm from there on
-        listed = np.r_[0, np.cumsum((self.rest >= bound) | (self.at < whole))]
+        listed = np.r_[0, np.cumsum((self.rest >= bound) | (self.at < lead))]
         cut = self.starts[:-1] + listed[self.starts[1:]] - listed[self.starts[:-1]]
         ended = cut >= self.starts[1:]
         safe = np.minimum(cut, max(len(self.rest) - 1, 0))
@@ -173,8 +161,8 @@ class Shard:
         order = np.lexsort((labels, ids))
         self.ids, self.labels = ids[order], labels[order]
         self.raw = [vectors[k] for k in order]
-        floored = [floors(v) for v in self.raw]
-        self.anchors = [floors(a) for a in anchors]
+        floored = [floors(v, SCALE) for v in self.raw]
+        self.anchors = [floors(a, SCALE) for a in anchors]
         with np.errstate(over="ignore"):
             norm = lambda vs: max((float(np.sqrt(np.sum(v * v))) for v in vs), default=0.0)
             self.exact = norm(floored) * max(norm(self.anchors), 1.0) < EXACT
@@ -190,9 +178,9 @@ class Shard:
                 part = slice(start, start + GROUP)
                 yield from self.index.reaching(self.arranged[which[part]], thresholds[part])
         else:
-            self.whole_rows = getattr(self, "whole_rows", None) or [whole(v) for v in self.raw]
+            self.whole_rows = getattr(self, "whole_rows", None) or [whole(v, SCALE) for v in self.raw]
             for k in which:
-                anchor = whole(self.raw_anchors[k])
+                anchor = whole(self.raw_anchors[k], SCALE)
                 yield np.arange(len(self.ids)), np.array([sum(map(int.__mul__, anchor, v)) for v in self.whole_rows], dtype=object)
 
     def highest(self, which: list[int]) -> np.ndarray:

@@ -13,13 +13,13 @@ def brute(rows, every, k):
     """rows: (vec_id, list)."""
     fine = []
     for i, v in rows:
-        if i is None or not v or any(x is None or not math.isfinite(x) for x in v):
+        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
             continue
-        fine.append((i, [math.floor(256 * x) for x in v]))
+        fine.append((i, [math.floor(256 * x) if abs(x) < 2**53 else int(x) * 256 for x in v], v))
     out = set()
-    for q in sorted({i for i, _ in fine if i % every == 0}):
-        query = min(v for i, v in fine if i == q)
-        scored = sorted((-sum(a * b for a, b in zip(query, v)), i) for i, v in fine if i != q)[:k]
+    for q in sorted({i for i, _, _ in fine if i % every == 0}):
+        query = min((raw, v) for i, v, raw in fine if i == q)[1]
+        scored = sorted((-sum(a * b for a, b in zip(query, v)), i) for i, v, _ in fine if i != q)[:k]
         out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)}
     return out
 
@@ -63,13 +63,15 @@ def test_maxscore_is_exact(kind):
 
 def test_defined_cases(spark):
     rows = [(0, [1.0, 0.5], "a"), (0, [0.5, 0.25], "a"), (50, [-1.0], "a"), (1, None, "a"), (2, [], "a"), (3, [None, 1.0], "a"), (4, [float("nan")], "a"),
-            (5, [float("inf")], "a"), (None, [1.0, 1.0], "a"), (7, [1.0, 1.0], "a"), (7, [1.0, 1.0], "a"), (8, [0.25, -3.0, 9.0], "a"), (9, [3e38], "a")]
+            (5, [float("inf")], "a"), (None, [1.0, 1.0], "a"), (7, [1.0, 1.0], "a"), (7, [1.0, 1.0], "a"), (8, [0.25, -3.0, 9.0], "a"), (100, [], "a")]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
     v = search.integer_vectors(frame)
     got = sorted(map(tuple, search.top_k(v, v.filter("vec_id % 50 = 0")).collect()))
-    want = brute([(i, x) for i, x, _ in rows if i != 9], 50, 5)
+    # empty vectors are queries and candidates like any other
+    want = brute([(i, x) for i, x, _ in rows], 50, 5)
+    assert {r[3] for r in want if r[0] == 100} == {0} and any(r[2] == 2 for r in want)
     # the repeated row 7 is two candidates
-    assert set(got) == want and [g[2] for g in got if g[0] == 50].count(7) == 2
+    assert set(got) == want and [g[2] for g in got if g[0] == 0].count(7) == 2
     assert search.top_k(v.limit(0), v.limit(0)).count() == 0
     assert search.top_k(v.filter("vec_id = 50"), v.filter("vec_id = 50")).count() == 0
 
@@ -92,3 +94,24 @@ def test_a_score_beyond_a_long_is_an_error(spark):
     # 2 has no place among the two best
     got = search.top_k(v.filter("vec_id <> 1"), v.filter("vec_id = 0"), 1).collect()
     assert [tuple(r) for r in got] == [(0, 1, 3, 256 * 256 * 10**9)]
+
+
+def test_any_finite_vector_takes_part(spark):
+    rows = [(0, [1.0, 0.5]), (50, [0.0, 0.0, 0.0, 2.0]), (1, [0.0, 0.0, 3e38]), (2, [0.0, 0.0, -1.7e308, 4.0]), (3, [2.0, 1.0]), (4, [-1e300, 1e10])]
+    v = search.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    # what is huge meets a zero, or is so low that it has no place
+    got = search.top_k(v, v.filter("vec_id in (0, 50)"), 4, 2, 1).collect()
+    want = {r for r in brute(rows, 50, 4)}
+    assert {tuple(r) for r in got} == want and {r[2] for r in want} >= {1, 2}
+
+
+def test_one_very_long_vector():
+    rng = np.random.default_rng(6)
+    vectors = [rng.integers(-9, 10, 8) for _ in range(2000)] + [rng.integers(-9, 10, 200_000)]
+    postings = search.Postings(np.arange(2001), vectors)
+    # the lists take room in proportion to the components, not rows times the longest vector
+    assert postings.matrix.nbytes + postings.rows.nbytes + postings.values.nbytes < 8e6
+    for q in (0, 7, 2000):
+        got = postings.best(q, vectors[q], 5)
+        want = sorted((-int(vectors[q][:8] @ v[:8]) if q < 2000 else -int(vectors[q][: len(v)] @ v), i) for i, v in enumerate(vectors) if i != q)[:5]
+        assert [(-s, i) for i, s in zip(*map(np.ndarray.tolist, got))] == want
