@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions import fixed
-from maskwright.functions.text import length_prefix
+from maskwright.functions.text import canonicalize, length_prefix
 
 AAD_DOMAIN = "maskwright/vault"
 SCOPE = ("tenant_id", "conversation_id", "token")
@@ -116,6 +116,17 @@ def vault_get(
     )
 
 
+def vault_collisions(prov: DataFrame, vault: DataFrame, keys: DataFrame, as_of, domain: str = AAD_DOMAIN) -> DataFrame:
+    """Tokens of new provenance that stand for another value in the vault; must be empty.
+
+    Only records of the batch's own tokens are opened; the vault has nothing that tells
+    values apart but the records. Records that can't be opened or have expired clash with nothing.
+    """
+    own = prov.select(*SCOPE, "token_version", "canonical").distinct()
+    looked = vault_get(own, vault, keys, as_of, domain)
+    return looked.where((F.col("status") == "found") & (canonicalize(F.col("value")) != F.col("canonical"))).select(*SCOPE).distinct()
+
+
 def purge_expired(vault: DataFrame, as_of) -> DataFrame:
     """Rows still alive at ``as_of``."""
     return vault.where(F.col("expires_at") > F.lit(as_of).cast("timestamp"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from maskwright.operators.restore import (
     REPLY_KEYS, classify_tokens, output_budget, restore_atomic, restore_counts, restore_text, scan_tokens,
 )
 from maskwright.operators.tokens import mint_tokens, replace_spans, token_collisions, with_tokens
-from maskwright.operators.vault import vault_put
+from maskwright.operators.vault import vault_collisions, vault_put
 from maskwright.session import materialize
 
 
@@ -26,12 +26,14 @@ def pseudonymize(
     msgs: DataFrame, rules: DataFrame, token_keys: DataFrame, vault_keys: DataFrame, as_of, *,
     key_version: int = 1, ttl_seconds: int = 3600, mode: str = "off",
     detectors: Sequence[Detector] = BUILTIN, max_chars: int | None = None, block_mixed: bool = False,
+    earlier: Callable[[DataFrame], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """Request side: ``text``, ``prov``, ``vault``, ``decisions``, ``refused`` and ``audit``.
 
     Detection is written once, without the texts being shuffled; every later step
     works on ids, spans and tokens. Requests refused or blocked have no text; those
-    allowed keep theirs; a transform replaces all spans of the request.
+    allowed keep theirs; a transform replaces all spans of the request. ``earlier`` gives the
+    vault rows of the tokens of a provenance table: a token that stands for another value there is refused as well.
     """
     every = msgs
     if max_chars is not None:
@@ -51,6 +53,8 @@ def pseudonymize(
     prov = materialize(mint_tokens(replaced), "prov")
     if token_collisions(prov).head(1):
         raise ValueError("two values share a token; nothing may be written")
+    if earlier is not None and vault_collisions(prov, earlier(prov), vault_keys, as_of).head(1):
+        raise ValueError("a token stands for another value in the vault; nothing may be written")
     vault = materialize(vault_put(prov, vault_keys, as_of, ttl_seconds, key_version), "vault")
     # one event for every request that came in, however it ended
     ids = every.groupBy("request_id").agg(

@@ -1,23 +1,23 @@
-"""The vault as parquet: batch folders, published by a log of small commit files.
-
-A commit names folders that it adds and folders that it replaces, and the vault is
-what was added and not replaced. Batches that arrive while a sweep or an erasure runs
-are named by commits of their own, so they are neither lost nor rewritten. A rewrite
-is published by creating a numbered file that must not exist, so of two rewrites that
-have read the same vault only one goes through; the other has to be run again.
-Replaced folders are deleted, since erased values are in them; a reader that had
-planned on them fails and has to read again.
+"""The vault as one Parquet table, partitioned by batch and bucket.
+
+A batch is written over its own partitions, so a batch that is repeated replaces itself. Sweeps and
+erasures write the partitions in which rows go over again, by Spark's dynamic partition overwrite, and leave
+all others alone; batches that arrive meanwhile are other partitions. A partition that loses all its rows is
+left with one row without a token, which readers pass over. Erased values are gone from the files once
+the write is committed. Rewrites of one vault must not run side by side, and a rewrite that
+failed is run again: it finds the rows that are still there. A reader that had planned on replaced files fails and has to read again.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.operators.vault import SCOPE, erase_conversations, erase_tokens, latest, purge_expired
+from maskwright.session import materialize
 
 #: Buckets of a new vault: the unit that lookups prune by. Choose it by the volume.
 BUCKETS = 256
@@ -25,174 +25,84 @@ ROWS_SCHEMA = (
     "tenant_id string, conversation_id string, token string, token_version string, key_version int, "
     "record binary, expires_at timestamp"
 )
-VAULT_SCHEMA = ROWS_SCHEMA + ", bucket int"
-
-
-class Conflict(RuntimeError):
-    """Another rewrite of the vault was published first."""
-
-
-class _Log:
-    """The commit files of a vault, by the file system that Spark would use for the path."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.jvm, self.root = spark._jvm, path.rstrip("/")
-        self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _path(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-
-    def read(self, name: str) -> dict:
-        stream = self.fs.open(self._path(name))
-        try:
-            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def create(self, name: str, content: dict) -> None:
-        """Writes a file that must not exist; a reader never sees a part of it."""
-        hidden = self._path(f"commits/.{uuid.uuid4().hex}")
-        stream = self.fs.create(hidden, False)
-        stream.write(bytearray(json.dumps(content).encode()))
-        stream.close()
-        options = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(hidden.toUri(), self.fs.getConf())
-        none = self.jvm.org.apache.hadoop.fs.Options.Rename.NONE
-        renames = self._one(none)
-        try:
-            options.rename(self.fs.makeQualified(hidden), self.fs.makeQualified(self._path(name)), renames)
-        except Exception as error:
-            self.fs.delete(hidden, False)
-            if self.exists(name):
-                raise Conflict(name) from error
-            raise
-
-    def _one(self, option):
-        array = self.jvm.java.lang.reflect.Array.newInstance(option.getDeclaringClass(), 1)
-        array[0] = option
-        return array
-
-    def exists(self, name: str) -> bool:
-        return self.fs.exists(self._path(name))
+PARTS = ("batch_id", "buckets", "bucket")
+VAULT_SCHEMA = ROWS_SCHEMA + ", batch_id string, buckets int, bucket int"
 
-    def commits(self) -> list[str]:
-        folder = self._path("commits")
-        if not self.fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in self.fs.listStatus(folder)]
-        return sorted(n for n in names if n.endswith(".json"))
 
-    def state(self) -> tuple[set[str], set[str], int]:
-        """Live folders, replaced folders, and the number of the next rewrite."""
-        added, replaced, rewrites = set(), set(), 0
-        for name in self.commits():
-            commit = self.read(f"commits/{name}")
-            added |= set(commit["add"])
-            replaced |= set(commit["replace"])
-            rewrites += name.startswith("rewrite-")
-        return added - replaced, replaced, rewrites
+def _bucket(buckets):
+    return F.pmod(F.xxhash64(*SCOPE), buckets).cast("int")
 
-    def delete(self, folders: set[str]) -> None:
-        for folder in folders:
-            if self.exists(folder):
-                self.fs.delete(self._path(folder), True)
 
-    def buckets(self) -> int | None:
-        return self.read("settings.json")["buckets"] if self.exists("settings.json") else None
-
-
-def _buckets(spark: SparkSession, log: _Log, wanted: int) -> int:
-    known = log.buckets()
-    if known is None:
-        log.fs.mkdirs(log._path("commits"))
-        try:
-            log.create("settings.json", {"buckets": wanted})
-        except Conflict:
-            pass
-        known = log.buckets()
-    return known
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    """All partitions, with the rows that only keep a partition."""
+    try:
+        return spark.read.schema(VAULT_SCHEMA).parquet(f"{path.rstrip('/')}/data")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], VAULT_SCHEMA)  # nothing was put yet
 
 
-def _bucket(buckets: int):
-    return F.pmod(F.xxhash64(*SCOPE), F.lit(buckets)).cast("int")
+def _write(rows: DataFrame, path: str) -> None:
+    # rebalanced by Spark: large buckets are split over tasks, small ones put together
+    rows.select(*[f.split()[0] for f in VAULT_SCHEMA.split(", ")]).hint("rebalance", "bucket").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").partitionBy(
+        *PARTS).parquet(f"{path.rstrip('/')}/data")
 
 
-def _write(rows: DataFrame, log: _Log, folder: str, buckets: int) -> None:
-    dealt = rows.select(*[f.split()[0] for f in ROWS_SCHEMA.split(", ")]).withColumn("bucket", _bucket(buckets))
-    dealt.repartition("bucket").write.partitionBy("bucket").parquet(f"{log.root}/{folder}")
+def _buckets_of(rows: DataFrame) -> int | None:
+    found = rows.select("buckets").first()
+    return found[0] if found else None
 
 
 def upsert_vault(vault: DataFrame, path: str, batch_id: str, buckets: int = BUCKETS) -> None:
-    """Adds rows as one batch; a batch that is already there is left as it is.
+    """Adds rows as one batch, or replaces the batch by itself.
 
-    Rows are clustered by bucket, a hash of the conversation and the token, so
-    that one busy conversation is not one file.
+    Rows are clustered by bucket, a hash of the conversation and the token, so that one busy
+    conversation is not one file. The number of buckets is that of the first batch.
     """
-    log = _Log(vault.sparkSession, path)
-    buckets = _buckets(vault.sparkSession, log, buckets)
-    name = f"commits/batch-{batch_id}.json"
-    if log.exists(name):
-        return
-    folder = f"data/{batch_id}-{uuid.uuid4().hex}"
-    _write(vault, log, folder, buckets)
-    try:
-        log.create(name, {"add": [folder], "replace": []})
-    except Conflict:
-        log.delete({folder})
-
-
-def _rows_of(spark: SparkSession, log: _Log, folders: set[str]) -> DataFrame:
-    if not folders:
-        return spark.createDataFrame([], VAULT_SCHEMA)
-    reader = spark.read.schema(VAULT_SCHEMA)
-    frames = [reader.parquet(f"{log.root}/{f}") for f in sorted(folders)]
-    rows = frames[0]
-    for frame in frames[1:]:
-        rows = rows.unionByName(frame)
-    return rows
+    known = _buckets_of(_rows(vault.sparkSession, path)) or buckets
+    _write(vault.withColumns({"batch_id": F.lit(str(batch_id)), "buckets": F.lit(known), "bucket": _bucket(F.lit(known))}), path)
 
 
 def read_vault(spark: SparkSession, path: str, tokens: DataFrame | None = None) -> DataFrame:
-    """The latest row of every token; with ``tokens`` (their scope), only of buckets that hold one of them."""
-    log = _Log(spark, path)
-    rows = _rows_of(spark, log, log.state()[0])
-    if tokens is not None and log.buckets():
+    """The latest row of every token; with ``tokens`` (their scope), only from buckets that hold one of them."""
+    rows = _rows(spark, path)
+    buckets = _buckets_of(rows) if tokens is not None else None
+    if buckets:
         # as many numbers as there are buckets, at most
-        wanted = [r[0] for r in tokens.select(_bucket(log.buckets())).distinct().collect()]
+        wanted = [r[0] for r in tokens.select(_bucket(F.lit(buckets))).distinct().collect()]
         rows = rows.where(F.col("bucket").isin(wanted)) if wanted else rows.limit(0)
-    return latest(rows.drop("bucket"))
+    return latest(rows.where("token is not null").drop(*PARTS))
 
 
-def rewrite_vault(spark: SparkSession, path: str, keep) -> int:
-    """Replaces the vault by ``keep(vault)``; returns how many rows went away.
+def rewrite_vault(spark: SparkSession, path: str, keep: Callable[[DataFrame], DataFrame]) -> int:
+    """Drops the rows that ``keep(rows)`` leaves out; returns how many tokens went away.
 
-    What arrives meanwhile stays. Nothing changes before the commit, so a failed
-    rewrite leaves a folder that no commit names, and the next one goes through.
+    ``keep`` only leaves rows out. What is kept is written to the scratch folder first, so nothing changes
+    where that fails, and what arrives meanwhile stays.
     """
-    log = _Log(spark, path)
-    live, replaced, number = log.state()
-    log.delete(replaced)  # what an earlier rewrite had no time to delete
-    if not live:
+    rows = _rows(spark, path).where("token is not null")
+    before = materialize(rows.groupBy(*PARTS).agg(F.count(F.lit(1)).alias("n")), "vault-before")
+    tokens_before = latest(rows.drop(*PARTS)).count()
+    kept = materialize(keep(rows).select(*rows.columns), "vault-kept")
+    after = kept.groupBy(*PARTS).agg(F.count(F.lit(1)).alias("m"))
+    changed = materialize(before.join(after, list(PARTS), "left").where("n <> coalesce(m, 0)").select(*PARTS), "vault-changed")
+    if not changed.head(1):
         return 0
-    before = latest(_rows_of(spark, log, live).drop("bucket"))
-    folder = f"data/rewrite-{uuid.uuid4().hex}"
-    _write(keep(before), log, folder, log.buckets())
-    gone = before.count() - spark.read.schema(VAULT_SCHEMA).parquet(f"{log.root}/{folder}").count()
-    try:
-        log.create(f"commits/rewrite-{number:08d}.json", {"add": [folder], "replace": sorted(live)})
-    except Conflict:
-        log.delete({folder})
-        raise
-    log.delete(live)
-    return gone
+    names = [f.split()[0] for f in ROWS_SCHEMA.split(", ")]
+    holders = changed.select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in names], *PARTS)
+    _write(kept.join(changed, list(PARTS), "left_semi").unionByName(holders), path)
+    return tokens_before - latest(kept.drop(*PARTS)).count()
 
 
 def sweep(spark: SparkSession, path: str, as_of) -> int:
-    """Periodic job: drops expired rows, returns their number."""
+    """Periodic job: drops expired rows, returns the number of tokens that went away."""
     return rewrite_vault(spark, path, lambda v: purge_expired(v, as_of))
 
 
 def erase(spark: SparkSession, path: str, conversations: DataFrame | None = None, tokens: DataFrame | None = None) -> int:
-    """Erases conversations or single tokens, returns the number of rows removed."""
+    """Erases conversations or single tokens, returns the number of tokens removed."""
 
     def keep(vault: DataFrame) -> DataFrame:
         if conversations is not None:

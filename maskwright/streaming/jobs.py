@@ -43,11 +43,14 @@ def pseudonymize_stream(
     """Request side over a stream of whole requests (all messages of a request in
     one micro-batch, as the request record gives them).
 
-    Writes ``text``, ``prov``, ``vault`` and ``audit`` below ``out``, each by batch.
+    Writes ``text``, ``prov``, ``vault`` and ``audit`` below ``out``, each by batch. A batch with a token that
+    stands for another value in the vault stops the stream before anything is written.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        result = pseudonymize(batch, rules, token_keys, vault_keys, clock(), **options)
+        # what an earlier run of this batch put is its own, and equal
+        result = pseudonymize(
+            batch, rules, token_keys, vault_keys, clock(), earlier=lambda prov: read_vault(batch.sparkSession, f"{out}/vault", prov), **options)
         for name in ("prov", "audit", "refused"):
             _write(result[name], f"{out}/{name}", batch_id)
         upsert_vault(result["vault"], f"{out}/vault", str(batch_id))

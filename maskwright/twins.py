@@ -468,6 +468,31 @@ def all_twins() -> dict[str, str]:
         "tokens_erased": f"""{MINTED}, d as (select distinct conv_id, token, entity_type from minted)
             select {TENANT} as tenant_id, {CONV} as conversation_id, count(*) as n from d where entity_type <> 'EMAIL_ADDRESS' group by conv_id""",
         "token_clashes": f"""{MINTED} select distinct {TENANT} as tenant_id, {CONV} as conversation_id, token from minted where conv_id % 3 = 0""",
+        "token_clashes_between_batches": f"""{MINTED} select distinct {TENANT} as tenant_id, {CONV} as conversation_id, token from minted where conv_id % 3 = 0""",
+        "pseudonymized_stream": f"{OUTPUT} select request_id, idx, role, text from output",
+        "rules_loaded": """
+            with s as (select source, row_number() over (order by source) - 1 as k from (select distinct source from documents where source is not null)),
+            d as (select doc_id, k, source from documents left join s using (source))
+            select case when k % 3 <> 0 and doc_id % 10 >= 5 then source else 'rest' end as rule_name,
+                case when k % 3 <> 0 and doc_id % 10 >= 5 then case k % 2 when 0 then 'block' else 'transform' end else 'allow' end as action,
+                'of-sources' as policy_version, count(*) as n from d group by all""",
+        "implicitly_denied": f"""select case lang when 'en' then 'english' when 'de' then 'german' else {q(fixed.IMPLICIT_DENY)} end as rule_name,
+            case lang when 'en' then 'allow' when 'de' then 'transform' else 'block' end as action, count(*) as n from documents group by all""",
+        "filters_loaded": f"""
+            with f as (select * from ({words("select lower(regexp_extract(text, '^[A-Za-z]+')) from benchmark where regexp_extract(text, '^[A-Za-z]+') <> ''")})),
+            g as (select unnest(regexp_extract_all(text, '[0-9]{{7}}')) as m from documents)
+            select 'OPENING' as entity_type, count(*) as n, cast(sum(length(text)) as bigint) as chars, 'transform' as action from f having count(*) > 0
+            union all select 'SEVEN_DIGITS', count(*), 7 * count(*), 'block' from g having count(*) > 0""",
+        "corpus_read": """select case conv_id % 2 when 0 then 'dev' else 'holdout' end as split, '1.' || (conv_id % 2) || '.0' as version, role as lang,
+            count(*) as n, cast(sum(length(text)) as bigint) as chars from conversations group by all""",
+        "keys_read": """select case when user_id % 4 <> 1 then 't' || (user_id % 3) end as tenant_id, case when user_id % 4 = 1 then 'invalid_api_key' end as reason,
+            case when user_id % 4 <> 1 then case user_id % 2 when 0 then 1 else 0 end end as n_models, count(*) as n from events group by all""",
+        "withheld_calls": f"""
+            with t as (select conv_id, turn % 2 as block, sum(length(text)) as chars, max(turn) as last, bool_or(not (conv_id % 5 = 4 and turn = 0) and turn >= m - 1) as closed
+                from (select *, max(turn) over (partition by conv_id) as m from conversations) group by all),
+            w as (select conv_id, bool_and(closed) as whole from t group by conv_id)
+            select 'c' || conv_id as request_id, 'b' || block as block, cast(chars as int) as chars from t join w using (conv_id)
+            where whole and conv_id % 5 <> 3 and conv_id % 7 <> 0""",
         "audit_written": f"""{decided('off')} select action as decision, rule_name, case when action = 'block' then 'external' else destination end as destination, count(*) as n
             from final group by all""",
         "reasons": """
