@@ -43,13 +43,12 @@ def pseudonymize(
     if max_chars is not None:
         refused = refused.unionByName(too_long.select("request_id", "reason"))
     decisions = materialize(decide(inspected, rules, mode), "decisions")
-    wanted = decisions.where("action in ('transform', 'route_local')").join(refused, "request_id", "left_anti")
-    passed = decisions.where("action = 'allow'").join(refused, "request_id", "left_anti")
-    replaced = materialize(
-        with_tokens(inspected.join(wanted.select("request_id"), "request_id", "left_semi"), token_keys), "tokens")
+    acted = decisions.where("action in ('allow', 'transform', 'route_local')").join(refused, "request_id", "left_anti").select("request_id", "action")
+    # one join of the texts with their decisions; what is allowed has nothing to replace
+    treated = inspected.join(acted, "request_id").withColumn("spans", F.when(F.col("action") != "allow", F.col("spans"))).drop("action")
+    replaced = materialize(with_tokens(treated, token_keys), "tokens")
     columns = ["request_id", "tenant_id", "conversation_id", "idx", "role", "text"]
-    text = replace_spans(replaced).select(*columns).unionByName(
-        inspected.join(passed.select("request_id"), "request_id", "left_semi").select(*columns))
+    text = replace_spans(replaced).select(*columns)
     prov = materialize(mint_tokens(replaced), "prov")
     if token_collisions(prov).head(1):
         raise ValueError("two values share a token; nothing may be written")

@@ -113,9 +113,22 @@ def read_reply_chunks(spark: SparkSession, path: str, fmt: str = "json", max_fil
     )
 
 
-def write_report(scores: DataFrame, path: str) -> None:
-    """Evaluation scores as JSON."""
-    scores.write.mode("overwrite").json(path)
+REPORT_PARTS = ("scores", "failures", "gate", "thresholds")
+
+
+def write_report(parts: dict[str, DataFrame], path: str) -> None:
+    """An evaluation report as JSON lines, a folder a part: scores, failures, failed thresholds, and the thresholds held against."""
+    unknown = set(parts) - set(REPORT_PARTS)
+    if unknown:
+        raise ValueError(f"a report has no {sorted(unknown)}")
+    for name, rows in parts.items():
+        rows.write.mode("overwrite").json(f"{path.rstrip('/')}/{name}")
+
+
+def read_report(spark: SparkSession, path: str, part: str, schema: str | None = None) -> DataFrame:
+    """One part of a written report; ``schema`` is needed for a part without rows."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.json(f"{path.rstrip('/')}/{part}")
 
 
 def model_manifest_check(spark: SparkSession, path: str, manifest: str = "model-manifest.json") -> DataFrame:

@@ -384,6 +384,12 @@ def all_twins() -> dict[str, str]:
                 case when key like 'PHONE_NUMBER/%' or key like 'IP_ADDRESS/%' then 0.9 else 0.99 end as min_recall from s where bucket = 'entity_language')
             select key, tp, fp, fn, cast(min_precision as double) as min_precision, cast(min_recall as double) as min_recall from g
             where precision < min_precision or recall < min_recall""",
+        "eval_report": f"""{scored()}, g as (select *, case when key like 'PHONE_NUMBER/%' then 0.95 when key like 'IP_ADDRESS/%' then 0.85 else 0.99 end as min_precision,
+                case when key like 'PHONE_NUMBER/%' or key like 'IP_ADDRESS/%' then 0.9 else 0.99 end as min_recall from s where bucket = 'entity_language')
+            select 'scores' as part, cast(sum(fp + fn) as bigint) as n from s where bucket = 'entity'
+            union all select 'failures', count(*) from outcomes where outcome <> 'tp'
+            union all select 'gate', count(*) from g where precision < min_precision or recall < min_recall
+            union all select 'thresholds', {len(fixed.THRESHOLDS)}""",
         "failures": f"""{scored()} select id as example_id, kind, lang, case when outcome = 'fn' then 'missed' else 'spurious' end as reason, entity_type,
             start, "end" from outcomes where outcome <> 'tp' """,
         "baseline_regressions": f"""{scored()}, e as (select * from s where bucket = 'entity'), w as (select unnest([{', '.join(q(t) for t in sorted(fixed.THRESHOLDS))}]) as entity_type)
