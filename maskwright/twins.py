@@ -295,6 +295,11 @@ def all_twins() -> dict[str, str]:
         "spelling_conflicts": f"""
             with s as (select request_id, entity_type, case when idx % 2 = 1 then upper(text) else text end as text from ({PER_CONV}))
             select request_id, entity_type, {CANON} as canonical, count(*) as n from s group by all having min(text) <> max(text)""",
+        "screening_planted": f"""select 'c' || conv_id as request_id, cast(turn as int) as idx,
+            case when conv_id % 3 = 1 then '{fixed.INVISIBLE}' else 'none' end as blocking, cast(case when conv_id % 3 = 0 then 2 else 0 end as bigint) as script from conversations""",
+        "spelling_conflicts_planted": f"""
+            with s as (select request_id, entity_type, text from ({PER_CONV}) union all select request_id, entity_type, upper(text) from ({PER_CONV}))
+            select request_id, entity_type, {CANON} as canonical, count(*) as n from s group by all having min(text) <> max(text)""",
         "session_scopes": f"""select conv_id, turn, case when turn in (3, 4) then null when role = 'assistant'
             then 'agent_' || sha256({nested}) else 'agent_' || sha256({base}) end as session_scope,
             case turn when 3 then 'conflicting_session' when 4 then 'invalid_identifier' end as scope_error,
