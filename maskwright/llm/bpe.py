@@ -228,8 +228,8 @@ class Remembered(dict):
         return value
 
 
-def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), name: str = "ids") -> DataFrame:
-    """The columns ``keep`` and ids array<int>, or another ``name``, of every whole ``text``."""
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and ids array<int> of every whole ``text``."""
     source = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
     kept = docs.select(*keep).schema
 
@@ -241,9 +241,9 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), name
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 ids.append([i for c in codec.chunks(text or "") for i in known[c]])
             columns = [batch.column(k) for k in range(batch.num_columns - 1)] + [pa.array(ids, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], name])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "ids"])
 
-    schema = kept.add(name, T.ArrayType(T.IntegerType()))
+    schema = kept.add("ids", T.ArrayType(T.IntegerType()))
     return docs.select(*keep, F.col("text").alias(free_names(docs, "_text")[0])).mapInArrow(run, schema)
 
 
@@ -307,9 +307,9 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' columns but the text, with the token ids in its place, as ``ids`` and ``n_tokens``.
 
-    Where a column has one of these names already it stays, and the new one has an underscore after its name.
-    A null or empty text has no ids; repeated rows and rows without an id give a row each; an empty table stays empty.
+    Columns of the documents that have one of these two names are replaced by the stage's, so that its result
+    always has them; all others, whatever their names, stay. A null or empty text has no ids; repeated rows and rows without an id give
+    a row each; an empty table stays empty.
     """
-    rest = tuple(c for c in docs.columns if c.lower() != "text")
-    ids, n_tokens = free_names(docs, "ids", "n_tokens")
-    return encode(docs, default_path(), rest, ids).withColumn(n_tokens, F.size(ids).cast("long"))
+    rest = tuple(c for c in docs.columns if c.lower() not in ("text", "ids", "n_tokens"))
+    return encode(docs, default_path(), rest).withColumn("n_tokens", F.size("ids").cast("long"))

@@ -92,11 +92,11 @@ def test_nulls_repeats_and_clashing_columns(spark):
             # no column is overwritten by a helper of the stage
             assert r == by_values[r.doc_id, r.text], name
     encoded = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert encoded.columns == [c for c in docs.columns if c != "text"] + ["ids_", "n_tokens_"]
+    assert encoded.columns == [c for c in docs.columns if c not in ("text", "ids", "n_tokens")] + ["ids", "n_tokens"]
     assert encoded.count() == len(rows)
     first = encoded.filter(encoded.doc_id == good[1].doc_id).first()
-    assert (first.ids, first.n_tokens, first["_text"], first["_key"]) == ("x", 7, "t", "k") and first["n_tokens_"] == len(first["ids_"]) > 0
-    assert {r.n_tokens_ for r in encoded.filter("doc_id > 900000").collect()} == {0}
+    assert (first["_text"], first["_key"]) == ("t", "k") and first.n_tokens == len(first.ids) > 0
+    assert {r.n_tokens for r in encoded.filter("doc_id > 900000").collect()} == {0}
     once = corpus_pipeline.STAGES[2][1](spark, docs, SF)
     # the first id has two unlike texts, and the second of them is a near copy of a row with a larger id
     assert sorted(r.doc_id for r in once.collect()) == [good[0].doc_id, good[0].doc_id, good[1].doc_id, 900_001]
