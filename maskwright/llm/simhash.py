@@ -58,11 +58,9 @@ def shingle_hashes(text: bytes, words: int = WORDS, seed: int = SEED) -> list[in
     return [digest(line[a : b - 1], seed) for a, b in zip([0, *ends], ends[words - 1 :])]
 
 
-def fingerprint(text: bytes | None, words: int = WORDS, seed: int = SEED, once: bool = False) -> int:
-    """Bit by bit the strict majority of the shingle hashes; with ``once`` a repeated shingle counts once."""
+def fingerprint(text: bytes | None, words: int = WORDS, seed: int = SEED) -> int:
+    """Bit by bit the strict majority of the shingle hashes."""
     hashes = shingle_hashes(text or b"", words, seed)
-    if once:
-        hashes = list(set(hashes))
     if not hashes:
         return 0
     bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -70,6 +68,25 @@ def fingerprint(text: bytes | None, words: int = WORDS, seed: int = SEED, once:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def stage_prints(text: bytes | None) -> tuple[int, int]:
+    """Fingerprints of the different words and of the different pairs of words of a text, in little memory for a very long one."""
+    found = (text or b"").translate(LOWER).split()
+    out = []
+    for words in (STAGE_WORDS, CHECK_WORDS):
+        if words == 1:
+            hashes = (xxhash.xxh64_intdigest(w, SEED) for w in set(found))
+        else:
+            last = max(len(found) - words + 1, min(len(found), 1))
+            hashes = (xxhash.xxh64_intdigest(b" ".join(found[i : i + words]), SEED) for i in range(last))
+        different = np.unique(np.fromiter(hashes, np.uint64))
+        ones = np.zeros(64, np.int64)
+        for start in range(0, len(different), 8192):
+            part = different[start : start + 8192].astype("<u8").view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(different), bitorder="little").view("<u8")[0]) if len(different) else 0)
+    return out[0], out[1]
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
     """doc_id and fingerprint (as a signed long) of every row, without a shuffle."""
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -267,9 +284,8 @@ def row_groups(docs: DataFrame, keys: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(3).to_pylist()
-            prints = [np.array([fingerprint(t, w, SEED, True) for t in texts], dtype=np.uint64).view(np.int64) for w in (STAGE_WORDS, CHECK_WORDS)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, prints)], schema=schema)
+            prints = np.array([stage_prints(t.as_py()) for t in batch.column(3)], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy())], schema=schema)
 
     rows = docs.select(*keys, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary"))
     prints = materialize(rows.mapInArrow(run, f"`{keys[0]}` long, `{keys[1]}` long, doc_id long, fp long, check long"), "prints")
