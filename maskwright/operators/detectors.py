@@ -161,11 +161,12 @@ SECRET_DETECTORS = {
 
 
 # --- national personal codes ------------------------------------------------
-def _code_matches(text: str, _: dict[str, str]) -> dict[str, str]:
-    return {
+def _code_matches(text: str, _: dict[str, str], forms: Sequence[str] = ("hyphenated", "plain")) -> dict[str, str]:
+    found = {
         "hyphenated": _gated(f"{_has_digit(text)} and contains({text}, '-')", find_all(text, fixed.LV_HYPHENATED)),
         "plain": _gated(_has_digit(text), find_all(text, fixed.ELEVEN_DIGITS)),
     }
+    return {form: found[form] for form in forms}
 
 
 def country_marks(text: str) -> str:
@@ -196,13 +197,15 @@ def _code_context(text: str, cols: dict[str, str]) -> dict[str, str]:
     return {"marks": f"case when size({cols['plain']}) > 0 then {country_marks(text)} end"}
 
 
-def _code_spans(text: str, cols: dict[str, str]) -> dict[str, str]:
+def _hyphenated_spans(text: str, cols: dict[str, str]) -> str:
     bare = let("digits", f"translate({checks.ascii_digits('m.text')}, '-', '')", checks.lv_ok("digits"))
-    hyphenated = _spans(
+    return _spans(
         f"filter({locate(text, fixed.LV_HYPHENATED, cols['hyphenated'])}, "
         f"m -> startswith(m.text, '32') or {bare})",
         "'LV_PERSONAL_CODE'", f"if(startswith(m.text, '32'), {fixed.MEDIUM}, {fixed.CERTAIN})", "'lv_personal_code'")
 
+
+def _plain_spans(text: str, cols: dict[str, str]) -> str:
     judged = let("digits", checks.ascii_digits("m.text"), (
         "named_struct('start', m.start, 'end', m.end, 'text', m.text, "
         f"'lv', {checks.lv_ok('digits')}, 'lt_ee', {checks.lt_ee_ok('digits')})"))
@@ -219,13 +222,17 @@ def _code_spans(text: str, cols: dict[str, str]) -> dict[str, str]:
         f"filter(transform({valid}, m -> named_struct('start', m.start, 'end', m.end, 'text', m.text, "
         f"'label', {label})), m -> m.label is not null)"
     )
-    plain = _spans(labelled, "m.label", fixed.CERTAIN,
-                   "if(m.label = 'LV_PERSONAL_CODE', 'lv_personal_code_plain', 'baltic_personal_code')")
+    return _spans(labelled, "m.label", fixed.CERTAIN,
+                  "if(m.label = 'LV_PERSONAL_CODE', 'lv_personal_code_plain', 'baltic_personal_code')")
+
+
+def _code_spans(text: str, cols: dict[str, str]) -> dict[str, str]:
+    """Spans of the forms that were looked for."""
+    built = {form: build(text, cols) for form, build in (("hyphenated", _hyphenated_spans), ("plain", _plain_spans)) if form in cols}
     empty = f"cast(array() as {SPANS_TYPE})"
-    return {"spans": (
-        f"case when size({cols['hyphenated']}) > 0 or size({cols['plain']}) > 0 then concat("
-        f"coalesce({_found(cols['hyphenated'], hyphenated)}, {empty}), "
-        f"coalesce({_found(cols['plain'], plain)}, {empty})) end")}
+    some = " or ".join(f"size({cols[form]}) > 0" for form in built)
+    parts = ", ".join(f"coalesce({_found(cols[form], spans)}, {empty})" for form, spans in built.items())
+    return {"spans": f"case when {some} then concat({parts}) end"}
 
 
 PERSONAL_CODES = Detector(
@@ -233,6 +240,9 @@ PERSONAL_CODES = Detector(
     ("LV_PERSONAL_CODE", "LT_PERSONAL_CODE", "EE_PERSONAL_CODE", "BALTIC_PERSONAL_CODE"),
     (_code_matches, _code_context, _code_spans),
 )
+LV_HYPHENATED = Detector("lv_personal_code", ("LV_PERSONAL_CODE",), (partial(_code_matches, forms=("hyphenated",)), _code_spans))
+PLAIN_CODES = Detector(
+    "plain_personal_codes", PERSONAL_CODES.entity_types, (partial(_code_matches, forms=("plain",)), _code_context, _code_spans))
 
 
 # --- telephone numbers ------------------------------------------------------
@@ -399,17 +409,17 @@ def detect_personal_codes(msgs: DataFrame) -> DataFrame:
 
 def detect_lv_code(msgs: DataFrame) -> DataFrame:
     """Latvian codes written with the hyphen."""
-    return detect_personal_codes(msgs).where("detector = 'lv_personal_code'")
+    return detect_with(msgs, [LV_HYPHENATED])
 
 
 def detect_lv_code_plain(msgs: DataFrame) -> DataFrame:
     """Latvian codes written without the hyphen."""
-    return detect_personal_codes(msgs).where("detector = 'lv_personal_code_plain'")
+    return detect_with(msgs, [PLAIN_CODES]).where("detector = 'lv_personal_code_plain'")
 
 
 def detect_lt_ee_code(msgs: DataFrame) -> DataFrame:
     """Lithuanian and Estonian codes not claimed as Latvian."""
-    return detect_personal_codes(msgs).where("detector = 'baltic_personal_code'")
+    return detect_with(msgs, [PLAIN_CODES]).where("detector = 'baltic_personal_code'")
 
 
 def detect_phone(msgs: DataFrame) -> DataFrame:
@@ -427,11 +437,23 @@ def detect_phone_national(msgs: DataFrame) -> DataFrame:
     return detect_phone(msgs).where(F.col("score") == fixed.HIGH)
 
 
+def span_countries(df: DataFrame, spans: str = "found", text: str = "text") -> DataFrame:
+    """Adds ``country`` (LT, EE or NULL) to every span of an array that lies beside its text.
+
+    Offsets are those of ``text``. Nothing is shuffled: marks are computed once per text with a span, and the
+    windows where the text lies.
+    """
+    fields = ", ".join(f"'{f}', s.`{f}`" for f in df.schema[spans].dataType.elementType.names)
+    country = let("near", name_window(text, "s.start"), infer_country_sql("near", "__marks"))
+    marked = df.selectExpr("*", f"case when size({spans}) > 0 then {country_marks(text)} end as __marks")
+    return marked.withColumn(spans, F.expr(f"transform({spans}, s -> named_struct({fields}, 'country', {country}))")).drop("__marks")
+
+
 def infer_country(spans: DataFrame, docs: DataFrame, key: str = "request_id") -> DataFrame:
-    """Adds ``country`` (LT, EE or NULL) to spans, from the text of their documents.
+    """Adds ``country`` (LT, EE or NULL) to a table of spans, from the text of their documents.
 
-    Document marks are computed once per document; a text travels to its spans
-    only as marks and as the short windows before them.
+    Only for spans that were recorded apart from their texts, which have to meet them again; spans that are
+    found in the same run get theirs from ``span_countries``. What leaves the join is a country for each start.
     """
     keys = [key, *(c for c in ("idx",) if c in spans.columns and c in docs.columns)]
     starts = spans.groupBy(*keys).agg(F.collect_set("start").alias("__starts"))

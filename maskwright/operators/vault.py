@@ -10,6 +10,8 @@ from maskwright.functions.text import canonicalize, length_prefix
 
 AAD_DOMAIN = "maskwright/vault"
 SCOPE = ("tenant_id", "conversation_id", "token")
+#: Bits of the filter by which a lookup reads the vault; its table has at most a 64th of that many rows.
+FILTER_BITS = 1 << 24
 
 
 def vault_key_table(spark: SparkSession, keys: dict[int, bytes]) -> DataFrame:
@@ -74,6 +76,22 @@ def key_ring_join(vault: DataFrame, keys: DataFrame) -> DataFrame:
     return headed.join(ring, "record_key_version", "left")
 
 
+def wanted_rows(vault: DataFrame, tokens: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``vault`` that ``tokens`` may ask for, by scope; none of theirs is left out.
+
+    A bitmap of the hashes of the wanted scopes, 64 of its bits a row, so at most ``bits`` / 64 rows however
+    many tokens there are. That bound allows it to be broadcast, and the vault is filtered where it is read, before
+    any exchange. Rows whose hash meets another's pass as well, and the lookup's join drops them.
+    """
+    if bits % 64 or bits <= 0:
+        raise ValueError("the filter has whole words of 64 bits")
+    at = f"pmod(xxhash64({', '.join(SCOPE)}), {bits}L)"
+    word, bit = F.expr(f"{at} div 64").alias("__word"), F.expr(f"shiftleft(1L, cast({at} % 64 as int))")
+    bitmap = tokens.select(word, bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    marked = vault.select("*", word).join(F.broadcast(bitmap), "__word")
+    return marked.where(F.col("__bits").bitwiseAND(bit) != 0).select(*vault.columns)
+
+
 def vault_get(
     tokens: DataFrame, vault: DataFrame, keys: DataFrame, as_of, domain: str = AAD_DOMAIN
 ) -> DataFrame:
@@ -83,11 +101,15 @@ def vault_get(
     unauthentic or cross_tenant. Joined on the whole scope with the token, so a
     busy tenant or conversation does not end up in one task.
     """
+    stored = vault.select(*SCOPE, "record", F.col("expires_at").alias("stored_expiry"))
+    return open_records(tokens.join(stored, list(SCOPE), "left"), keys, as_of, domain)
+
+
+def open_records(found: DataFrame, keys: DataFrame, as_of, domain: str = AAD_DOMAIN) -> DataFrame:
+    """``value`` and ``status`` of token rows that have ``record`` and ``stored_expiry`` beside them, NULL where
+    there is no row in the vault. Statuses as ``vault_get`` gives them; no shuffle."""
     now = F.lit(as_of).cast("timestamp")
-    stored = key_ring_join(vault, keys).select(
-        *SCOPE, "record", "record_format", "record_key_version", "key",
-        F.col("expires_at").alias("stored_expiry"))
-    joined = tokens.join(stored, list(SCOPE), "left")
+    joined = key_ring_join(found, keys)
     short = F.octet_length("record") < fixed.RECORD_HEADER_BYTES + fixed.RECORD_NONCE_BYTES
     usable = (
         F.col("key").isNotNull() & ~short & (F.col("record_format") == fixed.RECORD_FORMAT)

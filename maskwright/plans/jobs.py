@@ -15,11 +15,12 @@ from maskwright.operators.detectors import BUILTIN, Detector
 from maskwright.operators.inspect import inspect, quarantine
 from maskwright.operators.policy import base_vs_effective, decide, request_facts
 from maskwright.operators.restore import (
-    REPLY_KEYS, classify_tokens, output_budget, restore_atomic, restore_counts, restore_text, scan_tokens,
+    REPLY_KEYS, classify_tokens, minted_here, output_budget, restore_atomic, restore_counts, restore_text, scan_tokens,
 )
 from maskwright.operators.tokens import mint_tokens, replace_spans, token_collisions, with_tokens
-from maskwright.operators.vault import vault_collisions, vault_put
+from maskwright.operators.vault import SCOPE, vault_collisions, vault_put
 from maskwright.session import materialize
+from maskwright.sources.vault_store import read_vault
 
 
 def pseudonymize(
@@ -67,18 +68,32 @@ def pseudonymize(
             "audit": audit, "inspected": inspected, "tokens": replaced}
 
 
+def _asked(found: DataFrame, prov: DataFrame, vault: DataFrame | str) -> DataFrame:
+    """The vault rows that the tokens of replies may need: a table as it is, a stored vault by their scopes."""
+    if isinstance(vault, DataFrame):
+        return vault
+    own = minted_here(found.select("request_id", "token").distinct(), prov).where("minted")
+    return read_vault(found.sparkSession, vault, materialize(own.select(*SCOPE).distinct(), "asked"))
+
+
 def restore(
-    replies: DataFrame, prov: DataFrame, vault: DataFrame, vault_keys: DataFrame, as_of,
+    replies: DataFrame, prov: DataFrame, vault: DataFrame | str, vault_keys: DataFrame, as_of,
     cap: int = fixed.MAX_RESTORED_BYTES, keys: Sequence[str] = REPLY_KEYS,
 ) -> dict[str, DataFrame]:
-    """Reply side: restored ``text``, token ``outcomes``, ``counts`` per request, ``refused``."""
-    outcomes = materialize(classify_tokens(scan_tokens(replies, keys), prov, vault, vault_keys, as_of), "outcomes")
+    """Reply side: restored ``text``, token ``outcomes``, ``counts`` per request, ``refused``.
+
+    ``vault`` is a table or the path of a stored one, of which only the tokens of the replies are looked up.
+    """
+    found = scan_tokens(replies, keys)
+    if isinstance(vault, str):
+        found = materialize(found, "found")
+    outcomes = materialize(classify_tokens(found, prov, _asked(found, prov, vault), vault_keys, as_of), "outcomes")
     kept, refused = output_budget(restore_text(replies, outcomes, keys), cap)
     return {"text": kept, "outcomes": outcomes, "counts": restore_counts(outcomes), "refused": refused}
 
 
 def restore_arguments(
-    calls: DataFrame, prov: DataFrame, vault: DataFrame, vault_keys: DataFrame, as_of, keys: Sequence[str] = REPLY_KEYS,
+    calls: DataFrame, prov: DataFrame, vault: DataFrame | str, vault_keys: DataFrame, as_of, keys: Sequence[str] = REPLY_KEYS,
 ) -> dict[str, DataFrame]:
     """Tool calls whose ``text`` is JSON: strings restored inside it, or the whole call refused.
 
@@ -91,7 +106,7 @@ def restore_arguments(
     # the wrapper's own key is no part of the call
     leaves = leaves.where("json_path is not null or reason is not null")
     found = scan_tokens(leaves, ("request_id", "record_id", "leaf"))
-    outcomes = materialize(classify_tokens(found, prov, vault, vault_keys, as_of), "outcomes")
+    outcomes = materialize(classify_tokens(found, prov, _asked(found, prov, vault), vault_keys, as_of), "outcomes")
     done, refused = restore_atomic(leaves, outcomes)
     refused = materialize(refused, "refused")
     kept = wrapped.join(refused.select("record_id"), "record_id", "left_anti")

@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.operators.vault import SCOPE, erase_conversations, erase_tokens, latest, purge_expired
+from maskwright.operators.vault import SCOPE, erase_conversations, erase_tokens, latest, purge_expired, wanted_rows
 from maskwright.session import materialize
 
 #: Buckets of a new vault: the unit that lookups prune by. Choose it by the volume.
@@ -66,13 +66,17 @@ def upsert_vault(vault: DataFrame, path: str, batch_id: str, buckets: int = BUCK
 
 
 def read_vault(spark: SparkSession, path: str, tokens: DataFrame | None = None) -> DataFrame:
-    """The latest row of every token; with ``tokens`` (their scope), only from buckets that hold one of them."""
+    """The latest row of every token; with ``tokens`` (their scope), only of rows that these may ask for.
+
+    Buckets that hold none of them aren't read, and what is read of the others passes a filter of the wanted
+    scopes before it is exchanged. ``tokens`` is read twice here, so it should be a written table.
+    """
     rows = _rows(spark, path)
     buckets = _buckets_of(rows) if tokens is not None else None
     if buckets:
         # as many numbers as there are buckets, at most
         wanted = [r[0] for r in tokens.select(_bucket(F.lit(buckets))).distinct().collect()]
-        rows = rows.where(F.col("bucket").isin(wanted)) if wanted else rows.limit(0)
+        rows = wanted_rows(rows.where(F.col("bucket").isin(wanted)), tokens) if wanted else rows.limit(0)
     return latest(rows.where("token is not null").drop(*PARTS))
 
 

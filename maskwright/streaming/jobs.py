@@ -6,15 +6,17 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from maskwright.functions import fixed
+from maskwright.operators.vault import open_records
 from maskwright.plans.jobs import pseudonymize, restore, restore_arguments
 from maskwright.session import materialize
 from maskwright.sources.vault_store import read_vault, sweep, upsert_vault
 from maskwright.streaming.chunks import align_stream
+from maskwright.streaming.mappings import answered
 
 Clock = Callable[[], datetime]
 
@@ -59,11 +61,9 @@ def pseudonymize_stream(
     return _start(msgs, handle, checkpoint, trigger or {"availableNow": True})
 
 
-def _table(source: DataFrame | str, spark, tokens: DataFrame | None = None) -> DataFrame:
+def _table(source: DataFrame | str, spark: SparkSession) -> DataFrame:
     """A frame as it is, or what lies at a path now."""
-    if isinstance(source, DataFrame):
-        return source
-    return spark.read.parquet(source) if tokens is None else read_vault(spark, source, tokens)
+    return source if isinstance(source, DataFrame) else spark.read.parquet(source)
 
 
 def restore_stream(
@@ -78,8 +78,12 @@ def restore_stream(
     buckets that the batch needs), or frames that do not change. A mapping expires
     when its row says so, however often it is read. Arguments of tool calls are
     restored whole or the call is refused, and the output budget of a request runs
-    over all its batches, in the order of the parts.
+    over all its batches, in the order of the parts. What requests have spent is carried from batch to
+    batch; by processing time a request is forgotten once its deadline is long past.
     """
+    trigger = trigger or {"availableNow": True}
+    limits.setdefault("deadlines", None if "availableNow" in trigger else "processing")
+    forget_s = 2 * limits.get("total_s", fixed.TOTAL_SECONDS) if limits["deadlines"] == "processing" else None
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -87,33 +91,57 @@ def restore_stream(
         columns = ["request_id", "block", "part", "kind", "text"]
         keys = ("request_id", "block", "part")
         told = rows.where("refusal is null").select(*columns)
-        known = _table(prov, spark)
-        stored = _table(vault, spark, known.join(told.select("request_id").distinct(), "request_id", "left_semi")) if isinstance(vault, str) else vault
-        result = restore(told.where("kind <> 'tool'"), known, stored, vault_keys, clock(), 1 << 62, keys)
-        tools = restore_arguments(told.where("kind = 'tool'"), known, stored, vault_keys, clock(), keys)
+        known, now = _table(prov, spark), clock()
+        result = restore(told.where("kind <> 'tool'"), known, vault, vault_keys, now, 1 << 62, keys)
+        tools = restore_arguments(told.where("kind = 'tool'"), known, vault, vault_keys, now, keys)
         done = result["text"].select(*columns, F.lit(None).cast("string").alias("refusal")).unionByName(tools["text"].select(*columns, "refusal"))
-        done = materialize(within_budget(done, f"{out}/spent", batch_id, cap), "budget")
-        _write(done.groupBy("request_id").agg(F.sum("bytes").alias("bytes")), f"{out}/spent", batch_id)
+        before = read_spent(spark, f"{out}/spent", batch_id)
+        done = materialize(within_budget(done, before, cap), "budget")
+        write_spent(done, before, f"{out}/spent", batch_id, now, forget_s)
         refused = rows.where("refusal is not null").select(*columns, "refusal")
         _write(done.drop("bytes").unionByName(refused), f"{out}/text", batch_id)
         _write(result["outcomes"].unionByName(tools["outcomes"], allowMissingColumns=True), f"{out}/outcomes", batch_id)
         rows.unpersist()
 
-    trigger = trigger or {"availableNow": True}
-    limits.setdefault("deadlines", None if "availableNow" in trigger else "processing")
     return _start(align_stream(chunks, **limits), handle, checkpoint, trigger)
 
 
-def within_budget(rows: DataFrame, spent: str, batch_id: int, cap: int) -> DataFrame:
+SPENT = "request_id string, bytes bigint, seen timestamp, of_batch bigint, slot int"
+
+
+def read_spent(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """``(request_id, bytes, seen)`` as the batch before ``batch_id`` left it; no rows at the first one."""
+    try:
+        rows = spark.read.schema(SPENT).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], SPENT)  # the first batch
+    return rows.where((F.col("slot") == (batch_id + 1) % 2) & (F.col("of_batch") == batch_id - 1)).select("request_id", "bytes", "seen")
+
+
+def write_spent(done: DataFrame, before: DataFrame, path: str, batch_id: int, as_of, forget_s: int | None = None) -> None:
+    """Carries the spent bytes on: those of the batch before and those of the rows ``done``.
+
+    Two slots take turns, so a batch reads one table, however many batches there were, and a batch that is
+    repeated finds what it read the first time. Batches are numbered without gaps, as Spark does; a batch that
+    leaves nothing to carry is told by its number. Requests not seen for ``forget_s`` seconds are left out.
+    """
+    now = F.lit(as_of).cast("timestamp")
+    own = done.groupBy("request_id").agg(F.sum("bytes").alias("bytes")).withColumn("seen", now)
+    total = before.unionByName(own).groupBy("request_id").agg(F.sum("bytes").alias("bytes"), F.max("seen").alias("seen"))
+    if forget_s is not None:
+        total = total.where(F.col("seen") >= now - F.make_dt_interval(secs=F.lit(forget_s)))
+    total.withColumns({"of_batch": F.lit(batch_id).cast("bigint"), "slot": F.lit(batch_id % 2)}).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("slot").parquet(path)
+
+
+def within_budget(rows: DataFrame, before: DataFrame, cap: int) -> DataFrame:
     """Rows as they are up to the byte budget of their request; the first row beyond it and all later ones are refusals.
 
-    ``spent`` has, by batch, the bytes that a request has been given.
+    ``before`` has the bytes that requests have been given by the batches before.
     """
-    try:
-        before = rows.sparkSession.read.parquet(spent).where(F.col("batch_id") < batch_id)
-    except AnalysisException:  # the first batch
-        before = rows.sparkSession.createDataFrame([], "request_id string, bytes bigint")
-    given = before.join(rows.select("request_id").distinct(), "request_id", "left_semi").groupBy("request_id").agg(F.sum("bytes").alias("__given"))
+    given = before.select("request_id", F.col("bytes").alias("__given"))
     so_far = Window.partitionBy("request_id").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
     judged = rows.join(given, "request_id", "left").withColumn(
         "__sum", F.coalesce("__given", F.lit(0)) + F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(so_far))
@@ -126,6 +154,31 @@ def within_budget(rows: DataFrame, spent: str, batch_id: int, cap: int) -> DataF
     }).withColumn("bytes", F.when(over, F.lit(cap) + 1).otherwise(F.octet_length("text"))).drop("__given", "__sum")
 
 
+def lookup_stream(
+    puts: DataFrame, asks: DataFrame, vault_keys: DataFrame, out: str, checkpoint: str, ttl_seconds: int,
+    clock: Clock = utc_now, trigger: dict | None = None,
+) -> StreamingQuery:
+    """Lookups over a stream of vault rows, from state alone; ``value`` and ``status`` below ``out``, by batch.
+
+    A mapping leaves the state ``ttl_seconds`` after it was put, however often it is read, and reads as absent from
+    then on; until then its own expiry is judged by ``clock``.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        _write(open_records(batch, vault_keys, clock()).drop("record", "stored_expiry"), out, batch_id)
+
+    spark, trigger = puts.sparkSession, trigger or {"availableNow": True}
+    empty = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(empty)
+    if "availableNow" in trigger:
+        # a time to live asks for batches without data for ever; expired state isn't read without them either
+        spark.conf.set(empty, "false")
+    try:
+        return _start(answered(puts, asks, ttl_seconds), handle, checkpoint, trigger)
+    finally:
+        spark.conf.set(empty, before)
+
+
 def sweep_stream(ticks: DataFrame, vault_path: str, checkpoint: str, clock: Clock = utc_now, trigger: dict | None = None) -> StreamingQuery:
     """Sweeps the vault once per micro-batch of ``ticks``, such as a rate source."""
 

@@ -555,7 +555,7 @@ def all_twins() -> dict[str, str]:
             with a as (select action from (select distinct rule_name, action from {POLICY})
                 union all select case when k % 7 = 2 then 'drop' else 'transform' end from {sources} where k % 7 <> 1)
             select 'example-1+by-source' as version, action, count(*) as n from a group by action""",
-        "uncovered_types": f"select 'TYPE_' || k as entity_type from {sources} where k % 7 <> 3",
+        "uncovered_types": f"select distinct case when k % 7 = 3 then ' ' else 'TYPE_' || k end as entity_type from {sources}",
         "restorable": "select role as field, role = 'assistant' as restorable, count(*) as n from conversations group by all",
         "corpus_written": """select case when conv_id % 2 = 0 then 'dev' else 'holdout' end as split, role as lang, count(*) as n,
             cast(sum(length(text)) as bigint) as chars from conversations group by all""",
@@ -565,6 +565,8 @@ def all_twins() -> dict[str, str]:
     found["restore_totals"] = (
         f"select request_id, {count.format(chr(61) + ' ' + q('restored'))} as tokens_restored, {count.format('<> ' + q('restored'))} as tokens_refused, {reasons} "
         f"from ({found['restore_outcomes']}) group by request_id")
+    # the same results by another way
+    found["stream_lookups"], found["restored_from_store"] = found["vault_values"], found["restored_text"]
     named = located(f"(select 'c' || conv_id || '|' || turn as k, {planted(c.PLANTS, 'conv_id + turn')} as text from conversations)", "k", "Konts|Bearer|Bot")
     found["model_spans"] = (
         f"select split_part(k, '|', 1) as request_id, cast(split_part(k, '|', 2) as int) as idx, start, \"end\", 'ORG' as entity_type, text, "

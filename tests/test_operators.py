@@ -286,6 +286,26 @@ def test_country_of_codes_in_several_messages(spark):
     assert sorted((r.idx, r.country) for r in found_.collect()) == [(0, "EE"), (1, "LT")]
 
 
+def test_countries_beside_their_text(spark):
+    texts = ["isikukood 49112230159", "asmens kodas 49112230159", "49112230159", None, "", "x" * 5000 + " isikukood 49112230159 and asmens kodas 49112230159"]
+    msgs = spark.createDataFrame([(k, t, "kept") for k, t in enumerate(texts)], "idx int, text string, __marks_of string")
+    found = detectors.span_countries(detectors.span_columns(msgs, [detectors.PLAIN_CODES]))
+    assert found.columns == [*msgs.columns, "found"] and found.count() == len(texts) and found.limit(0).count() == 0
+    spans = detectors.explode_spans(found, "found", "idx").where("detector = 'baltic_personal_code'")
+    recorded = detectors.infer_country(detectors.detect_lt_ee_code(msgs), msgs, "idx")
+    key = lambda df: sorted((r.idx, r.start, r.end, r.country or "") for r in df.collect())
+    assert key(spans) == key(recorded) and [k[0] for k in key(spans)] == [0, 1, 2, 5, 5] and [k[3] for k in key(spans)][-2:] == ["EE", "LT"]
+    assert "Exchange" not in spans._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_form_of_code_is_what_all_forms_find_of_it(spark):
+    texts = ["131280-11211 32131280112 39001010077 49112230159", "personas kods 131280-11213, 32-1312801", "320313-11111", "none", None]
+    msgs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "idx int, text string")
+    every = sorted(map(str, detectors.detect_personal_codes(msgs).collect()))
+    parts = [detectors.detect_lv_code(msgs), detectors.detect_lv_code_plain(msgs), detectors.detect_lt_ee_code(msgs)]
+    assert every == sorted(str(r) for p in parts for r in p.collect()) and every
+
+
 def test_json_leaves_round_trip(spark):
     body = '{"a":"x","b":[{"c":"y"},"z"],"args":"{\\"k\\":\\"v\\",\\"n\\":7}"}'
     df = spark.createDataFrame([("r", body)], "record_id string, body string")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import canonicalize
-from maskwright.operators.vault import vault_collisions, vault_get, vault_key_table, vault_put
+from maskwright.operators.vault import vault_collisions, vault_get, vault_key_table, vault_put, wanted_rows
 from maskwright.sources.vault_store import erase, read_vault, rewrite_vault, sweep, upsert_vault
 
 
@@ -79,6 +79,30 @@ def test_lookups_prune_buckets(spark, tmp_path):
     assert "c7" in {r.conversation_id for r in found.collect()} and found.count() < 20
 
 
+def test_a_lookup_exchanges_only_what_may_be_asked_for(spark, tmp_path):
+    path, ring = str(tmp_path / "vault"), vault_key_table(spark, {1: b"k" * 32})
+    rows = made(spark, [("r", "t", f"c{i % 7}", f"<X:v1:{i}>", "v1", str(i)) for i in range(300)], ring)
+    upsert_vault(rows, path, "1", buckets=4)
+    stored = read_vault(spark, path)
+    wanted = stored.where("pmod(hash(token), 10) = 0").select("tenant_id", "conversation_id", "token")
+    extra = spark.createDataFrame([(None, "c1", "<X:v1:1>"), ("t", None, None), ("t", "none", "<X:v1:1>")], wanted.schema)
+    asked = wanted.unionByName(extra).unionByName(wanted)
+    keys = {(r.conversation_id, r.token) for r in wanted.collect()}
+    assert 5 < len(keys) < 100
+    # with many bits nothing else passes, with few some does, and the columns stay as they are
+    for bits, most in ((1 << 24, len(keys)), (64, 300)):
+        got = wanted_rows(stored, asked, bits)
+        assert got.columns == stored.columns and keys <= {(r.conversation_id, r.token) for r in got.collect()} and got.count() <= most
+    assert wanted_rows(stored, asked.limit(0)).count() == 0 == wanted_rows(stored.limit(0), asked).count()
+    with pytest.raises(ValueError):
+        wanted_rows(stored, asked, 100)
+    found = read_vault(spark, path, asked)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # the filter lies below the exchange that finds the latest row of a token
+    assert plan.index("hashpartitioning(tenant_id") < plan.index("BroadcastHashJoin")
+    assert {(r.conversation_id, r.token) for r in found.collect()} == keys
+
+
 def test_rewrites_leave_other_partitions_alone(spark, tmp_path):
     path, ring = str(tmp_path / "vault"), vault_key_table(spark, {1: b"k" * 32})
     for n in range(3):
