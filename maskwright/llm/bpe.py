@@ -214,6 +214,11 @@ def worker_codec(data: dict) -> Codec:
     return _built[data["digest"]]
 
 
+def forget() -> None:
+    """Drops the codec of this worker process."""
+    _built.clear()
+
+
 class Remembered(dict):
     """Values of chunks, made on demand; starts anew when it is full."""
 

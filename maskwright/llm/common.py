@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from maskwright.session import materialize, scratch_dir
 
-__all__ = ["arrow_rows", "floors", "fold_of", "free_names", "hash_of_rows", "materialize", "pieces_of", "prepare", "scratch_dir", "table", "whole"]
+__all__ = ["arrow_rows", "floors", "fold_of", "free_names", "hash_of_rows", "keep_only", "materialize", "pieces_of", "prepare", "scratch_dir", "table", "whole"]
 
 #: Rows per Arrow batch. Documents can be long, so the rows that wait for Python are few.
 BATCH_ROWS = 1_000
@@ -55,6 +58,30 @@ def hash_of_rows(df: DataFrame, seed: int = 0) -> Column:
     return F.xxhash64(F.lit(seed), *fine, *[c.isNull() for c in fine])
 
 
+_owner = ""
+
+
+def keep_only(owner: str) -> None:
+    """Drops the tables that other operators have left in this worker process, when ``owner`` is the next to work in it.
+
+    Workers outlive a stage, and a module whose tables outlive a task drops them in its ``forget``. Nothing is lost but
+    the time to fill a table anew. What is freed goes back to the system, as other workers and the JVM share its memory.
+    """
+    global _owner
+    if _owner == owner:
+        return
+    _owner = owner
+    package = __name__.rpartition(".")[0]
+    for name, module in list(sys.modules.items()):
+        if name.startswith(f"{package}.") and name != f"{package}.{owner}" and hasattr(module, "forget"):
+            module.forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def pieces_of(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.Table]:
     """Regroups the batches of a partition into tables of about ``most_bytes`` of ``column``.
 

@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import arrow_rows, fold_of, materialize, table
+from maskwright.llm.common import arrow_rows, fold_of, keep_only, materialize, table
 
 #: Longest n-gram, most rows learned from per language, characters of evidence in the score.
 ORDER, SAMPLE, SURE = 4, 3_000, 60
@@ -280,6 +280,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     @F.pandas_udf("boolean")
     def has_language(texts: pd.Series) -> pd.Series:
+        keep_only("language")
         return pd.Series([not r[2] for r in model.value.predict(texts.tolist())], dtype=bool)
 
     return docs.filter(has_language("text"))

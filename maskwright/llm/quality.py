@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import arrow_rows, fold_of, table
+from maskwright.llm.common import arrow_rows, fold_of, keep_only, table
 
 #: Slots are 2 ** SLOT_BITS; n-grams of words and of shapes up to these lengths.
 SLOT_BITS, WORD_N, SHAPE_N = 18, 2, 3
@@ -95,6 +95,12 @@ def chunk_table() -> _Chunks:
     return _chunks
 
 
+def forget() -> None:
+    """Empties the table of this worker process."""
+    global _chunks
+    _chunks = _Chunks()
+
+
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values of a text, a vector of length one."""
     words, shapes = chunk_table().of(text or "")
@@ -214,6 +220,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     @F.pandas_udf("double")
     def score_of(texts: pd.Series) -> pd.Series:
+        keep_only("quality")
         w = model.value
         found = [features(t) for t in texts]
         return pd.Series(sigmoid(np.array([w[-1] + w[s] @ x for s, x in found], dtype=float)))

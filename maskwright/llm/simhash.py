@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import LOWER, arrow_rows, free_names, hash_of_rows, materialize, table
+from maskwright.llm.common import LOWER, arrow_rows, free_names, hash_of_rows, keep_only, materialize, table
 
 #: Words of a shingle, the hash seed, and the most differing bits of a link.
 WORDS, SEED, BITS = 3, 42, 2
@@ -283,6 +283,7 @@ def row_groups(docs: DataFrame, keys: list[str]) -> DataFrame:
     schema = pa.schema([(keys[0], pa.int64()), (keys[1], pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("check", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("simhash")
         for batch in batches:
             prints = np.array([stage_prints(t.as_py()) for t in batch.column(3)], dtype=np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy())], schema=schema)

@@ -5,8 +5,8 @@ import re
 import corpus_pipeline
 from tokenizers import Tokenizer
 
-from maskwright.llm import bpe, language, quality
-from maskwright.llm.common import fold_of, table
+from maskwright.llm import bpe, common, language, quality
+from maskwright.llm.common import fold_of, keep_only, table
 from tests.llm.test_simhash import brute_stage
 
 SF = "/root/testdata/sf0.001"
@@ -16,6 +16,23 @@ def rows_of(df):
     return {r.doc_id: r for r in df.collect()}
 
 
+def test_a_worker_holds_the_tables_of_one_operator(monkeypatch):
+    monkeypatch.setattr(common, "_owner", "")
+    text = "The quick, brown fox: 12 foxes"
+    keep_only("quality")
+    before = quality.features(text)
+    data = bpe.read_vocabulary(bpe.default_path())
+    ids = bpe.worker_codec(data).encode(text)
+    keep_only("quality")
+    assert len(quality.chunk_table()) and bpe._built  # its own stay, and so does what came while it was at work
+    keep_only("simhash")
+    assert not len(quality.chunk_table()) and not quality.chunk_table().parts and not bpe._built
+    after = quality.features(text)
+    assert all((a == b).all() for a, b in zip(before, after)) and bpe.worker_codec(data).encode(text) == ids
+    keep_only("bpe")
+    assert bpe._built and not len(quality.chunk_table())
+
+
 def test_every_stage_decides_on_all_it_gets(spark):
     docs = table(spark, SF, "documents")
     columns = docs.columns
