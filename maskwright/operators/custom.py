@@ -54,10 +54,19 @@ def _fold_table() -> dict[int, int]:
     return {c: min(g) for g in groups.values() if len(g) > 1 for c in g if c != min(g)}
 
 
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
+
+
+def _folded(text: str) -> str:
+    """``text`` by the fold table, in which ASCII letters are their upper case."""
+    upper = text.encode("utf-8", "surrogatepass").upper().decode("utf-8", "surrogatepass")
+    return upper if text.isascii() else _BEYOND_ASCII.sub(lambda m: m.group().translate(_fold_table()), upper)
+
+
 def _automaton(terms: Sequence[str], case_sensitive: bool) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for term in terms:
-        key = term if case_sensitive else term.translate(_fold_table())
+        key = term if case_sensitive else _folded(term)
         found.add_word(key, len(key))
     found.make_automaton()
     return found
@@ -216,7 +225,11 @@ _OCCURRENCES = T.ArrayType(T.StructType([
     T.StructField("i", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType()),
     T.StructField("before", T.StringType()), T.StructField("after", T.StringType()),
     T.StructField("first", T.BooleanType()), T.StructField("last", T.BooleanType())]))
+_OCCURRENCE = pa.struct([("i", pa.int32()), ("start", pa.int32()), ("text", pa.string()), ("before", pa.string()), ("after", pa.string()),
+                         ("first", pa.bool_()), ("last", pa.bool_())])
 _WORD = re.compile(r"\w+")
+# words, and signs between words, that a task holds as Python objects at a time
+_HELD = 16_384
 
 
 def _pieces(text: str) -> tuple[list[tuple[int, int]], list[str]]:
@@ -226,6 +239,24 @@ def _pieces(text: str) -> tuple[list[tuple[int, int]], list[str]]:
     return places, [text[a:b] for a, b in zip(edges[::2], edges[1::2])]
 
 
+def _occurrences(text: str, folded: str, signs: bool) -> Iterator[tuple[str | None, tuple]]:
+    """The words of a text in their order, folded, with their occurrence; with ``signs`` what stands between them, under None."""
+    waiting, end, i = None, 0, 0
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        gap = text[end:a]
+        if waiting:
+            yield waiting[0], (*waiting[1], gap, i == 1, False)
+        if signs and gap:
+            yield None, (i, end, None, gap, None, i == 0, False)
+        waiting, end, i = (folded[a:b], (i, a, text[a:b], gap)), b, i + 1
+    gap = text[end:]
+    if waiting:
+        yield waiting[0], (*waiting[1], gap, i == 1, True)
+    if signs and gap:
+        yield None, (i, end, None, gap, None, i == 0, True)
+
+
 def _term_table(terms: DataFrame, case_sensitive: bool) -> DataFrame:
     """``(term, words, gaps, lead, tail)`` of different terms; the words are folded."""
     out = T.StructType([T.StructField("term", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("gaps", T.ArrayType(T.StringType())),
@@ -237,7 +268,7 @@ def _term_table(terms: DataFrame, case_sensitive: bool) -> DataFrame:
             for term in batch.column(0).to_pylist():
                 term = (term or "").strip()
                 if term:
-                    folded = term if case_sensitive else term.translate(_fold_table())
+                    folded = term if case_sensitive else _folded(term)
                     places, gaps = _pieces(term)
                     words = [folded[a:b] for a, b in places]
                     # signs alone have no word: the lead is all of them
@@ -249,43 +280,69 @@ def _term_table(terms: DataFrame, case_sensitive: bool) -> DataFrame:
     return terms.select(F.col("term").cast("string")).mapInArrow(run, out).dropDuplicates(["term"])
 
 
-def _word_stream(msgs: DataFrame, keys: Sequence[str], case_sensitive: bool) -> DataFrame:
-    """``keys``, ``__row``, a folded word or, under a null word, the signs between words, and where it occurs in the text."""
+def _word_stream(msgs: DataFrame, keys: Sequence[str], case_sensitive: bool, signs: bool) -> DataFrame:
+    """``keys``, ``__row``, a folded word or, with ``signs`` and under a null word, the signs between words, and where it occurs in the text.
+
+    A task holds a bounded number of words at a time, so a word of a long text may have several rows.
+    """
     kept = msgs.select(*keys).schema
     out = T.StructType([*kept.fields, T.StructField("__row", T.LongType()), T.StructField("word", T.StringType()), T.StructField("occ", _OCCURRENCES)])
-    occurrence = pa.struct([("i", pa.int32()), ("start", pa.int32()), ("text", pa.string()), ("before", pa.string()), ("after", pa.string()), ("first", pa.bool_()), ("last", pa.bool_())])
+
+    def batch_of(batch: pa.RecordBatch, held: dict[tuple, list]) -> pa.RecordBatch:
+        at = pa.array([n for n, _, _ in held], pa.int64())
+        kept_columns = [batch.column(k).take(at) for k in range(batch.num_columns - 1)]
+        ends = [0]
+        for found in held.values():
+            ends.append(ends[-1] + len(found))
+        fields = zip(*(o for found in held.values() for o in found))
+        places = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(fields, _OCCURRENCE)], fields=list(_OCCURRENCE))
+        return pa.RecordBatch.from_arrays(
+            [*kept_columns, pa.array([row for _, row, _ in held], pa.int64()), pa.array([word for _, _, word in held], pa.string()),
+             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places)], names=out.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         row = (TaskContext.get().partitionId() << 33) - 1
         for batch in batches:
-            at, rows, found, places_of = [], [], [], []
-            for n, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+            held: dict[tuple, list] = {}
+            n_held = 0
+            for n, value in enumerate(batch.column(batch.num_columns - 1)):
                 row += 1
+                text = value.as_py()
                 if not text:
                     continue
-                folded = text if case_sensitive else text.translate(_fold_table())
-                places, gaps = _pieces(text)
-                by_word: dict[str | None, list] = {}
-                for i, (a, b) in enumerate(places):
-                    by_word.setdefault(folded[a:b], []).append((i, a, text[a:b], gaps[i], gaps[i + 1], i == 0, i == len(places) - 1))
-                ends = [0, *[b for _, b in places]]
-                for i, (gap, start) in enumerate(zip(gaps, ends)):
-                    if gap:
-                        by_word.setdefault(None, []).append((i, start, None, gap, None, i == 0, i == len(places)))
-                for word, occ in by_word.items():
-                    at.append(n)
-                    rows.append(row)
-                    found.append(word)
-                    places_of.append([dict(zip(("i", "start", "text", "before", "after", "first", "last"), o)) for o in occ])
-            kept_columns = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(
-                [*kept_columns, pa.array(rows, pa.int64()), pa.array(found, pa.string()), pa.array(places_of, pa.list_(occurrence))], names=out.names)
+                for word, place in _occurrences(text, text if case_sensitive else _folded(text), signs):
+                    held.setdefault((n, row, word), []).append(place)
+                    n_held += 1
+                    if n_held == _HELD:
+                        yield batch_of(batch, held)
+                        held, n_held = {}, 0
+            if held:
+                yield batch_of(batch, held)
 
     return msgs.select(*keys, F.col("text").alias("__text")).mapInArrow(run, out)
 
 
+def _leftmost_longest(found: DataFrame) -> DataFrame:
+    """Of the matches (``__row``, start, end, text) of every text those that a scan from the left takes, the longest at each place."""
+    dealt = found.repartition("__row").sortWithinPartitions("__row", "start", F.desc("end"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, at = None, 0
+        for batch in batches:
+            taken = []
+            for row, start, end in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if row != of:
+                    of, at = row, 0
+                taken.append(start >= at)
+                if start >= at:
+                    at = end
+            yield batch.filter(pa.array(taken, pa.bool_()))
+
+    return dealt.select("__row", "start", "end", "text").mapInArrow(run, "__row long, start int, end int, text string")
+
+
 def detect_dictionary_table(
     msgs: DataFrame, terms: DataFrame, entity_type: str = "CUSTOMER_TERM", name: str = "customer_dictionary", case_sensitive: bool = False,
 ) -> DataFrame:
@@ -302,8 +359,8 @@ def detect_dictionary_table(
     known = materialize(_term_table(terms, case_sensitive), "terms")
     worded, signs = known.where("size(words) > 0"), known.where("size(words) = 0")
     used = worded.select(F.explode("words").alias("word")).distinct()
-    stream = _word_stream(msgs, keys, case_sensitive)
-    any_signs = signs.head(1)
+    any_signs = bool(signs.head(1))
+    stream = _word_stream(msgs, keys, case_sensitive, any_signs)
     kept = stream.join(used, "word", "left_semi")
     if any_signs:
         kept = materialize(stream.where("word is null").unionByName(stream.where("word is not null").join(used, "word", "left_semi")), "kept")
@@ -346,16 +403,12 @@ def detect_dictionary_table(
             (o + F.length("lead") < F.length("before")) | F.col("last")))
         hits = hits.where("length(before) >= length(lead)").select("__row", "start", "lead", F.explode(at).alias("o"))
         found = found.unionByName(hits.selectExpr("__row", "start + o as start", "start + o + length(lead) as end", "lead as text"))
-    # leftmost and longest first, per text; the matches of one text are bounded by it
-    ordered = F.array_sort(F.collect_set(F.struct("start", (-F.col("end")).alias("back"), "text")))
-    zero = "named_struct('at', 0, 'out', cast(array() as array<struct<start:int,back:int,text:string>>))"
-    taken = f"aggregate(m, {zero}, (s, x) -> if(x.start >= s.at, named_struct('at', -x.back, 'out', concat(s.out, array(x))), s), s -> s.out)"
-    folded = found.groupBy("__row").agg(ordered.alias("m")).select("__row", F.expr(f"inline({taken})"))
+    folded = _leftmost_longest(found)
     row_keys = kept.select("__row", *keys)
     if any_signs:
         row_keys = row_keys.unionByName(gaps.select("__row", *keys))
     spans = folded.join(row_keys.distinct(), "__row")
-    return spans.select(*keys, "start", (-F.col("back")).alias("end"), F.lit(entity_type).alias("entity_type"), "text",
+    return spans.select(*keys, "start", "end", F.lit(entity_type).alias("entity_type"), "text",
                         F.lit(fixed.CERTAIN).cast("double").alias("score"), F.lit(name).alias("detector"))
 
 
