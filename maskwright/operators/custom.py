@@ -75,34 +75,68 @@ def _automaton(terms: Sequence[str], case_sensitive: bool) -> ahocorasick.Automa
 _automata: dict[str, object] = {}
 
 
-def _matches_of(source, case_sensitive: bool):
-    """All places of terms that are not inside words, as an Arrow function."""
+def _span_lists(texts: list[str | None], found: list[list[tuple[int, int]] | None]) -> pa.Array:
+    """Spans of every text as an Arrow array, null where there is no text."""
+    ends = [0]
+    for spans in found:
+        ends.append(ends[-1] + len(spans or ()))
+    flat = [(a, b, text[a:b]) for text, spans in zip(texts, found) for a, b in spans or ()]
+    starts, stops, words = zip(*flat) if flat else ((), (), ())
+    value = _SPAN_ARROW.value_type
+    places = pa.StructArray.from_arrays(
+        [pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(words, pa.string())], fields=list(value))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places, mask=pa.array([x is None for x in found], pa.bool_()))
+
+
+def _taken(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What a scan from the left takes, the longest at each place."""
+    out, at = [], 0
+    for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+        if a >= at:
+            out.append((a, b))
+            at = b
+    return out
+
+
+def _matches_of(source, case_sensitive: bool, settled: bool):
+    """All places of terms that are not inside words, as an Arrow function; if ``settled``, those that a scan takes."""
     name = uuid.uuid4().hex
 
     def run(texts: pa.Array) -> pa.Array:
         if name not in _automata:
             _automata.clear()
             _automata[name] = _automaton(source.value, case_sensitive)
-        found = _automata[name]
-        out = []
-        for text in texts.to_pylist():
+        automaton = _automata[name]
+        values, found = texts.to_pylist(), []
+        for text in values:
             if text is None:
-                out.append(None)
+                found.append(None)
                 continue
-            folded = text if case_sensitive else text.translate(_fold_table())
-            spans = [(last - n + 1, last + 1) for last, n in found.iter(folded)]
-            out.append([
-                {"start": a, "end": b, "text": text[a:b]} for a, b in sorted(spans)
-                if not (a and _in_word(text[a - 1])) and not (b < len(text) and _in_word(text[b]))
-            ])
-        return pa.array(out, _SPAN_ARROW)
+            folded = text if case_sensitive else _folded(text)
+            spans, size = [], len(text)
+            # most places are inside words, so what is in a word is told without a call
+            for last, n in automaton.iter(folded):
+                a, b = last - n + 1, last + 1
+                if a and ((c := text[a - 1]).isalnum() or c == "_") or b < size and ((c := text[b]).isalnum() or c == "_"):
+                    continue
+                spans.append((a, b))
+            found.append(_taken(spans) if settled else spans)
+        return _span_lists(values, found)
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, _SPAN_ROWS)
 
 
-def _in_word(char: str) -> bool:
-    return char.isalnum() or char == "_"
+def _settle():
+    """What a scan takes of the places that several blocks of terms have found, as an Arrow function."""
+
+    def run(texts: pa.Array, places: pa.Array) -> pa.Array:
+        values = texts.to_pylist()
+        found = [None if row is None else _taken([(s["start"], s["end"]) for s in row]) for row in places.to_pylist()]
+        return _span_lists(values, found)
+
+    run.__annotations__ = {"texts": pa.Array, "places": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, _SPAN_ROWS)
 
 
 def _blocks(terms: Sequence[str]) -> list[list[str]]:
@@ -123,8 +157,8 @@ def dictionary_detector(
 ) -> Detector:
     """Exact terms, leftmost and longest first, not inside words; for lists of any size.
 
-    One automaton per block of terms finds all places where a text lies; a scan from
-    the left then takes the longest term at each place.
+    One automaton per block of terms finds all places where a text lies, and a scan from
+    the left takes the longest term at each place, in the same pass where there is one block.
     """
     blocks = _blocks(_clean(terms))
     if not blocks:
@@ -133,20 +167,12 @@ def dictionary_detector(
 
     def prepare(df: DataFrame, text: str) -> DataFrame:
         context = df.sparkSession.sparkContext
-        parts = [_matches_of(context.broadcast(block), case_sensitive)(F.col(text)) for block in blocks]
-        return df.withColumn(column, F.concat(*parts) if len(parts) > 1 else parts[0])
+        parts = [_matches_of(context.broadcast(block), case_sensitive, len(blocks) == 1)(F.col(text)) for block in blocks]
+        return df.withColumn(column, _settle()(F.col(text), F.concat(*parts)) if len(parts) > 1 else parts[0])
 
     def stage(_text: str, _cols: dict[str, str]) -> dict[str, str]:
-        ordered = (
-            f"array_sort(array_distinct({column}), (x, y) -> case when x.start < y.start then -1 when x.start > y.start then 1 "
-            "when x.end > y.end then -1 when x.end < y.end then 1 else 0 end)"
-        )
-        taken = (
-            f"aggregate({ordered}, named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,text:string>>)), "
-            "(s, m) -> if(m.start >= s.at, named_struct('at', m.end, 'out', concat(s.out, array(m))), s), s -> s.out)"
-        )
         return {"spans": (
-            f"transform({taken}, m -> named_struct('start', m.start, 'end', m.end, 'entity_type', "
+            f"transform({column}, m -> named_struct('start', m.start, 'end', m.end, 'entity_type', "
             f"'{entity_type}', 'text', m.text, 'score', cast({fixed.CERTAIN} as double), 'detector', '{name}'))")}
 
     return Detector(name, (entity_type,), (stage,), False, "custom", prepare)

@@ -24,3 +24,18 @@ def test_signs_and_edges_of_long_texts(spark):
     # signs beside a word are no span of their own
     want = [s for s in range(len(text)) if text.startswith("--", s) and not (s and text[s - 1].isalnum()) and not text[s + 2 : s + 3].isalnum()]
     assert sorted(r.start for r in found.collect()) == want
+
+
+def test_a_list_is_settled_in_one_pass(spark, monkeypatch):
+    terms = ["the", "the sea", "sea side", "side", "café", "a", "a b", "b c d"]
+    rows = [(1, "The sea side a b c d the"), (2, "CAFÉ; cafés theme side_a side"), (3, None), (4, ""), (5, "a b " * 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = lambda: sorted((r.doc_id, r.start, r.end, r.text) for r in custom.detect_dictionary(docs, terms).collect())
+    got = spans()
+    assert [g for g in got if g[0] < 5] == [(1, 0, 7, "The sea"), (1, 8, 12, "side"), (1, 13, 16, "a b"), (1, 21, 24, "the"),
+                                            (2, 0, 4, "CAFÉ"), (2, 25, 29, "side")]
+    assert len([g for g in got if g[0] == 5]) == 400
+    # the same from several blocks, and no growing array is copied for every match
+    assert "aggregate(" not in custom.detect_dictionary(docs, terms)._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(custom, "BLOCK_CHARS", 8)
+    assert len(custom._blocks(custom._clean(terms))) > 2 and spans() == got
