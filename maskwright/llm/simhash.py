@@ -10,8 +10,9 @@ fixes ``8 - d`` bytes can never hold more than ``256 ** d`` different fingerprin
 pairs are verified by their differing bits. A list gives a spanning forest of its links and never all its pairs.
 
 The near-duplicate stage links other fingerprints, those of the different words of a text: two texts
-link if they share SHARED bytes and differ in at most FAR bits, and if the fingerprints of their
-different pairs of words, which aren't indexed, differ in at most CHECKED bits. Two texts of which a word in
+link if they differ in at most FAR bits, and if the fingerprints of their different pairs of words, which
+aren't indexed, differ in at most CHECKED bits. Bytes would guarantee one that is shared, so its index
+has BANDS narrower bands, of which ``BANDS - FAR`` are always shared. Two texts of which a word in
 fifty was replaced have about 0.8 of their shingles of five words in common, but nearly all of their words.
 
 Rows with equal fingerprints are one entry of the index, so copies cost nothing. Components are
@@ -38,8 +39,8 @@ from maskwright.llm.common import LOWER, arrow_rows, free_names, hash_of_rows, k
 
 #: Words of a shingle, the hash seed, and the most differing bits of a link.
 WORDS, SEED, BITS = 3, 42, 2
-#: The stage: words of a shingle, shared bytes and differing bits of a link; words and differing bits of the second fingerprint.
-STAGE_WORDS, SHARED, FAR, CHECK_WORDS, CHECKED = 1, 3, 7, 2, 12
+#: The stage: words of a shingle, bands of the index and differing bits of a link; words and differing bits of the second fingerprint.
+STAGE_WORDS, BANDS, FAR, CHECK_WORDS, CHECKED = 1, 10, 7, 2, 12
 #: Lists up to this size are compared pair by pair, larger ones by looking up their neighbours.
 DENSE = 64
 _NO_ID = 1 << 62
@@ -151,39 +152,64 @@ def _tree(members: np.ndarray, checks: np.ndarray, bits: int, checked: int) -> t
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def link_forest(distinct: DataFrame, bits: int = BITS, shared: int | None = None, checked: int = 64) -> DataFrame:
-    """Links between different fingerprints (columns fp, node, and check if there is one) as edges u > v of nodes that connect the same groups.
+def _bands(n: int) -> list[int]:
+    """Masks of ``n`` bands of consecutive bits, as wide as each other or wider by one; eight are the bytes."""
+    edges = [64 * k // n for k in range(n + 1)]
+    return [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:])]
 
-    Fingerprints link if they share ``shared`` bytes (by default what ``bits`` guarantee), differ in at
-    most ``bits`` bits, and their checks in at most ``checked`` bits.
+
+def _small_lists(new: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of positions inside lists that begin at ``new``, by their distance."""
+    for k in range(1, int(sizes.max(initial=1))):
+        new, sizes = new[sizes > k], sizes[sizes > k]
+        room = sizes - k
+        left = np.repeat(new - np.r_[0, np.cumsum(room)[:-1]], room) + np.arange(room.sum())
+        yield left, left + k
+
+
+def link_forest(distinct: DataFrame, bits: int = BITS, bands: int = 8, checked: int | None = None) -> DataFrame:
+    """Links between different fingerprints (columns fp, node, and check with ``checked``) as edges u > v of nodes that connect the same groups.
+
+    Fingerprints link if they differ in at most ``bits`` bits, and their checks in at most ``checked`` bits. Of
+    ``bands`` bands they then share ``bands - bits``, so no link is left out.
     """
-    exact = shared is None
-    kept = list(combinations(range(8), 8 - bits if exact else shared))
+    masked = _bands(bands)
+    kept = list(combinations(range(bands), bands - bits))
     entries = F.array(*[
-        F.struct(F.lit(k).cast("byte").alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(sum(255 << 8 * p for p in c)))).alias("bytes"))
+        F.struct(F.lit(k).cast("short").alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(sum(masked[p] for p in c)))).alias("bytes"))
         for k, c in enumerate(kept)
     ])
-    check = F.col("check") if "check" in distinct.columns else F.lit(0).cast("long")
-    lists = distinct.select("fp", "node", check.alias("check"), F.explode(entries).alias("list")).select("list.part", "list.bytes", "fp", "node", "check")
-    if exact:
-        lists = lists.drop("check")
+    columns = ["fp", "node", "check"] if checked is not None else ["fp", "node"]
+    lists = distinct.select(*columns, F.explode(entries).alias("list")).select("list.part", "list.bytes", *columns)
     dealt = lists.repartition("part", "bytes").sortWithinPartitions("part", "bytes", "fp")
-    masks = [_masks(tuple(sorted(set(range(8)) - set(c))), bits) for c in kept] if exact else []
+    masks = [_masks(tuple(sorted(set(range(8)) - set(c))), bits) for c in kept] if checked is None else []
+    band_masks, choice = np.array(masked, dtype=np.uint64), np.array(kept)
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
+    def checked_edges(part, new, sizes, prints, nodes, checks) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        small = sizes <= DENSE
+        for left, right in _small_lists(new[small], sizes[small]):
+            differ = prints[left] ^ prints[right]
+            near = (np.bitwise_count(differ) <= bits) & (np.bitwise_count(checks[left] ^ checks[right]) <= checked)
+            left, right, differ = left[near], right[near], differ[near]
+            # a pair meets in many lists and is given by the first of them
+            shared = (differ[:, None] & band_masks) == 0
+            first = (np.argsort(~shared, axis=1, kind="stable")[:, : choice.shape[1]] == choice[part[left]]).all(axis=1)
+            yield nodes[left[first]], nodes[right[first]]
+        for start, size in zip(new[~small], sizes[~small]):
+            left, right = _tree(prints[start : start + size], checks[start : start + size], bits, checked)
+            yield nodes[start + left], nodes[start + right]
+
     def edges_of(part, keys, prints, nodes, *checks) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         new = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (keys[1:] != keys[:-1])])
         sizes = np.diff(np.r_[new, len(part)])
+        if checks:
+            yield from checked_edges(part, new, sizes, prints, nodes, checks[0])
+            return
         pairs = new[sizes == 2]
         near = np.bitwise_count(prints[pairs] ^ prints[pairs + 1]) <= bits
-        if checks:
-            near &= np.bitwise_count(checks[0][pairs] ^ checks[0][pairs + 1]) <= checked
         yield nodes[pairs[near]], nodes[pairs[near] + 1]
         for start, size in zip(new[sizes > 2], sizes[sizes > 2]):
-            if checks:
-                left, right = _tree(prints[start : start + size], checks[0][start : start + size], bits, checked)
-                yield nodes[start + left], nodes[start + right]
-                continue
             order = start + np.argsort(prints[start : start + size])
             left, right = _links(prints[order], masks[part[start]], bits)
             if len(left):
@@ -291,7 +317,7 @@ def row_groups(docs: DataFrame, keys: list[str]) -> DataFrame:
     rows = docs.select(*keys, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary"))
     prints = materialize(rows.mapInArrow(run, f"`{keys[0]}` long, `{keys[1]}` long, doc_id long, fp long, check long"), "prints")
     distinct = materialize(prints.select("fp", "check").distinct().withColumn("node", F.monotonically_increasing_id()), "distinct")
-    roots = components(link_forest(distinct, FAR, SHARED, CHECKED))
+    roots = components(link_forest(distinct, FAR, BANDS, CHECKED))
     rooted = distinct.join(roots, "node", "left").select("fp", "check", F.coalesce("root", "node").alias("root"))
     return prints.join(materialize(rooted, "roots"), ["fp", "check"]).select(*keys, "doc_id", "root")
 

@@ -118,8 +118,7 @@ def brute_stage(rows):
 
     for i, j in combinations(range(n), 2):
         x, y = fps[i][0] ^ fps[j][0], fps[i][1] ^ fps[j][1]
-        shared = sum((x >> 8 * k) & 255 == 0 for k in range(8))
-        if shared >= 3 and x.bit_count() <= 7 and y.bit_count() <= 12:
+        if x.bit_count() <= 7 and y.bit_count() <= 12:
             a, b = sorted((find(i), find(j)))
             root[b] = a
     groups = {}
@@ -178,3 +177,25 @@ def test_stage_keeps_unlike_texts_of_one_id(spark):
     assert len(kept) == 1 and kept <= set(rows)
     kept = simhash.dedup_stage(spark, spark.createDataFrame(rows, schema), "")
     assert kept.columns == ["doc_id", "text", "k1", "K2", "_key"] and kept.count() == 1
+
+
+def test_stage_links_are_all_within_its_bits(spark):
+    """Every pair within the bits of the stage is connected, also one that shares a single byte."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**63, 60, dtype=np.int64).astype(np.uint64)
+    # one bit in each of seven bytes: a single byte is shared
+    spread = np.uint64(sum(1 << 8 * k + 3 for k in range(7)))
+    prints = [(int(b), int(c)) for b, c in zip(base, rng.integers(0, 2**62, 60))]
+    prints += [(f ^ int(spread), c ^ 0b111) for f, c in prints[:20]]
+    for f, c in prints[20:50]:
+        flips = sum(1 << int(x) for x in rng.choice(64, rng.integers(1, 10), replace=False))
+        prints.append((f ^ flips, c ^ sum(1 << int(x) for x in rng.choice(62, rng.integers(1, 15), replace=False))))
+    prints += [(prints[0][0] ^ k, prints[0][1]) for k in range(1, 150)]
+    prints = sorted(set(prints))
+    rows = [(simhash._signed(f), n, c) for n, (f, c) in enumerate(prints)]
+    frame = spark.createDataFrame(rows, "fp long, node long, check long")
+    got = {r.node: r.root for r in simhash.components(simhash.link_forest(frame, simhash.FAR, simhash.BANDS, simhash.CHECKED)).collect()}
+    linked = [(i, j) for i, j in combinations(range(len(prints)), 2)
+              if (prints[i][0] ^ prints[j][0]).bit_count() <= 7 and (prints[i][1] ^ prints[j][1]).bit_count() <= 12]
+    want = simhash._roots(*(np.array(x) for x in zip(*linked)), len(prints)).tolist()
+    assert {n: got.get(n, n) for n in range(len(prints))} == dict(enumerate(want))
