@@ -6,6 +6,9 @@ import re
 import sys
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -15,6 +18,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from maskwright.functions import fixed
 
 _LONGEST = fixed.TOKEN_MAX_LENGTH
+#: Text of a block that a batch gives out is put together up to that many characters a row.
+ROW_CHARS = 4096
 # the beginning of a token at the end of a text
 _OPEN_TOKEN = re.compile(
     r"<(?:[A-Z][A-Z0-9_]{0,%d}(?::(?:v(?:1(?::[0-9a-f]{0,32})?)?)?)?)?\Z" % (fixed.TOKEN_MAX_TYPE - 1))
@@ -33,9 +38,17 @@ _BLOCK_KEY = T.StructType([T.StructField("block", T.StringType())])
 _BLOCK = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("held", T.StringType()), T.StructField("closed", T.BooleanType())])
 _SEQ_KEY = T.StructType([T.StructField("seq", T.LongType())])
-_CHUNK = T.StructType([
-    T.StructField("block", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("delta", T.StringType()),
-    T.StructField("final", T.BooleanType()), T.StructField("at", T.LongType())])
+# what one batch left waiting, chunk by chunk
+_WAITING = T.StructType([
+    T.StructField("seqs", T.ArrayType(T.LongType())), T.StructField("blocks", T.ArrayType(T.StringType())),
+    T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("deltas", T.ArrayType(T.StringType())),
+    T.StructField("finals", T.ArrayType(T.BooleanType())), T.StructField("ats", T.ArrayType(T.LongType()))])
+# chunks of one block that a task has read one after the other: their text in one piece, numbers as bytes
+RUNS = T.StructType([
+    T.StructField("request_id", T.StringType()), T.StructField("block", T.StringType()), T.StructField("kind", T.StringType()),
+    T.StructField("text", T.StringType()), T.StructField("seqs", T.BinaryType()), T.StructField("sizes", T.BinaryType()),
+    T.StructField("finals", T.BinaryType())])
+_NO_SEQ = -(1 << 63)
 
 
 def open_token_at(text: str) -> int:
@@ -75,13 +88,17 @@ class Align(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("reply", _STATE)
         self.blocks = handle.getMapState("blocks", _BLOCK_KEY, _BLOCK)
-        self.waiting = handle.getMapState("waiting", _SEQ_KEY, _CHUNK)
+        self.waiting = handle.getMapState("waiting", _SEQ_KEY, _WAITING)
+
+    def chunks_of(self, row: Row, now: int | None) -> Iterator[tuple[int | None, tuple]]:
+        """The numbered chunks of an input row."""
+        yield row.seq, (row.block, row.kind, row.delta, bool(row.final), row.at if now is None else now)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         # state is read and written once per key and batch: every call is a round trip
         request, event = key[0], self.clock == "event"
         now = None if event else timerValues.getCurrentProcessingTimeInMs()
-        arrived = [(r.seq, (r.block, r.kind, r.delta, bool(r.final), r.at if event else now)) for r in rows]
+        arrived = [c for r in rows for c in self.chunks_of(r, now)]
         first = min(c[4] for _, c in arrived)
         expected, size, n_blocks, parts, done, since, last, seen, held = self.state.get() or (self.first_seq, 0, 0, 0, None, first, first, first, 0)
         seen = max([seen, *[c[4] for _, c in arrived]])
@@ -91,8 +108,14 @@ class Align(StatefulProcessor):
         out: list[tuple] = []
         problem = None
         early: dict[int, tuple] = {}
+        # all that waits is read at once; it is bounded
+        stored: dict[int, tuple] = {}
+        if held:
+            for _, kept in self.waiting.iterator():
+                stored.update(zip(kept[0], zip(*kept[1:])))
+        n_stored, known_blocks = len(stored), n_blocks
         for seq, chunk in arrived:
-            repeated = seq is None or seq < expected or seq in early or (held and self.waiting.containsKey((seq,)))
+            repeated = seq is None or seq < expected or seq in early or seq in stored
             if done == "ended" or repeated:
                 problem = "sequence_violation"
             early[seq] = chunk
@@ -101,9 +124,8 @@ class Align(StatefulProcessor):
         while problem is None and done is None:
             if expected in early:
                 block, kind, delta, final, at = early.pop(expected)
-            elif held and self.waiting.containsKey((expected,)):
-                block, kind, delta, final, at = self.waiting.getValue((expected,))
-                self.waiting.removeKey((expected,))
+            elif expected in stored:
+                block, kind, delta, final, at = stored.pop(expected)
                 held -= _size(delta) + 1
             else:
                 break
@@ -115,7 +137,7 @@ class Align(StatefulProcessor):
                 problem = "provider_output_too_large"
             elif kind == "end":
                 done = "ended"
-                for name, value in self.blocks.iterator():
+                for name, value in self.blocks.iterator() if known_blocks else ():
                     blocks.setdefault(name[0], list(value))
                 if early or held:
                     problem = "sequence_violation"
@@ -127,7 +149,7 @@ class Align(StatefulProcessor):
                             out.append((request, name, parts, "tool", text, None))
                             parts += 1
             else:
-                if block not in blocks and n_blocks and self.blocks.containsKey((block,)):
+                if block not in blocks and known_blocks and self.blocks.containsKey((block,)):
                     blocks[block] = list(self.blocks.getValue((block,)))
                 if block not in blocks:
                     blocks[block] = [kind, "", False]
@@ -141,8 +163,11 @@ class Align(StatefulProcessor):
                     text = entry[1] + (delta or "")
                     cut = len(text) if final else open_token_at(text)
                     if kind == "text" and cut:
-                        out.append((request, block, parts, "text", text[:cut], None))
-                        parts += 1
+                        if out and out[-1][1] == block and len(out[-1][4]) + cut <= ROW_CHARS:
+                            out[-1] = (*out[-1][:4], out[-1][4] + text[:cut], None)
+                        else:
+                            out.append((request, block, parts, "text", text[:cut], None))
+                            parts += 1
                         text = text[cut:]
                     entry[1], entry[2] = text, final
             last = max(last, at)
@@ -154,12 +179,18 @@ class Align(StatefulProcessor):
             done = "refused"
             out = [o for o in out if o[3] != "tool"] + [(request, None, parts, "refused", None, problem)]
         if done:
-            self.blocks.clear()
-            self.waiting.clear()
+            # nothing is cleared that was never written: a reply that ends in its first batch takes two round trips
+            if known_blocks:
+                self.blocks.clear()
+            if n_stored:
+                self.waiting.clear()
             held = 0
         else:
-            for seq, chunk in early.items():
-                self.waiting.updateValue((seq,), chunk)
+            if len(stored) < n_stored:
+                self.waiting.clear()
+                early |= stored
+            if early:
+                self.waiting.updateValue((min(early),), (list(early), *(list(x) for x in zip(*early.values()))))
             for name, entry in blocks.items():
                 self.blocks.updateValue((name,), tuple(entry))
         self.state.update((expected, size, n_blocks, parts, done, since, last, seen, held))
@@ -185,6 +216,53 @@ class Align(StatefulProcessor):
         pass
 
 
+class AlignRuns(Align):
+    """The same over runs of chunks, which take far fewer rows of state input than chunks do."""
+
+    def chunks_of(self, row: Row, now: int | None) -> Iterator[tuple[int | None, tuple]]:
+        at = 0
+        sizes, finals = np.frombuffer(row.sizes, np.int32).tolist(), bytes(row.finals)
+        for seq, size, final in zip(np.frombuffer(row.seqs, np.int64).tolist(), sizes, finals):
+            yield None if seq == _NO_SEQ else seq, (row.block, row.kind, row.text[at : at + size], bool(final), now)
+            at += size
+
+
+def _cut(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` between ``edges``."""
+    width = values.itemsize
+    offsets = (edges * width).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def chunk_runs(chunks: DataFrame) -> DataFrame:
+    """Chunks of a reply's block that lie in one Arrow batch, in their order, as one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # stable, so chunks of a reply stay in the order of their arrival
+            batch = batch.take(pc.sort_indices(batch.column(0)))
+            request, block, kind, seq, delta, final = batch.columns
+            new = np.zeros(batch.num_rows, bool)
+            new[0] = True
+            for column in (request, block, kind):
+                codes = pc.dictionary_encode(column, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            starts = np.flatnonzero(new)
+            edges = np.r_[starts, batch.num_rows]
+            delta = pc.fill_null(delta, "")
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), delta), "")
+            at = pa.array(starts)
+            yield pa.RecordBatch.from_arrays([
+                request.take(at), block.take(at), kind.take(at), text,
+                _cut(pc.fill_null(seq, _NO_SEQ).to_numpy(zero_copy_only=False), edges),
+                _cut(pc.utf8_length(delta).to_numpy(zero_copy_only=False).astype(np.int32), edges),
+                _cut(pc.fill_null(final, False).to_numpy(zero_copy_only=False).astype(np.uint8), edges)], names=RUNS.names)
+
+    return chunks.select("request_id", "block", "kind", F.col("seq").cast("bigint"), "delta", "final").mapInArrow(run, RUNS)
+
+
 def align_stream(
     chunks: DataFrame, max_bytes: int = fixed.MAX_RESTORED_BYTES, max_blocks: int = fixed.MAX_JSON_ENTRIES,
     idle_s: int = fixed.IDLE_SECONDS, total_s: int = fixed.TOTAL_SECONDS, deadlines: str | None = "processing",
@@ -203,8 +281,12 @@ def align_stream(
     modes = {None: "None", "processing": "ProcessingTime", "event": "EventTime"}
     if deadlines == "event":
         chunks = chunks.withWatermark("arrived", delay).withColumn("at", F.unix_millis("arrived"))
+    else:
+        chunks = chunk_runs(chunks)
+    # by event time the watermark judges single chunks
+    align = Align if deadlines == "event" else AlignRuns
     return chunks.groupBy("request_id").transformWithState(
-        Align(max_bytes, max_blocks, idle_s, total_s, deadlines, max_waiting, first_seq), ALIGNED, "append", modes[deadlines])
+        align(max_bytes, max_blocks, idle_s, total_s, deadlines, max_waiting, first_seq), ALIGNED, "append", modes[deadlines])
 
 
 def sequence_check(chunks: DataFrame, slice_rows: int = 100_000) -> DataFrame:
