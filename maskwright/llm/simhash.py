@@ -134,22 +134,52 @@ def _masks(free: tuple[int, ...], bits: int) -> np.ndarray:
     return np.array([sum(1 << x for x in c) for n in range(1, bits + 1) for c in combinations(places, n)], dtype=np.uint64)
 
 
-def _tree(members: np.ndarray, checks: np.ndarray, bits: int, checked: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links of a list: who isn't reached yet is compared with one reached member at a time."""
-    rest = np.arange(len(members))
-    left, right = [], []
+def _tree(members: np.ndarray, checks: np.ndarray, bits: int, checked: int, lower: np.ndarray = np.zeros(0, np.uint64)) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect what the links of a list connect, without what pairs that share a band of ``lower`` connect.
+
+    Who isn't reached yet is compared with one reached member at a time. Members that such links connect are one group
+    from the start, reached together.
+    """
+    def near(at: int, rest: np.ndarray) -> np.ndarray:
+        return (np.bitwise_count(members[rest] ^ members[at]) <= bits) & (np.bitwise_count(checks[rest] ^ checks[at]) <= checked)
+
+    group = np.arange(len(members))
+    rest = np.arange(len(members) if len(lower) else 0)
     while len(rest):
         reached, rest = [int(rest[0])], rest[1:]
+        first = reached[0]
+        while reached and len(rest):
+            at = reached.pop()
+            found = near(at, rest) & _shares(members[rest] ^ members[at], lower)
+            group[rest[found]] = first
+            reached += rest[found].tolist()
+            rest = rest[~found]
+    order = np.argsort(group, kind="stable")
+    ends = np.r_[np.flatnonzero(np.diff(group[order])) + 1, len(order)]
+    mates = {int(group[order[lo]]): order[lo:hi] for lo, hi in zip(np.r_[0, ends[:-1]], ends)} if len(order) else {}
+    left, right = [], []
+    rest = np.arange(len(members))
+    while len(rest):
+        reached = mates[int(group[rest[0]])].tolist()
+        rest = rest[group[rest] != group[rest[0]]]
         while reached and len(rest):
             at = reached.pop()
-            near = (np.bitwise_count(members[rest] ^ members[at]) <= bits) & (np.bitwise_count(checks[rest] ^ checks[at]) <= checked)
-            found = rest[near]
-            left.append(np.full(len(found), at))
-            right.append(found)
-            reached += found.tolist()
-            rest = rest[~near]
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+            found = np.unique(group[rest[near(at, rest)]])
+            if len(found):
+                left += [at] * len(found)
+                right += found.tolist()
+                for g in found.tolist():
+                    reached += mates[g].tolist()
+                rest = rest[~np.isin(group[rest], found)]
+    return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
+
+
+def _shares(differ: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """Whether one of the masks ``bands`` meets no differing bit."""
+    out = np.zeros(len(differ), dtype=bool)
+    for mask in bands:
+        out |= (differ & mask) == 0
+    return out
 
 
 def _bands(n: int) -> list[int]:
@@ -171,7 +201,9 @@ def link_forest(distinct: DataFrame, bits: int = BITS, bands: int = 8, checked:
     """Links between different fingerprints (columns fp, node, and check with ``checked``) as edges u > v of nodes that connect the same groups.
 
     Fingerprints link if they differ in at most ``bits`` bits, and their checks in at most ``checked`` bits. Of
-    ``bands`` bands they then share ``bands - bits``, so no link is left out.
+    ``bands`` bands they then share ``bands - bits``, so no link is left out. With ``checked``, a link belongs to the first list
+    in which its two meet. What links of earlier lists connect inside a list is connected by those lists, so
+    only what connects such groups is given, once, and a group of near copies gives few edges in all its lists together.
     """
     masked = _bands(bands)
     kept = list(combinations(range(bands), bands - bits))
@@ -183,21 +215,28 @@ def link_forest(distinct: DataFrame, bits: int = BITS, bands: int = 8, checked:
     lists = distinct.select(*columns, F.explode(entries).alias("list")).select("list.part", "list.bytes", *columns)
     dealt = lists.repartition("part", "bytes").sortWithinPartitions("part", "bytes", "fp")
     masks = [_masks(tuple(sorted(set(range(8)) - set(c))), bits) for c in kept] if checked is None else []
-    band_masks, choice = np.array(masked, dtype=np.uint64), np.array(kept)
+    # of a list: the other bands before its last one; who shares one of them has met in an earlier list
+    lower = [np.array([masked[p] for p in range(c[-1]) if p not in c], dtype=np.uint64) for c in kept]
+    earlier = np.zeros((len(kept), bands), dtype=bool)
+    for k, c in enumerate(kept):
+        earlier[k, [p for p in range(c[-1]) if p not in c]] = True
+    band_masks = np.array(masked, dtype=np.uint64)
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def checked_edges(part, new, sizes, prints, nodes, checks) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         small = sizes <= DENSE
+        links = [np.zeros((2, 0), np.int64)]
         for left, right in _small_lists(new[small], sizes[small]):
-            differ = prints[left] ^ prints[right]
-            near = (np.bitwise_count(differ) <= bits) & (np.bitwise_count(checks[left] ^ checks[right]) <= checked)
-            left, right, differ = left[near], right[near], differ[near]
-            # a pair meets in many lists and is given by the first of them
-            shared = (differ[:, None] & band_masks) == 0
-            first = (np.argsort(~shared, axis=1, kind="stable")[:, : choice.shape[1]] == choice[part[left]]).all(axis=1)
-            yield nodes[left[first]], nodes[right[first]]
+            near = (np.bitwise_count(prints[left] ^ prints[right]) <= bits) & (np.bitwise_count(checks[left] ^ checks[right]) <= checked)
+            links.append(np.array([left[near], right[near]]))
+        left, right = np.concatenate(links, axis=1)
+        met = (((prints[left] ^ prints[right])[:, None] & band_masks == 0) & earlier[part[left]]).any(axis=1)
+        group = _roots(left[met], right[met], len(part))
+        low = _roots(group[left[~met]], group[right[~met]], len(part))
+        moved = np.flatnonzero(low != np.arange(len(part)))
+        yield nodes[moved], nodes[low[moved]]
         for start, size in zip(new[~small], sizes[~small]):
-            left, right = _tree(prints[start : start + size], checks[start : start + size], bits, checked)
+            left, right = _tree(prints[start : start + size], checks[start : start + size], bits, checked, lower[part[start]])
             yield nodes[start + left], nodes[start + right]
 
     def edges_of(part, keys, prints, nodes, *checks) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -199,3 +199,35 @@ def test_stage_links_are_all_within_its_bits(spark):
               if (prints[i][0] ^ prints[j][0]).bit_count() <= 7 and (prints[i][1] ^ prints[j][1]).bit_count() <= 12]
     want = simhash._roots(*(np.array(x) for x in zip(*linked)), len(prints)).tolist()
     assert {n: got.get(n, n) for n in range(len(prints))} == dict(enumerate(want))
+
+
+@pytest.mark.parametrize("apart", [1, 3])
+def test_near_copies_give_few_edges(spark, apart):
+    """A group of near copies meets in most of the 120 lists, large and small, and gives about an edge for each of its members in all of them."""
+    rng = np.random.default_rng(apart)
+    prints = {(0, 0)}
+    while len(prints) < 600:
+        flips = [sum(1 << int(x) for x in rng.choice(62, rng.integers(0, most + 1), replace=False)) for most in (apart, 4)]
+        prints.add((0x123456789ABCDEF ^ flips[0], flips[1]))
+    rows = [(f, n, c) for n, (f, c) in enumerate(sorted(prints))]
+    edges = simhash.link_forest(spark.createDataFrame(rows, "fp long, node long, check long"), simhash.FAR, simhash.BANDS, simhash.CHECKED)
+    assert edges.count() <= 3 * len(rows)
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    linked = [(i, j) for i, j in combinations(range(len(rows)), 2)
+              if (rows[i][0] ^ rows[j][0]).bit_count() <= 7 and (rows[i][2] ^ rows[j][2]).bit_count() <= 12]
+    want = simhash._roots(*(np.array(x) for x in zip(*linked)), len(rows)).tolist()
+    assert {n: got.get(n, n) for n in range(len(rows))} == dict(enumerate(want))
+
+
+def test_tree_leaves_out_what_earlier_lists_connect():
+    rng = np.random.default_rng(9)
+    members = rng.integers(0, 1 << 12, 200).astype(np.uint64)
+    checks = rng.integers(0, 1 << 4, 200).astype(np.uint64)
+    lower = np.array([0b111, 0b111000], dtype=np.uint64)
+    linked = [(i, j) for i, j in combinations(range(200), 2)
+              if (int(members[i]) ^ int(members[j])).bit_count() <= 2 and (int(checks[i]) ^ int(checks[j])).bit_count() <= 1]
+    early = [(i, j) for i, j in linked if any((int(members[i]) ^ int(members[j])) & int(m) == 0 for m in lower)]
+    of = lambda pairs: simhash._roots(*np.array(pairs).reshape(-1, 2).T, 200)
+    left, right = simhash._tree(members, checks, 2, 1, lower)
+    assert (of(early + list(zip(left.tolist(), right.tolist()))) == of(linked)).all()
+    assert len(left) == len(set(of(early).tolist())) - len(set(of(linked).tolist()))
