@@ -38,6 +38,12 @@ def _start(stream: DataFrame, handle, checkpoint: str, trigger: dict) -> Streami
     )
 
 
+def spread(batch: DataFrame) -> DataFrame:
+    """The rows of a batch dealt in turn to all cores, if it came in fewer pieces: a few files would keep as few tasks busy."""
+    cores = batch.sparkSession.sparkContext.defaultParallelism
+    return batch if batch.rdd.getNumPartitions() >= cores else batch.repartition(2 * cores)
+
+
 def pseudonymize_stream(
     msgs: DataFrame, rules: DataFrame, token_keys: DataFrame, vault_keys: DataFrame, out: str, checkpoint: str,
     clock: Clock = utc_now, trigger: dict | None = None, **options,
@@ -52,7 +58,7 @@ def pseudonymize_stream(
     def handle(batch: DataFrame, batch_id: int) -> None:
         # what an earlier run of this batch put is its own, and equal
         result = pseudonymize(
-            batch, rules, token_keys, vault_keys, clock(), earlier=lambda prov: read_vault(batch.sparkSession, f"{out}/vault", prov), **options)
+            spread(batch), rules, token_keys, vault_keys, clock(), earlier=lambda prov: read_vault(batch.sparkSession, f"{out}/vault", prov), **options)
         for name in ("prov", "audit", "refused"):
             _write(result[name], f"{out}/{name}", batch_id)
         upsert_vault(result["vault"], f"{out}/vault", str(batch_id))
