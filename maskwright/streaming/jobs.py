@@ -39,9 +39,8 @@ def _start(stream: DataFrame, handle, checkpoint: str, trigger: dict) -> Streami
 
 
 def spread(batch: DataFrame) -> DataFrame:
-    """The rows of a batch dealt in turn to all cores, if it came in fewer pieces: a few files would keep as few tasks busy."""
-    cores = batch.sparkSession.sparkContext.defaultParallelism
-    return batch if batch.rdd.getNumPartitions() >= cores else batch.repartition(2 * cores)
+    """The rows of a batch dealt in turn to all cores: a few files, or row groups of them, would keep as few tasks busy."""
+    return batch.repartition(max(2 * batch.sparkSession.sparkContext.defaultParallelism, batch.rdd.getNumPartitions()))
 
 
 def pseudonymize_stream(
