@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _SCOPE = ("tenant_id", "conversation_id", "token")
+#: Keys of the state. A key has the mappings of all scopes of its hash, so that what a key costs is shared by many of them;
+#: changing it needs a new checkpoint.
+BUCKETS = 1 << 14
+_TOKEN = T.StructType([T.StructField(name, T.StringType()) for name in _SCOPE])
 _MAPPING = T.StructType([T.StructField("expires", T.LongType()), T.StructField("record", T.BinaryType())])
 ANSWERED = T.StructType([
     *[T.StructField(name, T.StringType()) for name in (*_SCOPE, "ask_id", "token_version")],
@@ -24,31 +28,38 @@ class Mappings(StatefulProcessor):
 
     Of several rows that with the latest expiry is kept; one that is no later changes nothing, so a batch that is
     repeated doesn't renew, and lookups only read. What is put in a batch is there for the lookups of that batch. State holds
-    the encrypted record, never the value. Of a key only its latest row and the ids of one batch's lookups are held.
+    the encrypted record, never the value. Every call of the state is a round trip, so a key is a bucket of scopes: whether it
+    has anything is asked once, and only then its mappings are asked for singly. Of a bucket the latest row of each scope and the
+    ids of one batch's lookups are held.
     """
 
     def __init__(self, ttl_seconds: int):
         self.ttl_ms = ttl_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.mapping = handle.getValueState("mapping", _MAPPING, self.ttl_ms)
+        self.mappings = handle.getMapState("mappings", _TOKEN, _MAPPING, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        asked, newest = [], None
+        asked: dict[tuple, list[tuple]] = {}
+        newest: dict[tuple, tuple | None] = {}
         for r in rows:
+            scope = (r.tenant_id, r.conversation_id, r.token)
+            before = newest.setdefault(scope, None)
             if r.record is None:
-                asked.append((r.ask_id, r.token_version))
+                asked.setdefault(scope, []).append((r.ask_id, r.token_version))
             else:
                 put = (r.expires, bytes(r.record))
-                newest = put if newest is None or put > newest else newest
-        kept = self.mapping.get()
-        if kept is not None:
-            kept = (kept[0], bytes(kept[1]))
-        if newest is not None and (kept is None or newest > kept):
-            self.mapping.update(newest)
-            kept = newest
-        for ask_id, version in asked:
-            yield _OUT(*key, ask_id, version, kept[1] if kept else None, kept[0] if kept else None)
+                newest[scope] = put if before is None or put > before else before
+        known = self.mappings.exists()
+        for scope, put in newest.items():
+            kept = self.mappings.getValue(scope) if known else None
+            if kept is not None:
+                kept = (kept[0], bytes(kept[1]))
+            if put is not None and (kept is None or put > kept):
+                self.mappings.updateValue(scope, put)
+                kept = put
+            for ask_id, version in asked.get(scope, ()):
+                yield _OUT(*scope, ask_id, version, kept[1] if kept else None, kept[0] if kept else None)
 
     def close(self) -> None:
         pass
@@ -66,5 +77,6 @@ def answered(puts: DataFrame, asks: DataFrame, ttl_seconds: int) -> DataFrame:
         *_SCOPE, F.lit(None).cast("string").alias("ask_id"), "token_version", "record", F.unix_micros("expires_at").alias("expires"))
     wanted = asks.select(
         *_SCOPE, "ask_id", "token_version", F.lit(None).cast("binary").alias("record"), F.lit(None).cast("bigint").alias("expires"))
-    found = given.unionByName(wanted).groupBy(*_SCOPE).transformWithState(Mappings(ttl_seconds), ANSWERED, "append", "ProcessingTime")
+    bucket = F.expr(f"pmod(xxhash64({', '.join(_SCOPE)}), {BUCKETS}L)")
+    found = given.unionByName(wanted).withColumn("bucket", bucket).groupBy("bucket").transformWithState(Mappings(ttl_seconds), ANSWERED, "append", "ProcessingTime")
     return found.withColumn("stored_expiry", F.timestamp_micros("expires")).drop("expires")
