@@ -334,10 +334,11 @@ INVISIBLE_CLASS = _invisible()
 
 
 def _letters_named(prefix: str, first: int, last: int) -> str:
-    codes = [
+    # a set: workers import this module, and tens of thousands of letters are looked up
+    codes = {
         c for c in range(first, last + 1)
         if chr(c).isalpha() and unicodedata.name(chr(c), "").startswith(prefix)
-    ]
+    }
     return "".join(
         f"\\u{c:04X}-\\u{e:04X}"
         for c, e in ((c, next(x for x in range(c, last + 2) if x + 1 not in codes))
