@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -247,46 +250,47 @@ def detect_dictionary(msgs: DataFrame, terms: Sequence[str], **options) -> DataF
     return detect_with(msgs, [dictionary_detector(terms, **options)])
 
 
-_OCCURRENCES = T.ArrayType(T.StructType([
-    T.StructField("i", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType()),
-    T.StructField("before", T.StringType()), T.StructField("after", T.StringType()),
-    T.StructField("first", T.BooleanType()), T.StructField("last", T.BooleanType())]))
-_OCCURRENCE = pa.struct([("i", pa.int32()), ("start", pa.int32()), ("text", pa.string()), ("before", pa.string()), ("after", pa.string()),
-                         ("first", pa.bool_()), ("last", pa.bool_())])
 _WORD = re.compile(r"\w+")
+_WORD_OR_SIGN = re.compile(r"\w+|\W")
+_WORD_OR_GAP = re.compile(r"\w+|\W+")
+_NO_WORD = re.compile(r"\W")
 # words, and signs between words, that a task holds as Python objects at a time
 _HELD = 16_384
+# texts and terms are matched in groups of about so many bytes of texts, and in as many as there are so many characters of terms
+GROUP_BYTES = 32_000_000
+GROUP_CHARS = 4_000_000
 
 
-def _pieces(text: str) -> tuple[list[tuple[int, int]], list[str]]:
-    """Places of the words of a text, and the signs before, between and after them."""
-    places = [m.span() for m in _WORD.finditer(text)]
-    edges = [0, *[x for p in places for x in p], len(text)]
-    return places, [text[a:b] for a, b in zip(edges[::2], edges[1::2])]
+def _tokens(batch: pa.Array, token: re.Pattern[str], fold: bool) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The tokens of all texts in bounded parts, each with its runs: the number of a text, how many tokens and characters of it came before, how many tokens are here.
 
-
-def _occurrences(text: str, folded: str, signs: bool) -> Iterator[tuple[str | None, tuple]]:
-    """The words of a text in their order, folded, with their occurrence; with ``signs`` what stands between them, under None."""
-    waiting, end, i = None, 0, 0
-    for m in _WORD.finditer(text):
-        a, b = m.span()
-        gap = text[end:a]
-        if waiting:
-            yield waiting[0], (*waiting[1], gap, i == 1, False)
-        if signs and gap:
-            yield None, (i, end, None, gap, None, i == 0, False)
-        waiting, end, i = (folded[a:b], (i, a, text[a:b], gap)), b, i + 1
-    gap = text[end:]
-    if waiting:
-        yield waiting[0], (*waiting[1], gap, i == 1, True)
-    if signs and gap:
-        yield None, (i, end, None, gap, None, i == 0, True)
+    Parts end before a sign, so no word is cut.
+    """
+    held: list[str] = []
+    runs: list[tuple[int, int, int, int]] = []
+    for n, value in enumerate(batch):
+        text = value.as_py()
+        if not text:
+            continue
+        text = _folded(text) if fold else text
+        before = start = 0
+        while start < len(text):
+            m = _NO_WORD.search(text, start + _HELD - 1)
+            end = m.start() if m else len(text)
+            part = token.findall(text, start, end)
+            if held and len(held) + len(part) > _HELD:
+                yield held, np.array(runs).T
+                held, runs = [], []
+            held += part
+            runs.append((n, before, start, len(part)))
+            before, start = before + len(part), end
+    if held:
+        yield held, np.array(runs).T
 
 
 def _term_table(terms: DataFrame, case_sensitive: bool) -> DataFrame:
-    """``(term, words, gaps, lead, tail)`` of different terms; the words are folded."""
-    out = T.StructType([T.StructField("term", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("gaps", T.ArrayType(T.StringType())),
-                        T.StructField("lead", T.StringType()), T.StructField("tail", T.StringType())])
+    """``(term, words, signs)`` of different terms, folded, with their different words; terms of signs alone have ``signs``, and their signs as words."""
+    out = T.StructType([T.StructField("term", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("signs", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,78 +299,150 @@ def _term_table(terms: DataFrame, case_sensitive: bool) -> DataFrame:
                 term = (term or "").strip()
                 if term:
                     folded = term if case_sensitive else _folded(term)
-                    places, gaps = _pieces(term)
-                    words = [folded[a:b] for a, b in places]
-                    # signs alone have no word: the lead is all of them
-                    name = "".join(x for pair in zip(gaps, [*words, ""]) for x in pair)
-                    rows.append((name, words, gaps[1:-1], gaps[0], gaps[-1] if places else ""))
+                    words = _WORD.findall(folded)
+                    rows.append((folded, list(dict.fromkeys(words or folded)), not words))
             yield pa.RecordBatch.from_pylist([dict(zip(out.names, r)) for r in rows], schema=pa.schema([
-                ("term", pa.string()), ("words", pa.list_(pa.string())), ("gaps", pa.list_(pa.string())), ("lead", pa.string()), ("tail", pa.string())]))
+                ("term", pa.string()), ("words", pa.list_(pa.string())), ("signs", pa.bool_())]))
 
     return terms.select(F.col("term").cast("string")).mapInArrow(run, out).dropDuplicates(["term"])
 
 
 def _word_stream(msgs: DataFrame, keys: Sequence[str], case_sensitive: bool, signs: bool) -> DataFrame:
-    """``keys``, ``__row``, a folded word or, with ``signs`` and under a null word, the signs between words, and where it occurs in the text.
+    """``keys``, a word of the folded text or, with ``signs``, a sign between words, and where it comes among these in the text.
 
     A task holds a bounded number of words at a time, so a word of a long text may have several rows.
     """
     kept = msgs.select(*keys).schema
-    out = T.StructType([*kept.fields, T.StructField("__row", T.LongType()), T.StructField("word", T.StringType()), T.StructField("occ", _OCCURRENCES)])
-
-    def batch_of(batch: pa.RecordBatch, held: dict[tuple, list]) -> pa.RecordBatch:
-        at = pa.array([n for n, _, _ in held], pa.int64())
-        kept_columns = [batch.column(k).take(at) for k in range(batch.num_columns - 1)]
-        ends = [0]
-        for found in held.values():
-            ends.append(ends[-1] + len(found))
-        fields = zip(*(o for found in held.values() for o in found))
-        places = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(fields, _OCCURRENCE)], fields=list(_OCCURRENCE))
-        return pa.RecordBatch.from_arrays(
-            [*kept_columns, pa.array([row for _, row, _ in held], pa.int64()), pa.array([word for _, _, word in held], pa.string()),
-             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places)], names=out.names)
+    out = T.StructType([*kept.fields, T.StructField("word", T.StringType()), T.StructField("occ", T.ArrayType(T.IntegerType()))])
+    token = _WORD_OR_SIGN if signs else _WORD
+
+    def batch_of(batch: pa.RecordBatch, found: list[str], runs: np.ndarray) -> pa.RecordBatch:
+        text, before, _, counts = runs
+        coded = pa.array(found, pa.string()).dictionary_encode()
+        codes = coded.indices.to_numpy()
+        at = np.repeat(text, counts)
+        nth = np.arange(len(found)) - np.repeat(np.cumsum(counts) - counts - before, counts)
+        # places of one word of one text side by side
+        key = at * len(coded.dictionary) + codes
+        order = np.argsort(key, kind="stable")
+        heads = np.flatnonzero(np.diff(key[order], prepend=-1))
+        first = order[heads]
+        rows = pa.array(at[first])
+        kept_columns = [batch.column(k).take(rows) for k in range(batch.num_columns - 1)]
+        places = pa.ListArray.from_arrays(pa.array(np.append(heads, len(found)), pa.int32()), pa.array(nth[order], pa.int32()))
+        return pa.RecordBatch.from_arrays([*kept_columns, coded.dictionary.take(pa.array(codes[first])), places], names=out.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        row = (TaskContext.get().partitionId() << 33) - 1
         for batch in batches:
-            held: dict[tuple, list] = {}
-            n_held = 0
-            for n, value in enumerate(batch.column(batch.num_columns - 1)):
-                row += 1
-                text = value.as_py()
-                if not text:
-                    continue
-                for word, place in _occurrences(text, text if case_sensitive else _folded(text), signs):
-                    held.setdefault((n, row, word), []).append(place)
-                    n_held += 1
-                    if n_held == _HELD:
-                        yield batch_of(batch, held)
-                        held, n_held = {}, 0
-            if held:
-                yield batch_of(batch, held)
+            for found, runs in _tokens(batch.column(batch.num_columns - 1), token, not case_sensitive):
+                yield batch_of(batch, found, runs)
 
     return msgs.select(*keys, F.col("text").alias("__text")).mapInArrow(run, out)
 
 
-def _leftmost_longest(found: DataFrame) -> DataFrame:
-    """Of the matches (``__row``, start, end, text) of every text those that a scan from the left takes, the longest at each place."""
-    dealt = found.repartition("__row").sortWithinPartitions("__row", "start", F.desc("end"))
+class _Terms:
+    """Folded terms, looked up by one word or sign of each, their anchor."""
+
+    def __init__(self) -> None:
+        self.terms: set[str] = set()
+        # of an anchor, how far into its terms it lies and how long they are
+        self.shapes: dict[str, set[tuple[int, int]]] = {}
+        self.reach = 0
+        self.token = _WORD
+        self.only_words = True
+
+    def add(self, term: str, anchor: str) -> None:
+        if _WORD.match(anchor):
+            at = next(m.start() for m in _WORD.finditer(term) if m.group() == anchor)
+        else:
+            at, self.token = term.index(anchor), _WORD_OR_SIGN
+        self.terms.add(term)
+        self.shapes.setdefault(anchor, set()).add((at, len(term)))
+        self.reach = max(self.reach, at)
+        self.only_words &= term == anchor and self.token is _WORD
+
+    def spans(self, text: str, folded: str) -> Iterator[tuple[int, int]]:
+        """What a scan of the text from the left takes, the longest at each place, none inside words."""
+        terms, shapes, reach, size = self.terms, self.shapes, self.reach, len(text)
+        waiting: list[tuple[int, int]] = []
+        done = 0
+        for m in self.token.finditer(folded):
+            shapes_here = shapes.get(m.group())
+            if not shapes_here:
+                continue
+            at = m.start()
+            # what starts so far back can't be met any more by a longer or an earlier one
+            while waiting and waiting[0][0] < at - reach:
+                a, b = heapq.heappop(waiting)
+                if a >= done:
+                    done = -b
+                    yield a, done
+            for back, length in shapes_here:
+                a = at - back
+                b = a + length
+                if a < 0 or b > size or folded[a:b] not in terms:
+                    continue
+                if a and ((c := text[a - 1]).isalnum() or c == "_") or b < size and ((c := text[b]).isalnum() or c == "_"):
+                    continue
+                heapq.heappush(waiting, (a, -b))
+        while waiting:
+            a, b = heapq.heappop(waiting)
+            if a >= done:
+                done = -b
+                yield a, done
+
+
+@lru_cache(maxsize=1)
+def _cut_by_fold() -> str:
+    """A pattern of the characters of words that fold to one that is in no word: the iotas, since one is a mark. They cut a folded word."""
+    return "[" + "".join(chr(c) for c, to in _fold_table().items() if _WORD.match(chr(c)) and not _WORD.match(chr(to))) + "]"
+
+
+def _matched(dealt: DataFrame, keys: Sequence[str], fields: Sequence[T.StructField], case_sensitive: bool) -> DataFrame:
+    """``keys``, start, end and text of the spans of every text, by the terms that precede it in its partition."""
+    out = T.StructType([*fields, T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("__found", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, at = None, 0
+        known = _Terms()
         for batch in batches:
-            taken = []
-            for row, start, end in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if row != of:
-                    of, at = row, 0
-                taken.append(start >= at)
-                if start >= at:
-                    at = end
-            yield batch.filter(pa.array(taken, pa.bool_()))
+            *kept, texts, terms, anchors = batch.columns
+            if texts.null_count:
+                for term, anchor in zip(terms.to_pylist(), anchors.to_pylist()):
+                    if term is not None:
+                        known.add(term, anchor)
+
+            def batch_of(at, starts, ends, words) -> pa.RecordBatch:
+                at = pa.array(at, pa.int64())
+                return pa.RecordBatch.from_arrays(
+                    [*(k.take(at) for k in kept), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(words, pa.string())], names=out.names)
+
+            # words as they are cut in the folded text are the words of the text, and they don't overlap
+            if known.only_words and (case_sensitive or not pc.any(pc.match_substring_regex(texts, _cut_by_fold())).as_py()):
+                for tokens, (text, _, before, counts) in _tokens(texts, _WORD_OR_GAP, not case_sensitive):
+                    hit = np.fromiter(map(known.terms.__contains__, tokens), np.bool_, len(tokens))
+                    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+                    ends = np.cumsum(sizes)
+                    # a run begins where the texts before it ended
+                    first = np.cumsum(counts) - counts
+                    ends -= np.repeat(ends[first] - sizes[first] - before, counts)
+                    at, starts, ends = np.repeat(text, counts)[hit], (ends - sizes)[hit], ends[hit]
+                    written = {n: texts[n].as_py() for n in set(text.tolist())}
+                    yield batch_of(at, starts, ends, [written[n][a:b] for n, a, b in zip(at.tolist(), starts.tolist(), ends.tolist())])
+                continue
+            found: list[tuple[int, int, int, str]] = []
+            for n, value in enumerate(texts):
+                text = value.as_py()
+                if text is None:
+                    continue
+                for a, b in known.spans(text, text if case_sensitive else _folded(text)):
+                    found.append((n, a, b, text[a:b]))
+                    if len(found) == _HELD:
+                        yield batch_of(*zip(*found))
+                        found = []
+            if found:
+                yield batch_of(*zip(*found))
 
-    return dealt.select("__row", "start", "end", "text").mapInArrow(run, "__row long, start int, end int, text string")
+    return dealt.select(*keys, "__text", "__term", "__anchor").mapInArrow(run, out)
 
 
 def detect_dictionary_table(
@@ -374,67 +450,40 @@ def detect_dictionary_table(
 ) -> DataFrame:
     """Span table of a term table ``(term)`` of any size: exact terms, leftmost and longest first, not inside words.
 
-    Terms and texts are dealt by words: the words of the texts that occur in some
-    term are kept with their places; a term is looked up by the word of its that is rarest in the texts,
-    and its other words, and the signs between them, are checked at their distance from it. Terms
-    of signs alone are looked for in the signs between words. Nothing of the terms goes through the driver; the
-    planner broadcasts them where they are small. Texts don't move, their words do.
-    Null and empty terms and texts have no spans. Words are what ``\\w`` takes for it; signs are compared as written.
+    Texts are dealt once, to groups by a hash. The different words of every group are joined with the words of the terms, and a
+    group gets the terms whose rarest word in all texts occurs in it; terms with a word that is nowhere go to none. A task reads the
+    terms of its group before the texts and takes the spans of one text after the other, so that neither words of the texts nor matches are
+    dealt or stored. Terms of signs alone are dealt by their rarest sign. Nothing of the terms goes through the driver; the
+    planner broadcasts them where they are small. ``msgs`` is read three times,
+    and is stored before if it has ids by chance or by place.
+    Null and empty terms and texts have no spans. Words are what ``\\w`` takes for it.
     """
     keys = _keys(msgs)
+    spark = msgs.sparkSession
     known = materialize(_term_table(terms, case_sensitive), "terms")
-    worded, signs = known.where("size(words) > 0"), known.where("size(words) = 0")
-    used = worded.select(F.explode("words").alias("word")).distinct()
-    any_signs = bool(signs.head(1))
-    stream = _word_stream(msgs, keys, case_sensitive, any_signs)
-    kept = stream.join(used, "word", "left_semi")
-    if any_signs:
-        kept = materialize(stream.where("word is null").unionByName(stream.where("word is not null").join(used, "word", "left_semi")), "kept")
-        gaps = kept.where("word is null")
-        kept = kept.where("word is not null")
-    else:
-        kept = materialize(kept, "kept")
-    counts = kept.groupBy("word").agg(F.sum(F.size("occ")).alias("n"))
+    any_signs, n_chars = known.agg(F.bool_or("signs"), F.sum(F.length("term"))).first()
+    texts = msgs.where("text <> ''")
+    # a text has to be in the same group whenever it is read
+    if not texts._jdf.queryExecution().analyzed().deterministic():
+        texts = materialize(texts, "texts")
+    n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0]
+    n_groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (n_bytes or 0) // GROUP_BYTES + 1, (n_chars or 0) // GROUP_CHARS + 1)
+    hashed = [f.name for f in msgs.select(*keys).schema if isinstance(f.dataType, (T.NumericType, T.StringType))]
+    grouped = texts.withColumn("__group", F.pmod(F.xxhash64(*hashed, "text"), F.lit(n_groups)).cast("int"))
+
+    used = known.select(F.explode("words").alias("word")).distinct()
+    stream = _word_stream(grouped, ["__group"], case_sensitive, bool(any_signs))
+    words = materialize(stream.groupBy("__group", "word").agg(F.sum(F.size("occ")).alias("n")).join(used, "word", "left_semi"), "words")
+    counts = words.groupBy("word").agg(F.sum("n").alias("n"))
     # the rarest word of each term; a term with a word that is nowhere has no match
-    rated = worded.select("term", F.posexplode("words").alias("j", "word")).join(counts, "word")
-    anchors = rated.groupBy("term").agg(F.min(F.struct("n", "j", "word")).alias("a"), F.count(F.lit(1)).alias("seen")).select("term", "a.j", "a.word", "seen")
-    anchors = worded.join(anchors, "term").where("seen = size(words)").drop("seen")
-    places = kept.select("__row", "word", F.inline("occ"))
-    looked = places.select("__row", "word", "i", "start", "text", "before", "after", "first", "last").join(anchors, "word")
-
-    # signs in front of a term are followed backwards by a sign or the start of the text, and those after it likewise
-    fits_before = F.expr("lead = '' or (endswith(before, lead) and (length(before) > length(lead) or first))")
-    fits_after = F.expr("tail = '' or (startswith(after, tail) and (length(after) > length(tail) or last))")
-    single = looked.where("size(words) = 1").where(fits_before & fits_after)
-    single = single.select("__row", "term", F.col("start"), F.length("text").alias("length"), "text", "lead", "tail")
-
-    base = looked.where("size(words) > 1").select("__row", "term", (F.col("i") - F.col("j")).alias("b"), "words", "gaps", "lead", "tail").where("b >= 0").distinct()
-    wanted = base.select("__row", "term", "b", "lead", "tail", F.size("words").alias("k"), "gaps", F.posexplode("words").alias("j", "word")).withColumn("i", F.expr("b + j"))
-    met = wanted.join(places, ["__row", "word", "i"])
-    inner = F.expr("j = k - 1 or after = gaps[j]")
-    met = met.where(inner & (F.expr("j > 0") | fits_before) & (F.expr("j < k - 1") | fits_after))
-    several = met.groupBy("__row", "term", "b", "k").agg(
-        F.count(F.lit(1)).alias("seen"), F.min("start").alias("start"), F.max(F.expr("start + length(text)")).alias("stop"), F.first("lead").alias("lead"), F.first("tail").alias("tail"),
-        F.sort_array(F.collect_list(F.struct("j", "text", F.expr("if(j = k - 1, '', after)").alias("after")))).alias("p")).where("seen = k")
-    several = several.select("__row", "term", "start", F.expr("stop - start").alias("length"),
-                             F.array_join(F.flatten(F.transform("p", lambda p: F.array(p["text"], p["after"]))), "").alias("text"), "lead", "tail")
-    found = single.unionByName(several).selectExpr(
-        "__row", "start - length(lead) as start", "start + length + length(tail) as end", "concat(lead, text, tail) as text")
-    if any_signs:
-        # every place of a term of signs in the signs between two words, looked up by its first sign
-        between = gaps.select("__row", F.inline("occ")).select("__row", "start", "before", "first", "last", F.explode(F.array_distinct(F.split("before", ""))).alias("sign"))
-        hits = between.join(signs.select("lead", F.substring("lead", 1, 1).alias("sign")), "sign")
-        at = F.filter(F.sequence(F.lit(0), F.expr("length(before) - length(lead)")), lambda o: (
-            F.expr("before").substr(o + 1, F.length("lead")) == F.col("lead")) & ((o > 0) | F.col("first")) & (
-            (o + F.length("lead") < F.length("before")) | F.col("last")))
-        hits = hits.where("length(before) >= length(lead)").select("__row", "start", "lead", F.explode(at).alias("o"))
-        found = found.unionByName(hits.selectExpr("__row", "start + o as start", "start + o + length(lead) as end", "lead as text"))
-    folded = _leftmost_longest(found)
-    row_keys = kept.select("__row", *keys)
-    if any_signs:
-        row_keys = row_keys.unionByName(gaps.select("__row", *keys))
-    spans = folded.join(row_keys.distinct(), "__row")
-    return spans.select(*keys, "start", "end", F.lit(entity_type).alias("entity_type"), "text",
+    rated = known.select("term", F.size("words").alias("k"), F.explode("words").alias("word")).join(counts, "word")
+    anchors = rated.groupBy("term", "k").agg(F.min(F.struct("n", "word"))["word"].alias("word"), F.count(F.lit(1)).alias("seen")).where("seen = k")
+    looked = anchors.join(words, "word").select("__group", F.col("term").alias("__term"), F.col("word").alias("__anchor"))
+
+    dealt = grouped.select(*keys, F.col("text").alias("__text"), "__group").unionByName(looked, allowMissingColumns=True)
+    dealt = dealt.repartitionById(n_groups, "__group").sortWithinPartitions(F.col("__text").isNotNull())
+    spans = _matched(dealt, keys, msgs.select(*keys).schema.fields, case_sensitive)
+    return spans.select(*keys, "start", "end", F.lit(entity_type).alias("entity_type"), F.col("__found").alias("text"),
                         F.lit(fixed.CERTAIN).cast("double").alias("score"), F.lit(name).alias("detector"))
 
 
